@@ -24,18 +24,14 @@ class CapState:
     log: DataFrame | None = None
 
 
-#: The order in which a contributor's records are kept: both qualities descending with nulls last, then id ascending.
-_ORDER = [F.desc_nulls_last("q1"), F.desc_nulls_last("q2"), F.asc("id")]
-
-
 def _place() -> Column:
-    """Smaller for a better record; as a struct it compares like _ORDER."""
+    """The place in the order: both qualities descending with nulls last, then id ascending. Smaller for a better record."""
     return F.struct(F.col("q1").isNull(), -F.col("q1"), F.col("q2").isNull(), -F.col("q2"), F.col("id"))
 
 
 def _ranked(df: DataFrame, limit: int) -> DataFrame:
     """The first limit of each contributor. Spark cuts each group to limit in every input partition before it shuffles."""
-    by = Window.partitionBy("k1", "k2").orderBy(*_ORDER)
+    by = Window.partitionBy("k1", "k2").orderBy("place")
     return df.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
 
 
