@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kelk.llm import capping, confusables
+from kelk.llm import capping, confusables, overlap
 from kelk.session import table
 
 POSTS = "ninisite_cleaned_enriched"
@@ -20,6 +20,22 @@ def p1_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.consistent_form(table(spark, sf_dir, POSTS), ["content", "unique_post_id"]).select("row_ordinal", "unique_post_id", "content")
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    manifest, contents = table(spark, sf_dir, "modeling_manifest_v2"), table(spark, sf_dir, "duplicate_content_audit")
+    return overlap.cross_split_overlaps(manifest, contents), manifest, contents
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train and a validation or test record with the same text."""
+    pairs = _overlaps(spark, sf_dir)[0]
+    return pairs.select(F.least("eval_id", "train_id").alias("post_a"), F.greatest("eval_id", "train_id").alias("post_b")).distinct()
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping records per model_role and label_source."""
+    return overlap.overlap_report(*_overlaps(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows beyond the first 25 of their contributor."""
     return capping.displaced_posts(table(spark, sf_dir, POSTS)).select("row_ordinal")
@@ -31,5 +47,5 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.kept_posts(posts)
 
 
-QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p7_found": p7_found, "p7_kept": p7_kept}
+QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_report": p2_report, "p7_found": p7_found, "p7_kept": p7_kept}
 ORACLE: dict[str, str] = {}
