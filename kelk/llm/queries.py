@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kelk.llm import capping, confusables, overlap
+from kelk.llm import capping, confusables, overlap, splits
 from kelk.session import table
 
 POSTS = "ninisite_cleaned_enriched"
@@ -36,6 +36,17 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(*_overlaps(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of related sets that the present roles or folds tear apart."""
+    out = splits.assign_splits(table(spark, sf_dir, "modeling_manifest_v2"))
+    return out.where("mixed").select("unique_post_id", "related_min_id")
+
+
+def p4_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new split and fold of every record."""
+    return splits.assign_splits(table(spark, sf_dir, "modeling_manifest_v2")).drop("mixed")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows beyond the first 25 of their contributor."""
     return capping.displaced_posts(table(spark, sf_dir, POSTS)).select("row_ordinal")
@@ -47,5 +58,25 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.kept_posts(posts)
 
 
-QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_report": p2_report, "p7_found": p7_found, "p7_kept": p7_kept}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p7_found": p7_found, "p7_kept": p7_kept}
+_RELATED = """
+WITH RECURSIVE rec AS (SELECT DISTINCT unique_post_id AS id, group_id, author, thread_id, content_hash, model_role, oof_fold FROM modeling_manifest_v2),
+held AS (SELECT id, 'g' AS k, group_id AS v FROM rec UNION ALL SELECT id, 'a', author FROM rec UNION ALL SELECT id, 't', thread_id FROM rec UNION ALL SELECT id, 'c', content_hash FROM rec),
+val AS (SELECT DISTINCT id, k, v FROM held WHERE v IS NOT NULL AND trim(v) <> ''),
+edge AS (SELECT DISTINCT a.id AS x, b.id AS y FROM val a JOIN val b USING (k, v)),
+reach AS (SELECT DISTINCT id AS a, id AS b FROM rec UNION SELECT r.a, e.y FROM reach r JOIN edge e ON e.x = r.b),
+comp AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY a),
+bad AS (SELECT c FROM comp JOIN rec USING (id) GROUP BY c
+  HAVING count(DISTINCT CASE WHEN model_role IN ('train', 'validation', 'test') THEN model_role END) > 1 OR count(DISTINCT CASE WHEN model_role = 'train' THEN oof_fold END) > 1)
+"""
+_CAP = """
+SELECT CAST(row_ordinal AS BIGINT) AS row_ordinal FROM (
+  SELECT row_ordinal, row_number() OVER (PARTITION BY who ORDER BY likes DESC NULLS LAST, user_post_count DESC NULLS LAST, row_ordinal) AS r
+  FROM (SELECT *, translate(nfc_normalize(translate(regexp_replace(nfc_normalize(author), '[­​‌‎‏⁠﻿]', '', 'g'),
+        'يىكﺎﺮﻪﯽﻢﻦﮏａｂｄｅｇｈｉｊｋｌｍｎｏｐｒｓｔｖｚ０１２３４５６７８９     аеіорѕο',
+        'ییکارهیمنکabdeghijklmnoprstvz0123456789     aeiopso')), '', '') AS who FROM ninisite_cleaned_enriched WHERE trim(coalesce(author, '')) <> '')) WHERE r > 25
+"""
+ORACLE: dict[str, str] = {
+    "p4_found": _RELATED + "SELECT id AS unique_post_id, c AS related_min_id FROM comp WHERE c IN (SELECT c FROM bad)",
+    "p7_found": _CAP,
+}
