@@ -71,7 +71,7 @@ def skeleton(text: str | None) -> str | None:
     """The form in which equal-looking texts are equal, composed for reading; null stays null."""
     if text is None:
         return None
-    text = text.replace("‌", "")
+    text = text.replace("\u200c", "")
     if _PLAIN.fullmatch(text):
         return text
     text = text.replace("\r\n", "\n").replace("\r", "\n")

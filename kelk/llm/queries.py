@@ -73,7 +73,7 @@ _CAP = """
 SELECT CAST(row_ordinal AS BIGINT) AS row_ordinal FROM (
   SELECT row_ordinal, row_number() OVER (PARTITION BY who ORDER BY likes DESC NULLS LAST, user_post_count DESC NULLS LAST, row_ordinal) AS r
   FROM (SELECT *, translate(nfc_normalize(translate(regexp_replace(nfc_normalize(author), '[­​‌‎‏⁠﻿]', '', 'g'),
-        'يىكﺎﺮﻪﯽﻢﻦﮏａｂｄｅｇｈｉｊｋｌｍｎｏｐｒｓｔｖｚ０１２３４５６７８９     аеіорѕο',
+        'يىكﺎﺮﻪﯽﻢﻦﮏａｂｄｅｇｈｉｊｋｌｍｎｏｐｒｓｔｖｚ０１２３４５６７８９\u00a0\u202f\u2007\u2009\u3000аеіорѕο',
         'ییکارهیمنکabdeghijklmnoprstvz0123456789     aeiopso')), '', '') AS who FROM ninisite_cleaned_enriched WHERE trim(coalesce(author, '')) <> '')) WHERE r > 25
 """
 ORACLE: dict[str, str] = {
