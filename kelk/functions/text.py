@@ -10,9 +10,9 @@ PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
 ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
 WIDE_DIGITS = "０１２３４５６７８９"
 #: Characters that take no room: soft hyphen, joiners, directional marks, byte order mark.
-ZERO_WIDTH = "­​‌‍‎‏⁠﻿؜‪‫‬‭‮⁦⁧⁨⁩"
+ZERO_WIDTH = "\u00ad\u061c\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2066\u2067\u2068\u2069\ufeff"
 #: Forms of the blank other than U+0020.
-BLANKS = "               　\t"
+BLANKS = "\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def ascii_digits(col: Column) -> Column:
