@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kelk.llm import capping, confusables, overlap, splits
+from kelk.llm import capping, confusables, mixing, overlap, packing, splits
+from kelk.llm.tokens import token_count
 from kelk.session import table
 
 POSTS = "ninisite_cleaned_enriched"
@@ -58,7 +59,31 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.kept_posts(posts)
 
 
-QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p7_found": p7_found, "p7_kept": p7_kept}
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source", token_count(F.col("text")).alias("tokens"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, cut only if it is larger than 2,048 tokens, and the container of each piece."""
+    return packing.pack(_sized(spark, sf_dir), "doc_id", "tokens")[0]
+
+
+def p8_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and containers needed at least, by partition and as a whole."""
+    return packing.pack(_sized(spark, sf_dir), "doc_id", "tokens")[1]
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the sources reach."""
+    return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "source_targets"))[1]
+
+
+QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p7_found": p7_found, "p7_kept": p7_kept, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_selection": p9_selection, "p9_shares": p9_shares}
 _RELATED = """
 WITH RECURSIVE rec AS (SELECT DISTINCT unique_post_id AS id, group_id, author, thread_id, content_hash, model_role, oof_fold FROM modeling_manifest_v2),
 held AS (SELECT id, 'g' AS k, group_id AS v FROM rec UNION ALL SELECT id, 'a', author FROM rec UNION ALL SELECT id, 't', thread_id FROM rec UNION ALL SELECT id, 'c', content_hash FROM rec),
