@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kelk.llm import capping, confusables, mixing, overlap, packing, splits
+from kelk.llm import capping, confusables, consensus, mixing, overlap, packing, splits
 from kelk.llm.tokens import token_count
 from kelk.session import table
 
@@ -48,6 +48,30 @@ def p4_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(table(spark, sf_dir, "modeling_manifest_v2")).drop("mixed")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "annotation_history"), table(spark, sf_dir, "canonical_labels")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts whose final_stress the labels of their reliable annotators contradict."""
+    return consensus.contradicted(*_labels(spark, sf_dir)).select("unique_post_id")
+
+
+def p5_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus, certainty and agreement per post."""
+    return consensus.consensus(*_labels(spark, sf_dir))[0]
+
+
+def p5_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability of each annotator."""
+    return consensus.consensus(*_labels(spark, sf_dir))[1]
+
+
+def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Krippendorff's alpha of all usable labels."""
+    return consensus.krippendorff_alpha(consensus.usable_labels(*_labels(spark, sf_dir)))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows beyond the first 25 of their contributor."""
     return capping.displaced_posts(table(spark, sf_dir, POSTS)).select("row_ordinal")
@@ -83,7 +107,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "source_targets"))[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p7_found": p7_found, "p7_kept": p7_kept, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_selection": p9_selection, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p5_agreement": p5_agreement, "p7_found": p7_found, "p7_kept": p7_kept, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_selection": p9_selection, "p9_shares": p9_shares}
 _RELATED = """
 WITH RECURSIVE rec AS (SELECT DISTINCT unique_post_id AS id, group_id, author, thread_id, content_hash, model_role, oof_fold FROM modeling_manifest_v2),
 held AS (SELECT id, 'g' AS k, group_id AS v FROM rec UNION ALL SELECT id, 'a', author FROM rec UNION ALL SELECT id, 't', thread_id FROM rec UNION ALL SELECT id, 'c', content_hash FROM rec),
@@ -103,5 +127,12 @@ SELECT CAST(row_ordinal AS BIGINT) AS row_ordinal FROM (
 """
 ORACLE: dict[str, str] = {
     "p4_found": _RELATED + "SELECT id AS unique_post_id, c AS related_min_id FROM comp WHERE c IN (SELECT c FROM bad)",
+    "p5_agreement": """
+WITH u AS (SELECT unique_post_id AS item, annotator, stress AS v FROM annotation_history WHERE observed
+  UNION SELECT unique_post_id, 'person1', person1_raw FROM canonical_labels UNION SELECT unique_post_id, 'person2', person2_raw FROM canonical_labels),
+l AS (SELECT item, annotator, avg(v) AS v FROM u WHERE v BETWEEN 1 AND 10 GROUP BY ALL),
+i AS (SELECT item, count(*) AS m, sum(v) AS s, sum(v * v) AS q FROM l GROUP BY item HAVING count(*) > 1),
+t AS (SELECT count(*) AS k, sum(m) AS n, sum(2 * (m * q - s * s) / (m - 1)) AS w, sum(s) AS s, sum(q) AS q FROM i)
+SELECT k AS n_items, CAST(n AS BIGINT) AS n_labels, 1 - (w / n) / (2 * (n * q - s * s) / (n * (n - 1))) AS alpha FROM t""",
     "p7_found": _CAP,
 }
