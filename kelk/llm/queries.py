@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kelk.llm import capping, confusables, consensus, mixing, overlap, packing, personal, splits
+from kelk.llm import capping, confusables, consensus, mixing, overlap, packing, personal, splits, webspam
 from kelk.llm.tokens import token_count
 from kelk.session import table
 
@@ -117,7 +117,17 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "source_targets"))[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p5_agreement": p5_agreement, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_kept": p7_kept, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_selection": p9_selection, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are spam."""
+    return webspam.spam_scores(table(spark, sf_dir, "documents")).where("is_spam").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of spam words and the mean information of neighbouring words of every document."""
+    return webspam.spam_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p5_agreement": p5_agreement, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_kept": p7_kept, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
 _RELATED = """
 WITH RECURSIVE rec AS (SELECT DISTINCT unique_post_id AS id, group_id, author, thread_id, content_hash, model_role, oof_fold FROM modeling_manifest_v2),
 held AS (SELECT id, 'g' AS k, group_id AS v FROM rec UNION ALL SELECT id, 'a', author FROM rec UNION ALL SELECT id, 't', thread_id FROM rec UNION ALL SELECT id, 'c', content_hash FROM rec),
