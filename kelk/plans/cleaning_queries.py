@@ -126,7 +126,7 @@ def last_n_history(spark: SparkSession, d: str) -> DataFrame:
 def elapsed_lag(spark: SparkSession, d: str) -> DataFrame:
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     gap = (F.unix_micros("at") - F.unix_micros(F.lag("at").over(by))) / F.lit(6e7)
-    return table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")).select("event_id", F.round(F.when(gap.isNotNull(), F.greatest(gap, F.lit(0.0))), 6).alias("minutes"))
+    return table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")).select("event_id", F.round(F.when(gap.isNotNull(), F.greatest(gap, F.lit(0.0))), 3).alias("minutes"))
 
 
 _BLANK = f"(content IS NULL OR NOT regexp_matches(content, '{NOT_SPACE}'))"
@@ -164,6 +164,6 @@ SELECT y.profile_url, y.row_ordinal, p.user_post_count FROM y JOIN {P} p USING (
     "semi_join_candidates": f"SELECT unique_post_id, count(*) AS candidates, min(row_ordinal) AS first_row, count(DISTINCT coalesce('x' || content, '')) AS contents FROM {P} WHERE unique_post_id IN (SELECT unique_post_id FROM canonical_labels) GROUP BY 1",
     "topk_per_row": "SELECT o_custkey, o_orderkey, CAST(r AS INTEGER) AS rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3",
     "last_n_history": "SELECT event_id, string_agg(event_type, ',') OVER w AS last_five, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS so_far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING)",
-    "elapsed_lag": "SELECT event_id, round(greatest((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 6e7, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN NULL ELSE 0.0 END), 6) AS minutes FROM events",
+    "elapsed_lag": "SELECT event_id, round(greatest((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 6e7, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN NULL ELSE 0.0 END), 3) AS minutes FROM events",
 }
 QUERIES = {name: globals()[name] for name in ORACLE}
