@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelk.plans import cleaning_queries, core_queries, label_queries, text_queries
+from kelk.plans import cleaning_queries, core_queries, label_queries, stream_queries, text_queries
 
-MODULES = (core_queries, cleaning_queries, text_queries, label_queries)
+MODULES = (core_queries, cleaning_queries, text_queries, label_queries, stream_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core_queries.p3_visits(spark, sf_dir)
+    return stream_queries.alerts_ewma_batch(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
