@@ -47,7 +47,7 @@ def day_index(year: Column, month: Column, day: Column) -> Column:
 
 def weekday(day: Column) -> Column:
     """Name of the weekday of a day index."""
-    return F.element_at(F.lit(list(WEEKDAYS)), (F.pmod(F.lit(6) + day, F.lit(7)) + 1).cast("int"))
+    return F.when(day.isNotNull(), F.element_at(F.lit(list(WEEKDAYS)), (F.pmod(F.lit(6) + day, F.lit(7)) + 1).cast("int")))
 
 
 _NUMERIC = r"(?<![0-9])([0-9]{4})[/-]([0-9]{1,2})[/-]([0-9]{1,2})(?![0-9])"
