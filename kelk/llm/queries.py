@@ -155,4 +155,5 @@ i AS (SELECT item, count(*) AS m, sum(v) AS s, sum(v * v) AS q FROM l GROUP BY i
 t AS (SELECT count(*) AS k, sum(m) AS n, sum(2 * (m * q - s * s) / (m - 1)) AS w, sum(s) AS s, sum(q) AS q FROM i)
 SELECT k AS n_items, CAST(n AS BIGINT) AS n_labels, 1 - (w / n) / (2 * (n * q - s * s) / (n * (n - 1))) AS alpha FROM t""",
     "p7_found": _CAP,
+    "p7_kept": f"SELECT row_ordinal, likes, user_post_count FROM ninisite_cleaned_enriched WHERE row_ordinal NOT IN ({_CAP})",
 }
