@@ -256,4 +256,6 @@ SELECT unique_post_id, round(v, 6) AS acquisition FROM (SELECT unique_post_id, 0
     "kde_grid": f"WITH x AS (SELECT clinical_class, round(final_stress, 3) AS x FROM {C} WHERE final_stress IS NOT NULL), s AS (SELECT clinical_class, count(*) AS n, stddev_samp(x) * count(*) ** (-0.2) AS h FROM x GROUP BY 1) SELECT clinical_class, CAST(g AS INTEGER) AS g, round(sum(exp(-0.5 * ((1 + g * 9.0 / 49 - x) / h) ** 2)) / (first(n) * first(h) * 2.5066282746310002), 6) AS density FROM x JOIN s USING (clinical_class) CROSS JOIN (SELECT unnest(range(50)) AS g) GROUP BY 1, 2",
 }
 ORACLE["leaderboard"] = f"SELECT *, CAST(row_number() OVER (ORDER BY mae, rmse, weight DESC) AS INTEGER) AS rank FROM ({ORACLE['blend_candidates']})"
-QUERIES = {name: globals()[name] for name in [*ORACLE, "fuzzy_match", "dataset_digest", "grouped_folds"]}
+ORACLE["dataset_digest"] = f"""WITH h AS (SELECT sha256(unique_post_id || chr(31) || canonical_preference_rank) AS h FROM {C}), p AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS part FROM h GROUP BY 1)
+SELECT sha256(string_agg(part, '' ORDER BY b)) AS digest FROM p"""
+QUERIES = {name: globals()[name] for name in [*ORACLE, "fuzzy_match", "grouped_folds"]}

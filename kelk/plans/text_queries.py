@@ -58,7 +58,8 @@ def jalali_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tabular_features67(spark: SparkSession, d: str) -> DataFrame:
-    return features.tabular_features(posts(spark, d), "row_ordinal")
+    out = features.tabular_features(posts(spark, d), "row_ordinal")
+    return out.select(*[(F.round(c, 6) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
 
 
 def token_freq(spark: SparkSession, d: str) -> DataFrame:
@@ -148,4 +149,46 @@ SELECT stem, 'high' AS association, h AS high_freq, l AS low_freq, round(h / nul
     "top_n": f"SELECT row_ordinal, likes FROM {P} ORDER BY likes DESC NULLS LAST, row_ordinal LIMIT 50",
     "band_sample_pools": f"WITH h AS (SELECT quantile_cont(score, 0.95) AS q FROM {_SCORE}) SELECT CASE WHEN score >= q THEN 'high' WHEN score > 0.2 THEN 'mid' WHEN score >= -0.5 THEN 'low' END AS band, count(*) AS n FROM {_SCORE}, h GROUP BY 1",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE, "tabular_features67", "band_sample"]}
+# The 67 features: dates by the year table, counts by RE2.
+_DATE = lambda c: f"translate(translate(regexp_replace({c}, '[­​‌‎‏⁠﻿]', '', 'g'), '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), 'يىك', 'ییک')"
+_NUM = lambda x: f"TRY_CAST(nullif({x}, '') AS INT)"
+_MONTHS = "|".join(jalali.MONTHS)
+_PARTS = lambda c, p: f"regexp_extract({c}, '([0-9]{{4}})[/-]([0-9]{{1,2}})[/-]([0-9]{{1,2}})', ['y', 'm', 'd']) AS {p}n, regexp_extract({c}, '([0-9]{{1,2}})\\s*({_MONTHS})\\s*([0-9]{{4}})', ['d', 'm', 'y']) AS {p}w, regexp_extract({c}, '([0-9]{{1,2}}):([0-9]{{2}})', ['h', 'i']) AS {p}c"
+_WHOLE = lambda c, p: (
+    f"coalesce({_NUM(f'{p}n.y')}, {_NUM(f'{p}w.y')}) AS {p}y, coalesce({_NUM(f'{p}n.m')}, nullif(list_position({_LIST(jalali.MONTHS)}, {p}w.m), 0)) AS {p}m, coalesce({_NUM(f'{p}n.d')}, {_NUM(f'{p}w.d')}) AS {p}d, "
+    f"CASE WHEN {c} LIKE '%:%' THEN {_NUM(f'{p}c.h')} ELSE 0 END AS {p}h, CASE WHEN {c} LIKE '%:%' THEN {_NUM(f'{p}c.i')} ELSE 0 END AS {p}i"
+)
+_VALID = lambda p: f"coalesce({p}d BETWEEN 1 AND {p}k.len AND {p}h BETWEEN 0 AND 23 AND {p}i BETWEEN 0 AND 59, false)"
+_SHOW = lambda p: ", ".join(f"CASE WHEN {_VALID(p)} THEN {p}{x} END::DOUBLE AS {p}{x}" for x in "ymdhi") + f", CASE WHEN {_VALID(p)} THEN {p}k.day0 + {p}d - 1 END AS {p}x"
+_TEN = lambda text, p: {
+    f"{p}_char_count": f"length({text})", f"{p}_punct_count": _COUNT(text, _PUNCT), f"{p}_question_count": _COUNT(text, "[؟?]"), f"{p}_excl_count": _COUNT(text, "[!！]"), f"{p}_emoji_count": _COUNT(text, features.EMOJI),
+    f"{p}_word_count": _COUNT(text, features.PERSIAN_WORD), f"{p}_neg_count": _IN(text, features.NEGATIVE), f"{p}_pos_count": _IN(text, features.POSITIVE), f"{p}_pos_emoji": _COUNT(text, _ANY(features.POSITIVE_EMOJI)), f"{p}_neg_emoji": _COUNT(text, _ANY(features.NEGATIVE_EMOJI)),
+}
+_POST10, _SIG10 = _TEN(_CHARS, "post"), _TEN("coalesce(signature, '')", "sig")
+_NONE = "(signature IS NULL OR trim(signature) = '')"
+_R = lambda x, name: f"round(({x})::DOUBLE, 6) + 0.0 AS {name}"
+_W, _CH, _M = "greatest(post_word_count, 1)", "greatest(post_char_count, 1)", "coalesce({0}, '__MISSING__') AS {0}"
+_AGE = "CASE WHEN px IS NOT NULL AND jx IS NOT NULL THEN greatest(px - jx, 0) END"
+_RATE = f"CASE WHEN px IS NOT NULL AND jx IS NOT NULL THEN n_posts / greatest(({_AGE}) / 365.25::DOUBLE, 0.25) END"
+_DAY = "((6 + px - e0) % 7 + 7) % 7"
+_FINITE = lambda c: f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END"
+_COLUMNS = {
+    "likes": "n_likes", "log1p_likes": "ln(1 + n_likes)", "user_post_count": "n_posts", "log1p_user_post_count": "ln(1 + n_posts)", "children_count": "n_children", "age_missing": "CASE WHEN n_age IS NULL OR n_age = -1 THEN 1 ELSE 0 END",
+    "age_num": "CASE WHEN n_age BETWEEN 12 AND 80 THEN n_age END", "is_starter": "coalesce(is_starter, false)::INT", "has_reply": "(coalesce(TRY_CAST(reply_to AS DOUBLE), -1) <> -1)::INT",
+    "posted_year": "py", "posted_month": "pm", "posted_day": "pd", "posted_hour": "ph", "posted_minute": "pi", "posted_weekday": _DAY, "posted_is_weekend": f"({_DAY} IN (3, 4))::INT", "posted_is_night": "(ph < 6)::INT", "posted_is_late_evening": "(ph >= 22)::INT",
+    "posted_hour_sin": "sin(2 * pi() * ph / 24)", "posted_hour_cos": "cos(2 * pi() * ph / 24)", "posted_month_sin": "sin(2 * pi() * (pm - 1) / 12)", "posted_month_cos": "cos(2 * pi() * (pm - 1) / 12)", "join_year": "jy", "join_month": "jm", "join_day": "jd",
+    "account_age_days": _AGE, "account_age_years": f"({_AGE}) / 365.25::DOUBLE", "posts_per_account_year": _RATE, "log1p_posts_per_account_year": f"ln(1 + ({_RATE}))", "likes_per_100_posts": "n_likes / (1 + n_posts / 100)", "has_signature": f"(NOT {_NONE})::INT",
+    **{n: f"CASE WHEN {_NONE} THEN 0 ELSE {n} END" for n in _SIG10}, **{n: n for n in _POST10}, "post_neg_count_temp": "post_neg_count_temp", "post_pos_count_temp": "post_pos_count_temp",
+    "post_neg_word_ratio": f"post_neg_count / {_W}", "post_pos_word_ratio": f"post_pos_count / {_W}", "post_question_per_100_words": f"100 * post_question_count / {_W}", "post_excl_per_100_words": f"100 * post_excl_count / {_W}", "post_emoji_per_100_words": f"100 * post_emoji_count / {_W}",
+    "post_punct_per_100_chars": f"100 * post_punct_count / {_CH}", "post_temp_neg_ratio": f"post_neg_count_temp / {_W}", "post_temp_pos_ratio": f"post_pos_count_temp / {_W}",
+}
+ORACLE["tabular_features67"] = (
+    "WITH RECURSIVE " + _POSTS_SQL[_POSTS_SQL.index("years AS (") : _POSTS_SQL.index("posts AS (")]
+    + f"""a AS (SELECT *, {_DATE('posted_at')} AS ps, {_DATE('join_date')} AS js FROM {P}), b AS (SELECT *, {_PARTS('ps', 'p')}, {_PARTS('js', 'j')} FROM a), c AS (SELECT *, {_WHOLE('ps', 'p')}, {_WHOLE('js', 'j')} FROM b),
+d AS (SELECT c.* EXCLUDE (py, pm, pd, ph, pi, jy, jm, jd, jh, ji, sig_char_count, sig_word_count), {_SHOW('p')}, {_SHOW('j')}, (SELECT first FROM years WHERE y = 1400) AS e0, greatest(likes, CASE WHEN likes IS NULL THEN NULL ELSE 0 END)::DOUBLE AS n_likes, greatest(user_post_count, CASE WHEN user_post_count IS NULL THEN NULL ELSE 0 END)::DOUBLE AS n_posts,
+  {_FINITE('children_count')} AS n_children, {_FINITE('age_num')} AS n_age, {', '.join(f'{x} AS {n}' for n, x in (_POST10 | _SIG10).items())}, {_IN(_CHARS, features.NEGATIVE[:5])} AS post_neg_count_temp, {_IN(_CHARS, features.POSITIVE[:3])} AS post_pos_count_temp
+  FROM c LEFT JOIN calendar pk ON pk.y = c.py AND pk.m = c.pm LEFT JOIN calendar jk ON jk.y = c.jy AND jk.m = c.jm)
+SELECT row_ordinal, {', '.join(_R(x, n) for n, x in _COLUMNS.items())}, {', '.join(_M.format(c) for c in ('gender', 'category', 'sub_category', 'education_clean'))},
+ coalesce({_LIST(jalali.WEEKDAYS)}[{_DAY} + 1], '__MISSING__') AS posted_weekday_name, CASE WHEN ph IS NULL THEN '__MISSING__' WHEN ph < 6 THEN 'overnight' WHEN ph < 12 THEN 'morning' WHEN ph < 18 THEN 'afternoon' ELSE 'evening' END AS posted_daypart FROM d"""
+)
+QUERIES = {name: globals()[name] for name in [*ORACLE, "band_sample"]}
