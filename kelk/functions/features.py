@@ -26,27 +26,32 @@ def count(col: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(pattern)), F.lit(0)).cast("bigint")
 
 
-def count_words(col: Column, words: Sequence[str], pattern: str = PERSIAN_WORD) -> Column:
-    """Words of the text that are in the list."""
-    listed = F.array(*[F.lit(w) for w in sorted(set(words))])
-    tokens = F.coalesce(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
-    return F.size(F.filter(tokens, lambda t: F.array_contains(listed, t))).cast("bigint")
+def persian_words(col: Column) -> Column:
+    """The words of a text in order; none for null."""
+    return F.coalesce(F.regexp_extract_all(col, F.lit(PERSIAN_WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def text_features(col: Column, prefix: str, negative: Sequence[str] = NEGATIVE, positive: Sequence[str] = POSITIVE) -> dict[str, Column]:
-    """The ten counts of a text, 0 each for null."""
+def count_words(tokens: Column, words: Sequence[str]) -> Column:
+    """Words of an array that are in the list."""
+    return F.size(F.filter(tokens, lambda t: t.isin(*sorted(set(words))))).cast("bigint")
+
+
+def text_features(col: Column, prefix: str, negative: Sequence[str] = NEGATIVE, positive: Sequence[str] = POSITIVE, tokens: Column | None = None) -> dict[str, Column]:
+    """The ten counts of a text, 0 each for null. tokens: its words, if they have been taken already."""
     text = F.coalesce(col, F.lit(""))
+    tokens = persian_words(text) if tokens is None else tokens
     values = (
-        F.length(text).cast("bigint"), count(text, PUNCTUATION), count(text, "[؟?]"), count(text, "[!！]"), count(text, EMOJI), count(text, PERSIAN_WORD),
-        count_words(text, negative), count_words(text, positive), count_any(text, POSITIVE_EMOJI), count_any(text, NEGATIVE_EMOJI),
+        F.length(text).cast("bigint"), count(text, PUNCTUATION), count(text, "[؟?]"), count(text, "[!！]"), count(text, EMOJI), F.size(tokens).cast("bigint"),
+        count_words(tokens, negative), count_words(tokens, positive), count_any(text, POSITIVE_EMOJI), count_any(text, NEGATIVE_EMOJI),
     )
     names = [f"{prefix}_{n}" if n.endswith("emoji") and n != "emoji" else f"{prefix}_{n}_count" for n in SIGNATURE]
     return dict(zip(names, values))
 
 
-def signature_features(col: Column) -> dict[str, Column]:
-    """The ten counts of a signature, -1 each where there is none."""
-    return {name: F.when(is_blank(col), F.lit(-1).cast("bigint")).otherwise(value) for name, value in text_features(col, "sig").items()}
+def signature_features(col: Column, tokens: Column | None = None, blank: Column | None = None) -> dict[str, Column]:
+    """The ten counts of a signature, -1 each where there is none. tokens and blank: what has been worked out already."""
+    blank = is_blank(col) if blank is None else blank
+    return {name: F.when(blank, F.lit(-1).cast("bigint")).otherwise(value) for name, value in text_features(col, "sig", tokens=tokens).items()}
 
 
 def initial_score(f: dict[str, Column]) -> Column:
@@ -111,12 +116,13 @@ def tabular_features(df: DataFrame, id: str) -> DataFrame:
     Needs content, signature, likes, user_post_count, children_count, age_num, is_starter, reply_to, gender, category, sub_category,
     education_clean, posted_at and join_date. The post's two kinds of word counts differ in their lists: the short one ('temp') and the default.
     """
-    post, sig = text_features(F.col("content"), "post"), signature_features(F.col("signature"))
-    temp = {"post_neg_count_temp": count_words(F.coalesce("content", F.lit("")), NEGATIVE[:5]), "post_pos_count_temp": count_words(F.coalesce("content", F.lit("")), POSITIVE[:3])}
+    post, sig = text_features(F.col("content"), "post", tokens=F.col("_words")), signature_features(F.col("signature"), F.col("_sig_words"), F.col("_no_sig"))
+    temp = {"post_neg_count_temp": count_words(F.col("_words"), NEGATIVE[:5]), "post_pos_count_temp": count_words(F.col("_words"), POSITIVE[:3])}
     number = lambda c: F.col(c).cast("string").try_cast("double")
     base = df.select(F.col(id), "likes", "user_post_count", "children_count", "age_num", "is_starter", "reply_to", "gender", "category", "sub_category", "education_clean", "posted_at", "join_date", "content", "signature")
+    base = jalali.barrier(base, {"_words": persian_words(F.col("content")), "_sig_words": persian_words(F.col("signature")), "_no_sig": is_blank(F.col("signature"))})
     base = jalali.barrier(base, {**post, **sig, **temp, "n_likes": _NULLS_PASS(number("likes"), 0.0), "n_posts": _NULLS_PASS(number("user_post_count"), 0.0), "n_children": F.nanvl(number("children_count"), F.lit(None).cast("double")), "n_age": F.nanvl(number("age_num"), F.lit(None).cast("double")), "n_reply": F.coalesce(number("reply_to"), F.lit(-1.0))})
-    base = jalali.with_date(base.drop("content", "signature"), "posted_at", "posted_", need_time=False)
+    base = jalali.with_date(base.drop("content", "signature", "_words", "_sig_words", "_no_sig"), "posted_at", "posted_", need_time=False)
     base = jalali.with_date(base, "join_date", "join_", need_time=False)
     days = F.when(F.col("posted_day_index").isNotNull() & F.col("join_day_index").isNotNull(), F.greatest(F.col("posted_day_index") - F.col("join_day_index"), F.lit(0)).cast("double"))
     base = jalali.barrier(base, {"account_age_days": days, "weekday_no": F.pmod(F.lit(6) + F.col("posted_day_index"), F.lit(7)).cast("double")})
