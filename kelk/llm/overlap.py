@@ -1,20 +1,18 @@
 """Records of evaluation splits whose text is in the training split too, exactly or almost.
 
 Texts are reduced to words, and equal word sequences to one text. The distinct evaluation texts are dealt into
-shards, the distinct training texts into slices. For each shard an Aho-Corasick automaton holds the passages of its texts;
-it scans every training text once, and the matched passages are merged into intervals, whose total length is
-the coverage of the evaluation text. Pairs with enough coverage get the exact check: the longest common subsequence of words.
-
-A word is one symbol of the automaton, so that a passage of three words is a path of three nodes. A passage
-that more than HOT texts of the shard hold is lengthened word by word until it is rarer: stock phrases then cost no more
-than rare ones, and nothing is dropped. The texts of up to SHORT words are found by their single words, without any limit.
+shards, the distinct training texts into slices, and each shard meets each slice. Within a block the search is exact: a pair of
+which SHARE of the longer text's words are common in order has as many words in common in any order. With the words of
+each text ordered from the shard's rarest to its most frequent, such a pair shares one of its first words, 1 - SHARE of the text and
+one more (the prefix filter). The pairs that do are counted in full, and the rest gets the exact check: the longest common
+subsequence of words. Nothing is dropped, however many texts hold a word.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,12 +26,8 @@ from kelk.session import cut
 _WORD = re.compile(r"[^\W_]+")
 #: Share of the longer text's words that must occur in the other in the same order, as a fraction.
 SHARE = (7, 10)
-#: Words of a passage by the length of its text: (longest text, words).
+#: Words of a passage by the length of its text: (longest text, words). Passages measure the coverage, they decide nothing.
 PASSAGE = ((10, 1), (20, 2), (10**9, 3))
-SHORT = 10
-HOT = 64
-#: Least share of an evaluation text that matched passages must cover before the exact check.
-COVERAGE = 0.2
 SHARD_WORDS = 250_000
 SLICE_WORDS = 1_000_000
 
@@ -63,82 +57,72 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def _passages(codes: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Passage -> the texts it stands in and where, each text's first place only."""
-    places: dict[str, dict[int, int]] = {}
-    pending: list[tuple[int, int, int]] = []
-    for text, code in enumerate(codes):
-        size = next(words for longest, words in PASSAGE if len(code) <= longest)
-        pending += [(text, start, size) for start in range(len(code) - size + 1)]
-    while pending:
-        held: Counter[str] = Counter()
-        last: dict[str, int] = {}
-        for text, start, size in pending:
-            passage = codes[text][start : start + size]
-            if last.get(passage) != text:
-                last[passage] = text
-                held[passage] += 1
-        longer = []
-        for text, start, size in pending:
-            code = codes[text]
-            passage = code[start : start + size]
-            if held[passage] <= HOT or len(code) <= SHORT or start + size == len(code):
-                places.setdefault(passage, {}).setdefault(text, start)
-            else:
-                longer.append((text, start, size + 1))
-        pending = longer
-    return {p: (np.fromiter(at.keys(), np.int64), np.fromiter(at.values(), np.int64)) for p, at in places.items()}
-
-
-def _covered(intervals: list[tuple[int, int]]) -> int:
+def _numbered(words: Iterable[str]) -> list[tuple[str, int]]:
+    """Each word with how often it stood before, so that common words count as often as both texts hold them."""
+    seen: Counter[str] = Counter()
+    out = []
+    for word in words:
+        out.append((word, seen[word]))
+        seen[word] += 1
+    return out
+
+
+def _leading(words: int) -> int:
+    """How many of a text's rarest words another text with SHARE of its words must share one of."""
+    return words - -(-SHARE[0] * words // SHARE[1]) + 1
+
+
+def _covered(code: str, other: str) -> int:
+    """Words of code in passages that other holds too."""
+    size = next(words for longest, words in PASSAGE if len(code) <= longest)
+    held = {other[i : i + size] for i in range(len(other) - size + 1)}
     total, end = 0, 0
-    for start, stop in sorted(intervals):
-        if stop > end:
-            total += stop - max(start, end)
-            end = stop
+    for start in range(len(code) - size + 1):
+        if code[start : start + size] in held:
+            total += start + size - max(start, end)
+            end = start + size
     return total
 
 
 def _scan(evaluation: pd.DataFrame, training: pd.DataFrame) -> Iterator[tuple]:
     """(row of evaluation, row of training, covered words, common words) of the near-equal pairs of two blocks."""
-    import ahocorasick
-
     symbols: dict[str, str] = {}
     codes = []
     for text in evaluation["plain"]:
         codes.append("".join([symbols.setdefault(w, chr(0x10000 + len(symbols) % 0xF0000)) for w in text.split(" ")]))
-    passages = _passages(codes)
-    automaton = ahocorasick.Automaton()
-    for passage, at in passages.items():
-        automaton.add_word(passage, (len(passage), *at))
-    automaton.make_automaton()
+    held = Counter(w for code in codes for w in _numbered(code))
+    numbers = {w: i for i, w in enumerate(sorted(held, key=lambda w: (held[w], w)))}
+    ordered = [np.array(sorted([numbers[w] for w in _numbered(code)]), np.int64) for code in codes]
+    places: dict[int, list[int]] = {}
+    for k, words in enumerate(ordered):
+        for w in words[: _leading(len(words))].tolist():
+            places.setdefault(w, []).append(k)
+    leading = {w: np.array(at, np.int64) for w, at in places.items()}
     sizes = np.array([len(c) for c in codes])
-    short = sizes <= SHORT
+    present = np.zeros(len(numbers), np.int64)
     unknown = "\x01"
     for row, text in enumerate(training["t_plain"]):
         code = "".join([symbols.get(w, unknown) for w in text.split(" ")])
-        found = {id(at): at for _, at in automaton.iter(code)}
+        words = sorted([numbers[w] for w in _numbered(code) if w in numbers])
+        # Words that the shard doesn't hold are its rarest.
+        first = words[: max(0, _leading(len(code)) - (len(code) - len(words)))]
+        found = [leading[w] for w in first if w in leading]
         if not found:
             continue
-        found = list(found.values())
-        texts = np.concatenate([at[1] for at in found])
-        lengths = np.repeat([at[0] for at in found], [len(at[1]) for at in found])
-        # An upper bound of the coverage: the passages' lengths without regard to their overlaps.
-        reach = np.bincount(texts, lengths, len(codes))
-        least = np.where(short, SHARE[0] * np.maximum(sizes, len(code)) / SHARE[1] / 2, COVERAGE * sizes)
-        near = (np.minimum(sizes, len(code)) * SHARE[1] >= np.maximum(sizes, len(code)) * SHARE[0]) & (reach >= np.maximum(least, 1))
-        candidates = np.flatnonzero(near)
-        if not len(candidates):
+        near = np.unique(np.concatenate(found))
+        longer = np.maximum(sizes[near], len(code))
+        fits = np.minimum(sizes[near], len(code)) * SHARE[1] >= longer * SHARE[0]
+        near, longer = near[fits], longer[fits]
+        if not len(near):
             continue
-        starts = np.concatenate([at[2] for at in found])
-        for k in candidates:
-            mine = texts == k
-            covered = _covered(list(zip(starts[mine], starts[mine] + lengths[mine])))
-            if not short[k] and covered < COVERAGE * sizes[k]:
-                continue
+        present[words] = 1
+        shared = np.add.reduceat(present[np.concatenate([ordered[k] for k in near])], np.cumsum(sizes[near]) - sizes[near])
+        present[words] = 0
+        enough = shared * SHARE[1] >= longer * SHARE[0]
+        for k, most in zip(near[enough].tolist(), longer[enough].tolist()):
             common = lcs_length(codes[k], code)
-            if common * SHARE[1] >= SHARE[0] * max(sizes[k], len(code)):
-                yield int(k), row, int(covered), common
+            if common * SHARE[1] >= SHARE[0] * most:
+                yield k, row, _covered(codes[k], code), common
 
 
 def _scan_block(evaluation: pd.DataFrame, training: pd.DataFrame) -> pd.DataFrame:
@@ -179,7 +163,7 @@ def cross_split_overlaps(manifest: DataFrame, contents: DataFrame) -> DataFrame:
 
     manifest: unique_post_id and model_role (train, validation, test; rows of any other or a null role take no part).
     contents: unique_post_id, content, content_hash, label_source. method is 'text' where SHARE of the words of the longer content
-    are common in the same order; coverage is the share of the evaluation record's words in matched passages and share the common
+    are common in the same order; coverage is the share of the evaluation record's words in passages that both hold and share the common
     words' share of the longer text. It is 'hash' where a content is missing (null or without any word) and the hashes are equal
     and not blank; coverage and share are null then. Repeated rows count once, a record with several contents by each of them.
     A null id takes no part; tables may be empty; extra columns are ignored.

@@ -4,6 +4,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,28 @@ def test_lcs_and_overlaps_against_brute_force(spark):
     assert overlap.cross_split_overlaps(manifest.where("false"), contents).count() == 0
 
 
+def test_overlaps_in_a_hot_group_of_near_copies():
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(30)]
+
+    def variants(tag, n, size):
+        out = []
+        for i in range(n):
+            words = base[:size]
+            words[rng.randrange(size)] = f"{tag}{i}"
+            out.append(" ".join(words))
+        return out
+
+    # One word each is changed, so every pair has at least size - 2 words in common; the rest share single words only.
+    every_third = [" ".join(f"{w}x" if i % 4 == 3 else w for i, w in enumerate(base))]
+    evaluation, training = variants("e", 300, 30) + every_third, variants("t", 200, 30) + [" ".join(base)] + ["w1 w9 other words"] * 3
+    block = lambda texts, prefix: pd.DataFrame({f"{prefix}plain": texts})
+    got = {(k, row): (covered, common) for k, row, covered, common in overlap._scan(block(evaluation, ""), block(training, "t_"))}
+    want = {(i, j): c for i, a in enumerate(evaluation) for j, b in enumerate(training) if 10 * (c := overlap.lcs_length(a.split(" "), b.split(" "))) >= 7 * max(len(a.split(" ")), len(b.split(" ")))}
+    assert {p: c for p, (_, c) in got.items()} == want and len(want) > 300 * 200
+    assert all(0 <= covered <= 30 for covered, _ in got.values())
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------------
 
 
