@@ -1,7 +1,7 @@
 """Personal information in free text: found by type and replaced with typed placeholders.
 
 What has a form of its own (addresses of mail, numbers, street addresses) is found by grammars over the text's skeleton, so that
-look-alike, full-width and spaced-out spellings are one. Names have no form; they are found by bootstrapping. A few given names
+look-alike, full-width and spaced-out spellings are one; numbers may be spelled in words too. Names have no form; they are found by bootstrapping. A few given names
 are the seeds. Their occurrences induce lexical patterns (the words around a name), patterns and instances form a graph of
 counts, and Spark scores it in rounds: a pattern is as good as the instances it holds, an instance as good as the patterns it
 stands in. Patterns of high confidence give new given names, these new patterns, and so on. In the end a name is a trusted given
@@ -42,6 +42,25 @@ _DOT = r"(?:\.|\s*[\[({]\s*(?:dot|نقطه|دات)\s*[\])}]\s*|\s+(?:dot|نقط
 _EMAIL = re.compile(rf"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}", re.I)
 #: Digits with at most one separator between any two, not part of a longer run.
 _NUMBER = re.compile(r"(?<![\w@./-])(?<!\d[ ])[+(]{0,2}\d(?:[ .()/-]{0,2}\d){7,17}(?![\d\w]|[-./]\d)")
+#: Numerals in words with their values.
+_NUMERALS = {
+    skeleton(word): value
+    for words in (
+        "صفر یک دو سه چهار پنج شش هفت هشت نه ده یازده دوازده سیزده چهارده پانزده شانزده هفده هجده نوزده",
+        "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen",
+    )
+    for value, word in enumerate(words.split())
+} | {
+    skeleton(word): value
+    for word, value in zip(
+        "یه چار شیش پونزده شونزده هیفده هیجده بیست سی چهل پنجاه شصت هفتاد هشتاد نود صد یکصد دویست سیصد چهارصد پانصد پونصد ششصد شیشصد هفتصد هشتصد نهصد".split(),
+        (1, 4, 6, 15, 16, 17, 18, *range(20, 100, 10), 100, 100, 200, 300, 400, 500, 500, 600, 600, 700, 800, 900),
+    )
+}
+_NUMERAL = re.compile(rf"(?>{'|'.join(sorted(map(re.escape, _NUMERALS), key=len, reverse=True))}|\d)", re.I)
+_AND = re.compile(r" ?و ?")
+#: A run of numerals in words, or words and digits, between which stand at most an 'and' or some separators.
+_SPELLED = re.compile(rf"(?<![\w@])(?:[+(]{{1,2}})?{_NUMERAL.pattern}(?:(?: ?و ?|[ .،,()/-]{{0,3}}){_NUMERAL.pattern}){{3,}}(?!\w)", re.I)
 _PASSPORT = re.compile(r"(?<![A-Za-z0-9])[A-Z] ?\d{8}(?!\d|\w)")
 _ID_WORD = re.compile(r"(?:کد\s?ملی|شماره\s?ملی|کدملی|ملی|شناسنامه|national)")
 _NOT_ID = re.compile(r"(?:پیگیری|رهگیری|فاکتور|سفارش|تاپیک|مرسوله|تراکنش|ارجاع|پرونده|تومن|تومان|ریال)")
@@ -68,9 +87,9 @@ def _check_digit(digits: str) -> bool:
     return int(digits[9]) == (rest if rest < 2 else 11 - rest)
 
 
-def _number_type(text: str, start: int, stop: int) -> str | None:
-    """Whether a number is a phone number, a national code or neither, by its form and the words around it."""
-    shown = text[start:stop].lstrip("(")
+def _number_type(text: str, start: int, stop: int, shown: str | None = None) -> str | None:
+    """Whether a number is a phone number, a national code or neither, by its form and the words around it; shown: in digits, if it is spelled."""
+    shown = shown or text[start:stop].lstrip("(")
     digits = "".join(str(int(c)) for c in shown if c.isdigit())
     near = re.split(r"[\n.!؟?،]", text[max(0, start - 18) : start])[-1]
     unit = text[stop : stop + 8]
@@ -86,6 +105,40 @@ def _number_type(text: str, start: int, stop: int) -> str | None:
     return "id_number" if _ID_WORD.search(before) or _ID_WORD.search(after) or _check_digit(digits) else None
 
 
+def _spelled(flat: str) -> Iterator[tuple[int, int, str]]:
+    """(start, stop, type) of the numbers spelled in words."""
+    for run in _SPELLED.finditer(flat):
+        groups: list[tuple[int, int, str]] = []
+        last = 0  # what may still be added to: the value of the numeral before, if it is a round one
+        for m in _NUMERAL.finditer(flat, *run.span()):
+            value = int(m.group()) if m.group().isdigit() else _NUMERALS[m.group().lower()]
+            if last and value and not m.group().isdigit() and _AND.fullmatch(flat, groups[-1][1], m.start()) and value < (100 if last >= 100 else 10):
+                groups[-1] = (groups[-1][0], m.end(), str(int(groups[-1][2]) + value))
+                last = value if value >= 20 else 0
+            else:
+                groups.append((m.start(), m.end(), str(value)))
+                last = value if value >= 20 and value % 10 == 0 else 0
+        if all(flat[start:stop].isdigit() for start, stop, _ in groups):
+            continue
+        digits = "".join(g[2] for g in groups)
+        if kind := _number_type(flat, groups[0][0], groups[-1][1], digits):
+            yield run.start() if flat[run.start()] == "+" else groups[0][0], groups[-1][1], kind
+            continue
+        # Another number may stand next to it: the phone numbers are told by their length then.
+        first = 0
+        while first < len(groups):
+            size, end = 0, first
+            while end < len(groups) and size < 11:
+                size += len(groups[end][2])
+                end += 1
+            shown = "".join(g[2] for g in groups[first:end])
+            if re.fullmatch(r"0[1-9]\d{9}", shown) and not all(flat[a:b].isdigit() for a, b, _ in groups[first:end]) and _number_type(flat, groups[first][0], groups[end - 1][1], shown):
+                yield groups[first][0], groups[end - 1][1], "phone"
+                first = end
+            else:
+                first += 1
+
+
 def original_places(text: str) -> list[int]:
     """For each character of skeleton(text) its place in the text, and the text's length at the end."""
     places: list[int] = []
@@ -128,6 +181,7 @@ def structured(flat: str) -> list[tuple[int, int, str]]:
             for m in _NUMBER.finditer(flat):
                 if kind := _number_type(flat, m.start(), m.end()):
                     found.append((m.start(), m.end(), kind))
+    found += _spelled(flat)
     for m in _STATED_NAME.finditer(flat) if "فامیل" in flat else ():
         found.append((*m.span(1), "name"))
         found.append((*m.span(2), "name"))

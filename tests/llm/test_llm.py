@@ -201,6 +201,21 @@ def test_forms_of_personal_information(text, kinds):
     assert [k for _, _, k in personal.structured(skeleton(text))] == kinds
 
 
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("شماره‌م صفر نه هفت یک یک چهار هفت هفت سه هشت شش هست", ["phone"]), ("(صفر، نه، هفت، صفر، چهار، چهار، یک، هشت، چهار، یک، شش) خط خودمه", ["phone"]), ("صفر نهصد و دوازده سیصد و چهل و پنج شصت و هفت هشتاد و نه", ["phone"]),
+        ("zero nine one two three four five six seven eight nine", ["phone"]), ("صفر نه ۱۲ ۳۴۵ شش هفت ۸۹", ["phone"]), ("نود و هشت نه یک دو سه چهار پنج شش هفت هشت نه", ["phone"]), ("ساعت ۲ صفر نه یک دو سه چهار پنج شش هفت هشت نه", ["phone"]),
+        ("کد ملیم هشت پنج شش یک شش نه یک شش نه هفت هست", ["id_number"]), ("تا ده شمردم یک دو سه چهار پنج شش هفت هشت نه ده", []), ("صفر یک دو سه چهار پنج شش هفت هشت نه ده", []), ("دو سه تا بچه، یک دو سه", []), ("کد پیگیری صفر نه یک دو سه چهار پنج شش هفت هشت نه", []),
+    ],
+)
+def test_numbers_in_words(text, kinds):
+    flat = skeleton(text)
+    found = personal.structured(flat)
+    assert [k for _, _, k in found] == kinds
+    assert all(flat[stop - 1 : stop + 1].strip() and not flat[stop : stop + 1].isalnum() for _, stop, _ in found)
+
+
 def test_names_are_bootstrapped_and_the_rest_unchanged(spark):
     rng = random.Random(11)
     known, unknown, families = ["مینا", "شیوا", "نگار", "آرمان"], ["گوهرشاد", "کیومرث"], [f"خاندان{c}پور" for c in "ابپتثجچحخد"]
