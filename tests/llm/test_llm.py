@@ -362,6 +362,19 @@ def test_spam_pages_are_told_from_sentences(spark):
     assert webspam.spam_scores(df.where("false")).count() == 0
 
 
+def test_repeats_of_a_collocation_that_ordinary_pages_hold_are_spam(spark):
+    rng = random.Random(19)
+    word = lambda: f"w{rng.randrange(3000)}"
+    sentence = lambda: " ".join(word() for _ in range(9))
+    # The repeated pairs stand in every second ordinary page, so the corpus takes them for language.
+    rows = [(i, ". ".join([sentence() for _ in range(6)] + (["we bought the baby carriage here", "in the carriage baby blankets"] if i % 2 else [])), i < 0) for i in range(300)]
+    rows += [(1000 + i, sentence() + ". " + "baby carriage " * 30, True) for i in range(5)]
+    refrain = "we bought the baby carriage here. "
+    rows += [(2000 + i, ". ".join(sentence() for _ in range(8)) + ". " + refrain * 4, False) for i in range(5)]
+    out = {r.doc_id: r.is_spam for r in webspam.spam_scores(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")).collect()}
+    assert {i for i, spam in out.items() if spam} == {i for i, _, spam in rows if spam}
+
+
 def test_word_salad_has_low_information():
     rng = np.random.default_rng(18)
     counts = webspam.Counts(np.zeros(2 * webspam.COUNTERS, np.int32), np.zeros(2 * webspam.COUNTERS, np.int32), 10_000)
