@@ -27,6 +27,11 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return posts(spark, d).select("row_ordinal", labels.content_hash(ascii_).alias("hash"))
 
 
+def content_hash_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of the whole content; content_hash takes only what SQL can follow, the ASCII characters."""
+    return posts(spark, d).select("row_ordinal", labels.content_hash(F.col("content")).alias("hash"))
+
+
 def dup_content_groups(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "duplicate_content_audit")
     return df.where("content_hash <> ''").groupBy("content_hash").agg(F.count("*").alias("n")).where("n > 1")
@@ -258,4 +263,4 @@ SELECT unique_post_id, round(v, 6) AS acquisition FROM (SELECT unique_post_id, 0
 ORACLE["leaderboard"] = f"SELECT *, CAST(row_number() OVER (ORDER BY mae, rmse, weight DESC) AS INTEGER) AS rank FROM ({ORACLE['blend_candidates']})"
 ORACLE["dataset_digest"] = f"""WITH h AS (SELECT sha256(unique_post_id || chr(31) || canonical_preference_rank) AS h FROM {C}), p AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS part FROM h GROUP BY 1)
 SELECT sha256(string_agg(part, '' ORDER BY b)) AS digest FROM p"""
-QUERIES = {name: globals()[name] for name in [*ORACLE, "fuzzy_match", "grouped_folds"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE, "content_hash_whole", "fuzzy_match", "grouped_folds"]}

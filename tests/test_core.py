@@ -1,8 +1,10 @@
 """The general operators on small tables: values, nulls, empty tables, ties, repeated rows, clashing columns."""
 
 import datetime as dt
+import hashlib
 import math
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from kelk.functions import features, jalali
 from kelk.functions.text import ascii_digits, count_any, drop_decimal_zero
 from kelk.operators import cleaning, components, evaluation, labels, running, vocabulary
 from kelk.operators.sessions import sessionize
+from kelk.plans import label_queries
 from kelk.sources import html, readers
 from kelk.streaming import alerts
 
@@ -169,6 +172,19 @@ def test_content_hash_and_digest(spark):
     assert digest(rows) == digest(rows[::-1]) != digest(rows[1:])
 
 
+def test_content_hash_of_whole_posts_against_brute_force(spark, tmp_path):
+    texts = ["كتاب‌ها  ي", "کتاب ها ی", "ﷺ ① ｆｕｌｌ", "سلام", "بدرود", "!", "", None, " \u200c\u3000\n "]
+    spark.createDataFrame(list(enumerate(texts)), "row_ordinal long, content string").write.parquet(f"{tmp_path}/ninisite_cleaned_enriched.parquet")
+
+    def brute(text):
+        plain = unicodedata.normalize("NFKC", text or "").translate({0x64A: "ی", 0x649: "ی", 0x643: "ک", 0x200C: " ", 0x200F: " ", 0x200E: " "})
+        return hashlib.sha256(" ".join(plain.split()).encode()).hexdigest() if plain.split() else ""
+
+    got = {r.row_ordinal: r.hash for r in label_queries.QUERIES["content_hash_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    assert got[0] == got[1] and len({got[k] for k in (1, 2, 3, 4, 5)}) == 5
+
+
 def test_grouped_folds_keep_groups_and_balance(spark):
     rows = [(f"g{i % 200}", "A" if i % 200 < 150 else "B") for i in range(1000)]
     folds = labels.grouped_folds(spark.createDataFrame(rows, "g string, c string"), "g", "c").collect()
