@@ -42,6 +42,11 @@ def canonical_by_rank(spark: SparkSession, d: str) -> DataFrame:
     return labels.canonical_by_rank(df, "unique_post_id", F.length("label_round"), "annotator", "stress")
 
 
+def canonical_by_rank_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all annotators; canonical_by_rank and its SQL take three of them."""
+    return labels.canonical_by_rank(table(spark, d, H).where("observed").distinct(), "unique_post_id", F.length("label_round"), "annotator", "stress")
+
+
 def ols_consensus(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, C)
     fit = df.agg(F.regr_slope("person1_raw", "person2_raw").alias("slope"), F.regr_intercept("person1_raw", "person2_raw").alias("intercept"), F.avg(labels.weighted_consensus(F.col("person1_raw"), F.col("person2_raw"))).alias("consensus"))
@@ -213,6 +218,8 @@ ORACLE = {
     "content_hash": f"SELECT row_ordinal, {_HASH} AS hash FROM (SELECT row_ordinal, trim(regexp_replace(regexp_replace(coalesce(content, ''), '[^ -~]', '', 'g'), ' +', ' ', 'g')) AS t FROM {P})",
     "dup_content_groups": "SELECT content_hash, count(*) AS n FROM duplicate_content_audit WHERE content_hash <> '' GROUP BY 1 HAVING count(*) > 1",
     "canonical_by_rank": f"""WITH h AS (SELECT DISTINCT * FROM {H} WHERE observed AND annotator IN ('person1', 'person2', 'person3')), r AS (SELECT *, row_number() OVER (PARTITION BY unique_post_id ORDER BY length(label_round), annotator) AS r FROM h)
+SELECT unique_post_id, max(stress) FILTER (r = 1) AS stress, max(annotator) FILTER (r = 1) AS annotator, count(*) AS versions, coalesce(string_agg(annotator, '|' ORDER BY r) FILTER (r > 1), '') AS discarded FROM r GROUP BY 1""",
+    "canonical_by_rank_all": f"""WITH h AS (SELECT DISTINCT * FROM {H} WHERE observed), r AS (SELECT *, row_number() OVER (PARTITION BY unique_post_id ORDER BY length(label_round), annotator) AS r FROM h)
 SELECT unique_post_id, max(stress) FILTER (r = 1) AS stress, max(annotator) FILTER (r = 1) AS annotator, count(*) AS versions, coalesce(string_agg(annotator, '|' ORDER BY r) FILTER (r > 1), '') AS discarded FROM r GROUP BY 1""",
     "ols_consensus": f"SELECT round(regr_slope(person1_raw, person2_raw), 6) AS slope, round(regr_intercept(person1_raw, person2_raw), 6) AS intercept, round(avg((person1_raw * 1.7::DOUBLE + person2_raw) / 2.7::DOUBLE), 6) AS consensus FROM {C}",
     "match_ladder": f"""WITH r AS (SELECT unique_post_id AS id, row_ordinal, t, {_HASH} AS h, sha256('author=' || coalesce(author, '') || chr(31) || 'content=' || coalesce(content, '') || chr(31) || 'thread_id=' || coalesce(thread_id, '')) AS f

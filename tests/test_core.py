@@ -185,6 +185,13 @@ def test_content_hash_of_whole_posts_against_brute_force(spark, tmp_path):
     assert got[0] == got[1] and len({got[k] for k in (1, 2, 3, 4, 5)}) == 5
 
 
+def test_canonical_rows_of_all_annotators(spark, tmp_path):
+    rows = [("a", "r1", "person4", 3.0, True), ("a", "r1", "person1", 5.0, True), ("a", "r1", "person1", 5.0, True), ("a", "r1", "person9", 9.0, False), ("b", "r10", "person2", 2.0, True), ("b", "r2", "person14", 7.0, True), ("c", "r1", "person7", 4.0, True)]
+    spark.createDataFrame(rows, "unique_post_id string, label_round string, annotator string, stress double, observed boolean").write.parquet(f"{tmp_path}/annotation_history.parquet")
+    got = sorted(tuple(r) for r in label_queries.QUERIES["canonical_by_rank_all"](spark, str(tmp_path)).collect())
+    assert got == [("a", 5.0, "person1", 2, "person4"), ("b", 7.0, "person14", 2, "person2"), ("c", 4.0, "person7", 1, "")]
+
+
 def test_grouped_folds_keep_groups_and_balance(spark):
     rows = [(f"g{i % 200}", "A" if i % 200 < 150 else "B") for i in range(1000)]
     folds = labels.grouped_folds(spark.createDataFrame(rows, "g string, c string"), "g", "c").collect()
