@@ -5,7 +5,8 @@ look-alike, full-width and spaced-out spellings are one; numbers may be spelled
 are the seeds. Their occurrences induce lexical patterns (the words around a name), patterns and instances form a graph of
 counts, and Spark scores it in rounds: a pattern is as good as the instances it holds, an instance as good as the patterns it
 stands in. Patterns of high confidence give new given names, these new patterns, and so on. In the end a name is a trusted given
-name with the word after it as the family name, or any two words in a trusted pattern of two-word names.
+name with the word after it, where several trusted names lead that word or a trusted pattern holds the two. However
+common the words are, they are counted: texts hand on counts, and a second pass finds the windows of the trusted names.
 """
 
 from __future__ import annotations
@@ -194,10 +195,6 @@ def structured(flat: str) -> list[tuple[int, int, str]]:
 
 # --- names ----------------------------------------------------------------------------------------------------------------
 
-#: A word is rare if fewer than this share of the texts hold it. Of a text of w words at most, w / RARE words are not.
-RARE = 0.002
-#: And it is rare if fewer than so many texts hold it, which counts for small tables only.
-LEAST_COMMON = 50
 ROUNDS = 4
 #: Confidence from which a given name is trusted, and a pattern, in the first round and later; trusted names a pattern needs.
 TRUST, FIRST_PATTERN, PATTERN, SUPPORT = 0.9, 0.25, 0.6, 2
@@ -212,34 +209,8 @@ def _texts(df: DataFrame, row: str, content: str) -> DataFrame:
     return df.select(F.col(row).cast("long").alias("row"), F.col(content).alias("text")).where("text IS NOT NULL")
 
 
-def common_words(texts: DataFrame, share: float = RARE) -> list[str]:
-    """Words that at least the given share of all texts hold; their number is bounded by the words of a text over the share."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
-        seen = 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array([*held, None], pa.string()), "n": pa.array([*held.values(), seen], pa.int64())})
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen += 1
-                held.update({t for t in _TOKEN.findall(skeleton(text))})
-            if len(held) > FLUSH:
-                yield out()
-                held.clear()
-                seen = 0
-        yield out()
-
-    counts = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = cut(counts)
-    total = counts.where("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    return [r["word"] for r in counts.where(F.col("word").isNotNull() & (F.col("n") >= F.lit(max(share * total, float(LEAST_COMMON))))).select("word").collect()]
-
-
-def _windows(flat: str, spans: list[tuple[int, int, str]], common: frozenset[str]) -> Iterator[tuple[int, int, str, str, list[str]]]:
-    """(start, stop, first word, second word, patterns) of two adjacent words of which one at least is rare."""
+def _windows(flat: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, str, list[str]]]:
+    """(start, stop, first word, second word, patterns) of every two adjacent words."""
     tokens: list[str] = []
     places: list[tuple[int, int]] = []
     free = iter([*spans, (len(flat), len(flat), "")])
@@ -251,14 +222,9 @@ def _windows(flat: str, spans: list[tuple[int, int, str]], common: frozenset[str
             continue  # inside of what has been found already
         tokens.append(m.group())
         places.append(m.span())
-    rare = [t not in common and t[0].isalpha() and len(t) > 1 for t in tokens]
-    if not any(rare):
-        return
     ends = [t if t not in _STOP else "^" for t in tokens]
     last = len(tokens) - 1
     for i in range(last):
-        if not (rare[i] or rare[i + 1]):
-            continue
         first, second = tokens[i], tokens[i + 1]
         if not (first[0].isalpha() and second[0].isalpha() and len(first) > 1 and len(second) > 1) or places[i + 1][0] - places[i][1] != 1:
             continue
@@ -272,37 +238,73 @@ def _windows(flat: str, spans: list[tuple[int, int, str]], common: frozenset[str
 
 _FOUND = T.StructType([
     T.StructField("row", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("pii_type", T.StringType()),
-    T.StructField("first", T.StringType()), T.StructField("second", T.StringType()), T.StructField("patterns", T.ArrayType(T.StringType())),
+    T.StructField("first", T.StringType()), T.StructField("second", T.StringType()), T.StructField("pattern", T.StringType()), T.StructField("n", T.LongType()),
 ])
+_ARROW = pa.schema([("row", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("pii_type", pa.string()), ("first", pa.string()), ("second", pa.string()), ("pattern", pa.string()), ("n", pa.int64())])
 
 
-def _scan(texts: DataFrame, common: list[str]) -> DataFrame:
-    """What has a form of its own, with its type, and the windows in which names may stand, with a null type."""
-    broadcast = texts.sparkSession.sparkContext.broadcast(frozenset(common))
-    arrow = pa.schema([("row", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("pii_type", pa.string()), ("first", pa.string()), ("second", pa.string()), ("patterns", pa.list_(pa.string()))])
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
+
+
+def _scan(texts: DataFrame) -> DataFrame:
+    """What has a form of its own, with its type; and with a null type the counts of all windows by first word and pattern, or second word."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = broadcast.value
+        windows: Counter[tuple[str, str, tuple[str, ...]]] = Counter()
+
+        def counts() -> pa.RecordBatch:
+            held: Counter[tuple[str, str | None, str | None]] = Counter()
+            for (first, second, patterns), n in windows.items():
+                held[first, second, None] += n
+                for pattern in patterns:
+                    held[first, None, pattern] += n
+            windows.clear()
+            return _batch([(None, None, None, None, None, *key, n) for key, n in held.items()])
+
         for batch in batches:
             out: list[tuple] = []
             for row, code, text in zip(batch.column("row").to_pylist(), batch.column("hash").to_pylist(), batch.column("text").to_pylist()):
                 flat = skeleton(text)
                 spans = structured(flat)
-                out += [(row, code, start, stop, kind, None, None, None) for start, stop, kind in spans]
-                out += [(row, code, start, stop, None, first, second, patterns) for start, stop, first, second, patterns in _windows(flat, spans, known)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+                out += [(row, code, start, stop, kind, None, None, None, None) for start, stop, kind in spans]
+                windows.update((first, second, tuple(patterns)) for _, _, first, second, patterns in _windows(flat, spans))
+                if len(windows) > FLUSH:
+                    yield counts()
+            yield _batch(out)
+        yield counts()
+
+    return texts.select("row", F.xxhash64("text").alias("hash"), "text").mapInArrow(find, _FOUND)
+
+
+def _led(texts: DataFrame, given: frozenset[str]) -> DataFrame:
+    """The windows whose first word is one of the given names, one row a pattern."""
+    broadcast = texts.sparkSession.sparkContext.broadcast(given)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = broadcast.value
+        for batch in batches:
+            out: list[tuple] = []
+            for row, code, text in zip(batch.column("row").to_pylist(), batch.column("hash").to_pylist(), batch.column("text").to_pylist()):
+                flat = skeleton(text)
+                if names.isdisjoint(_TOKEN.findall(flat)):
+                    continue
+                for start, stop, first, second, patterns in _windows(flat, structured(flat)):
+                    if first in names:
+                        out += [(row, code, start, stop, None, first, second, pattern, None) for pattern in patterns]
+            yield _batch(out)
 
     return texts.select("row", F.xxhash64("text").alias("hash"), "text").mapInArrow(find, _FOUND)
 
 
-def score_names(windows: DataFrame, seeds: tuple[str, ...] = SEED_NAMES, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(given names, patterns) with their confidence after the rounds over the graph of patterns and instances.
+def score_names(edges: DataFrame, seeds: tuple[str, ...] = SEED_NAMES, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(given names, patterns) with their confidence after the rounds over the graph of patterns and instances (first, pattern, n).
 
     A pattern's confidence is the mean one of its distinct first words, and it must hold SUPPORT trusted ones. A word's is
     1 - the product of (1 - confidence) over its trusted patterns, lowered if less than half of its patterns are trusted ones,
     counted by windows. Seeds keep 1. The graph has an edge a pattern and first word; counts don't weigh, so copies don't matter.
     """
-    edges = cut(windows.select("first", F.explode("patterns").alias("pattern")).groupBy("first", "pattern").agg(F.count("*").alias("n")))
+    edges = cut(edges)
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("words"))
     given = edges.select("first").distinct().where(F.col("first").isin(*seeds)).withColumn("trust", F.lit(1.0))
     patterns = None
@@ -327,13 +329,12 @@ def find_personal(df: DataFrame, row: str = "row_ordinal", content: str = "conte
     the longer one, counts. An empty table gives no rows; extra columns are ignored. Texts are searched whole.
     """
     texts = _texts(df, row, content)
-    found = cut(_scan(texts, common_words(texts)))
-    windows = found.where("pii_type IS NULL")
-    given, patterns = score_names(windows, seeds)
+    found = cut(_scan(texts))
+    given, patterns = score_names(found.where("pattern IS NOT NULL").groupBy("first", "pattern").agg(F.sum("n").alias("n")), seeds)
     # A second word that follows several trusted given names is a family name; else a trusted pattern must speak for it.
-    led = windows.join(given.select("first"), "first")
-    families = led.groupBy("second").agg(F.countDistinct("first").alias("givens")).where("givens > 1").select("second", F.lit(True).alias("family"))
-    named = led.select("row", "hash", "start", "stop", "second", F.explode("patterns").alias("pattern"))
+    families = found.where("second IS NOT NULL").select("first", "second").distinct().join(given.select("first"), "first")
+    families = families.groupBy("second").agg(F.count("*").alias("givens")).where("givens > 1").select("second", F.lit(True).alias("family"))
+    named = _led(texts, frozenset(r["first"] for r in given.select("first").collect()))
     named = named.join(patterns.select("pattern", F.lit(True).alias("spoken")), "pattern", "left").join(families, "second", "left").where("spoken OR family")
     names = named.select("row", "hash", "start", "stop", F.lit("name").alias("pii_type")).distinct()
     return found.where("pii_type IS NOT NULL").select("row", "hash", "start", "stop", "pii_type").unionByName(names)

@@ -239,6 +239,18 @@ def test_names_are_bootstrapped_and_the_rest_unchanged(spark):
     assert personal.find_personal(df.where("false")).count() == 0
 
 
+def test_names_of_two_common_words(spark):
+    rng = random.Random(12)
+    known, families = ["شیوا", "نگار", "آرمان"], [f"خاندان{c}پور" for c in "ابپتثجچحخد"]
+    fill = ["امروز هوا خوب بود و رفتیم پارک", "اسم بچه رو شیوا بذاریم یا ترانه", "دکتر گفت استراحت کن"]
+    # A third of the texts are signed with one full name.
+    rows = [(i, f"{rng.choice(fill)}. با احترام مینا رودکامپور") for i in range(100)]
+    rows += [(1000 + i, f"{rng.choice(fill)}. با احترام {rng.choice(known)} {rng.choice(families)}") for i in range(30)]
+    rows += [(2000 + i, rng.choice(fill)) for i in range(170)]
+    found = personal.find_personal(spark.createDataFrame(rows, "row_ordinal long, content string")).collect()
+    assert {r.row for r in found if r.pii_type == "name"} == {i for i, _ in rows if i < 2000}
+
+
 def test_places_lead_back_to_the_original():
     text = "شماره‌م ٠٩١‌٢٣٤٥٦‏٧٨٩ هست آ"
     places = personal.original_places(text)
