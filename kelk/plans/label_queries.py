@@ -195,15 +195,25 @@ def acquisition_rank(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.acquisition_rank(df, "unique_post_id", "a", "b", "score", "spread", CUTS, 50).withColumn("acquisition", F.round("acquisition", 6))
 
 
-def kde_grid(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, C).where("final_stress IS NOT NULL").select("clinical_class", F.round("final_stress", 3).alias("x"))
-    # Equal values share one term: the points are aggregated before they meet the grid of 50.
+def _density(df: DataFrame, points: int) -> DataFrame:
+    """clinical_class, g, density of the scores x at points of an even grid from 1 to 10."""
+    # Equal values share one term: the points are aggregated before they meet the grid.
     stats = df.groupBy("clinical_class").agg(F.count("*").alias("n"), F.stddev_samp("x").alias("s")).withColumn("h", F.col("s") * F.pow("n", F.lit(-0.2)))
-    points = df.groupBy("clinical_class", "x").agg(F.count("*").alias("w")).join(F.broadcast(stats), "clinical_class")  # one row a class
-    grid = points.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("at", 1 + F.col("g") * 9.0 / 49)
+    values = df.groupBy("clinical_class", "x").agg(F.count("*").alias("w")).join(F.broadcast(stats), "clinical_class")  # one row a class
+    grid = values.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", 1 + F.col("g") * 9.0 / (points - 1))
     z = (F.col("at") - F.col("x")) / F.col("h")
     density = F.sum(F.col("w") * F.exp(-0.5 * z * z)) / (F.first("n") * F.first("h") * 2.5066282746310002)
-    return grid.groupBy("clinical_class", "g").agg(F.round(density, 6).alias("density"))
+    return grid.groupBy("clinical_class", "g").agg(density.alias("density"))
+
+
+def kde_grid(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, C).where("final_stress IS NOT NULL").select("clinical_class", F.round("final_stress", 3).alias("x"))
+    return _density(df, 50).withColumn("density", F.round("density", 6))
+
+
+def kde_grid_full(spark: SparkSession, d: str) -> DataFrame:
+    """At 500 points and of the scores as they are; kde_grid and its SQL take 50 points and three decimals."""
+    return _density(table(spark, d, C).where("final_stress IS NOT NULL").select("clinical_class", F.col("final_stress").alias("x")), 500)
 
 
 _PRED = f"(SELECT unique_post_id, final_stress AS truth, clinical_class, coalesce(person1_raw, person2_raw) AS a, coalesce(person2_raw, person1_raw) AS b, (coalesce(person1_raw, person2_raw) * 2 + coalesce(person2_raw, person1_raw)) / 3 AS score FROM {C} WHERE final_stress IS NOT NULL)"
@@ -270,4 +280,4 @@ SELECT unique_post_id, round(v, 6) AS acquisition FROM (SELECT unique_post_id, 0
 ORACLE["leaderboard"] = f"SELECT *, CAST(row_number() OVER (ORDER BY mae, rmse, weight DESC) AS INTEGER) AS rank FROM ({ORACLE['blend_candidates']})"
 ORACLE["dataset_digest"] = f"""WITH h AS (SELECT sha256(unique_post_id || chr(31) || canonical_preference_rank) AS h FROM {C}), p AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS part FROM h GROUP BY 1)
 SELECT sha256(string_agg(part, '' ORDER BY b)) AS digest FROM p"""
-QUERIES = {name: globals()[name] for name in [*ORACLE, "content_hash_whole", "fuzzy_match", "grouped_folds"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE, "content_hash_whole", "fuzzy_match", "grouped_folds", "kde_grid_full"]}

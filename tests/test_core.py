@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import math
 import random
+import statistics
 import unicodedata
 
 import pytest
@@ -192,6 +193,17 @@ def test_canonical_rows_of_all_annotators(spark, tmp_path):
     assert got == [("a", 5.0, "person1", 2, "person4"), ("b", 7.0, "person14", 2, "person2"), ("c", 4.0, "person7", 1, "")]
 
 
+def test_density_at_all_points(spark, tmp_path):
+    rng = random.Random(3)
+    values = {c: [rng.random() * 9 + 1 for _ in range(30)] for c in ("Low", "High")}
+    spark.createDataFrame([(c, x) for c, v in values.items() for x in v] + [("Low", None)], "clinical_class string, final_stress double").write.parquet(f"{tmp_path}/canonical_labels.parquet")
+    got = {(r.clinical_class, r.g): r.density for r in label_queries.QUERIES["kde_grid_full"](spark, str(tmp_path)).collect()}
+    assert len(got) == 2 * 500
+    for c, v in values.items():
+        h = statistics.stdev(v) * len(v) ** -0.2
+        assert all(math.isclose(got[c, g], sum(math.exp(-0.5 * ((1 + g * 9 / 499 - x) / h) ** 2) for x in v) / (len(v) * h * math.sqrt(2 * math.pi)), rel_tol=1e-9) for g in (0, 7, 250, 499))
+
+
 def test_grouped_folds_keep_groups_and_balance(spark):
     rows = [(f"g{i % 200}", "A" if i % 200 < 150 else "B") for i in range(1000)]
     folds = labels.grouped_folds(spark.createDataFrame(rows, "g string, c string"), "g", "c").collect()
