@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kelk.functions.features import wilson
@@ -72,11 +74,79 @@ def threshold_grid(df: DataFrame, score: str, label: str, classes: Sequence[str]
     return near.where(F.pmod("cum_k", "step") == 0).join(after, "cum_k", "left").select(F.coalesce((F.col(score) + F.col("next")) / 2, F.col(score) + 1e-8).alias("t"), *[F.col(f"cum_{n}").alias(f"b{i}") for i, n in enumerate(names)])
 
 
-def threshold_search(df: DataFrame, score: str, label: str, floors: Sequence[float] = (0.75, 0.5, 0.5, 0.75), keep: int = 100, most: int = 200) -> DataFrame:
+def best_triples(t: np.ndarray, below: np.ndarray, floors: Sequence[float], keep: int) -> list[tuple[float, ...]]:
+    """The rows of threshold_search over candidates t, rising, with the rows of each class (columns) below each.
+
+    The top precision depends on t3 alone, so the t3 are taken from the best on. For each, blocks of t1 and t2 are halved, and those whose
+    bound of the macro f1 stays under the worst triple kept are dropped: no triple is left out that belongs to the best.
+    """
+    size, every = below[-1], below.sum(1)  # the last candidate lies above all rows
+    share = lambda a, b: np.divide(a, b, out=np.zeros(np.broadcast(a, b).shape), where=np.broadcast_to(b, np.broadcast(a, b).shape) > 0)
+
+    def f1(hits: np.ndarray, support: int, chosen: np.ndarray) -> np.ndarray:
+        recall, precision = share(hits, support), share(hits, chosen)
+        return share(2 * recall * precision, recall + precision)
+
+    enough = lambda hits, c: share(hits, size[c]) + 1e-12 >= floors[c]
+    first = np.flatnonzero(enough(below[:, 0], 0))
+    top = np.flatnonzero(enough(size[3] - below[:, 3], 3))
+    tops = np.round(share(size[3] - below[:, 3], every[-1] - every), 12)
+    f_low, f_top = f1(below[:, 0], size[0], every), f1(size[3] - below[:, 3], size[3], every[-1] - every)
+    out: list[tuple[float, ...]] = []
+    for precision in np.unique(tops[top])[::-1]:
+        if len(out) >= keep:
+            break
+        room, best = keep - len(out), []
+
+        def trim() -> None:
+            best.sort(key=lambda r: (-r[4], -r[5], *r[:3]))
+            del best[room:]
+
+        for k in top[tops[top] == precision]:
+            second = np.flatnonzero(enough(below[k, 2] - below[:k, 2], 2))
+            if not len(second) or not len(first):
+                continue
+            hits, chosen = below[k, 2] - below[second, 2], every[k] - every[second]
+            f_high, p_high = f1(hits, size[2], chosen), np.round(share(hits, chosen), 12)
+            blocks = [(-np.inf, 0, len(first), 0, len(second))]
+            while blocks:
+                bound, a, b, c, d = heapq.heappop(blocks)
+                if len(best) >= room and -bound < best[-1][4] - 1e-11:
+                    break
+                if (b - a) * (d - c) <= 4096:
+                    i, j = first[a:b, None], second[None, c:d]
+                    hits, chosen = below[j, 1] - below[i, 1], every[j] - every[i]
+                    rows, columns = np.nonzero((i < j) & enough(hits, 1))
+                    macro = np.round((f_low[i] + f1(np.maximum(hits, 0), size[1], np.maximum(chosen, 0)) + f_high[None, c:d] + f_top[k]) / 4, 12)[rows, columns]
+                    if len(best) >= room:
+                        good = macro >= best[-1][4]
+                        rows, columns, macro = rows[good], columns[good], macro[good]
+                    best += [(*map(float, t[[first[a + x], second[c + y], k]]), float(precision), float(m), float(p_high[c + y])) for x, y, m in zip(rows, columns, macro)]
+                    trim()
+                    continue
+                half = [(a, (a + b) // 2, c, d), ((a + b) // 2, b, c, d)] if b - a >= d - c else [(a, b, c, (c + d) // 2), (a, b, (c + d) // 2, d)]
+                for a, b, c, d in half:
+                    most = below[second[d - 1], 1] - below[first[a], 1]
+                    if second[d - 1] <= first[a] or not enough(most, 1):
+                        continue
+                    least = max(every[second[c]] - every[first[b - 1]], most)
+                    middle = 2 * most / (size[1] + least) if most else 0.0
+                    heapq.heappush(blocks, (-(f_low[first[a:b]].max() + middle + f_high[c:d].max() + f_top[k]) / 4, a, b, c, d))
+        out += best
+    return out
+
+
+def threshold_search(df: DataFrame, score: str, label: str, floors: Sequence[float] = (0.75, 0.5, 0.5, 0.75), keep: int = 100, most: int | None = None) -> DataFrame:
     """t1 < t2 < t3 whose four recalls reach their floors, with recalls and precisions, the best first.
 
-    The thresholds are joined level by level, and each level drops what its recalls rule out before the next joins.
+    All candidates are searched; the grid, five numbers a distinct score, is searched in the driver. With most, only so many are tried:
+    the thresholds are joined level by level then, and each level drops what its recalls rule out before the next joins.
     """
+    if most is None:
+        grid = threshold_grid(df, score, label, most=2**31 - 1).toPandas().sort_values("t")
+        names = [f"b{i}" for i in range(len(CLASSES))]
+        found = best_triples(grid["t"].to_numpy(), grid[names].to_numpy(np.int64), floors, keep) if len(grid) else []
+        return df.sparkSession.createDataFrame(found, "t1 double, t2 double, t3 double, top_precision double, macro_f1 double, high_precision double")
     grid = threshold_grid(df, score, label, most=most)
     totals = df.agg(*[F.count_if(F.col(label) == c).alias(f"n{i}") for i, c in enumerate(CLASSES)])
     grid = grid.join(F.broadcast(totals))  # one row

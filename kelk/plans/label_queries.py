@@ -155,6 +155,13 @@ def threshold_search(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+def threshold_search_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Over all midpoints of a continuous score: the stand-in's half points, spread by up to half a point by the id's hash."""
+    spread = F.pmod(F.xxhash64("unique_post_id"), F.lit(1_000_003)) / 1_000_003 - 0.5
+    out = evaluation.threshold_search(predictions(spark, d).withColumn("score", F.col("score") + spread), "score", "clinical_class")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     cum = predictions(spark, d).groupBy("score").agg(F.count("*").alias("n"), F.count_if(F.col("clinical_class") == "Very High").alias("p"))
     # Every score counts at the grid points up to it: added up by its own point, then summed from the top of the 91 points.
@@ -280,4 +287,4 @@ SELECT unique_post_id, round(v, 6) AS acquisition FROM (SELECT unique_post_id, 0
 ORACLE["leaderboard"] = f"SELECT *, CAST(row_number() OVER (ORDER BY mae, rmse, weight DESC) AS INTEGER) AS rank FROM ({ORACLE['blend_candidates']})"
 ORACLE["dataset_digest"] = f"""WITH h AS (SELECT sha256(unique_post_id || chr(31) || canonical_preference_rank) AS h FROM {C}), p AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS part FROM h GROUP BY 1)
 SELECT sha256(string_agg(part, '' ORDER BY b)) AS digest FROM p"""
-QUERIES = {name: globals()[name] for name in [*ORACLE, "content_hash_whole", "fuzzy_match", "grouped_folds", "kde_grid_full"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE, "content_hash_whole", "fuzzy_match", "grouped_folds", "kde_grid_full", "threshold_search_exact"]}

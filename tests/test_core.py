@@ -263,6 +263,17 @@ def test_threshold_search_against_all_triples(spark):
     assert len(got) == count > 0
 
 
+def test_best_triples_of_many_scores(spark):
+    rng = random.Random(6)
+    names = evaluation.CLASSES
+    rows = [(k * 2 + rng.random() * 2.6, names[k]) for k in range(4) for _ in range(75)]
+    df = spark.createDataFrame(rows, "s double, c string")
+    # All 300 midpoints joined level by level, against the default, which took every second one.
+    every = [tuple(r) for r in evaluation.threshold_search(df, "s", "c", most=10_000).collect()]
+    got = [tuple(r) for r in evaluation.threshold_search(df, "s", "c").collect()]
+    assert len(got) == 100 and all(math.isclose(x, y, abs_tol=1e-9) for a, b in zip(got, every) for x, y in zip(a, b))
+
+
 def test_vocabulary_and_sample(spark):
     df = spark.createDataFrame([("سلام خوب", 1), ("سلام بد بد بد", 0), (None, 1)], "t string, h int")
     out = {r.stem: (r.association, r.high_freq, r.low_freq) for r in vocabulary.differential_vocabulary(df, "t", F.col("h") == 1, F.col("h") == 0, 1, 2.0).collect()}
