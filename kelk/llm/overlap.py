@@ -1,23 +1,29 @@
 """Records of evaluation splits whose text is in the training split too, exactly or almost.
 
-Texts are reduced to words, and equal word sequences to one text. The distinct evaluation texts are dealt into
-shards, the distinct training texts into slices, and each shard meets each slice. Within a block the search is exact: a pair of
-which SHARE of the longer text's words are common in order has as many words in common in any order. With the words of
-each text ordered from the shard's rarest to its most frequent, such a pair shares one of its first words, 1 - SHARE of the text and
-one more (the prefix filter). The pairs that do are counted in full, and the rest gets the exact check: the longest common
-subsequence of words. Nothing is dropped, however many texts hold a word.
+Texts are reduced to words, and equal word sequences to one text; equal texts of both sides are joined by their keys. For the
+near-equal ones, Aho-Corasick automata over the passages of sharded evaluation texts scan the training texts. A text of which SHARE
+of the words of the longer one are common in order has that many words in common in any order, so it must hold one of the other's
+leading words: the rarest 1 - SHARE of its words and one more. These are the automaton's passages. The words covered in the
+evaluation records that are hit are then counted, and those that reach SHARE of the longer text get the exact check, the longest
+common subsequence; the merged intervals of longer passages tell the coverage. No bar is guessed and nothing is dropped,
+however many texts hold a word and however often a text repeats it.
+
+Few evaluation texts fit one bucket, whose shards all training texts meet. Of more, both sides are routed by their leading
+words: an evaluation text lies in the buckets of its own, a training text goes to the buckets of those that some evaluation text leads with too.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from kelk.llm.confusables import key_of, skeleton
@@ -26,10 +32,12 @@ from kelk.session import cut
 _WORD = re.compile(r"[^\W_]+")
 #: Share of the longer text's words that must occur in the other in the same order, as a fraction.
 SHARE = (7, 10)
-#: Words of a passage by the length of its text: (longest text, words). Passages measure the coverage, they decide nothing.
+#: Words of a passage by the length of its text: (longest text, words). These passages measure the coverage, they decide nothing.
 PASSAGE = ((10, 1), (20, 2), (10**9, 3))
-SHARD_WORDS = 250_000
-SLICE_WORDS = 1_000_000
+#: Words of the evaluation texts of one bucket, of one shard, and of the training texts that one task scans.
+BUCKET_WORDS, SHARD_WORDS, SLICE_WORDS = 16_000_000, 1_000_000, 500_000
+#: Counters of the order of words; two words that share one are merely ordered less well.
+COUNTERS = 1 << 20
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -43,27 +51,30 @@ def plain_text_of(texts: pa.Array) -> pa.Array:
     return pa.array([" ".join(plain_words(t)) or None for t in texts.to_pylist()], pa.string())
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence of two symbol strings, one machine word of b's rows at a time."""
-    masks: dict[str, int] = {}
-    for i, symbol in enumerate(a):
-        masks[symbol] = masks.get(symbol, 0) | 1 << i
-    full = (1 << len(a)) - 1
+def lcs_length(a: Iterable, b: Iterable) -> int:
+    """Length of the longest common subsequence of two sequences, one machine word of the first one's rows at a time."""
+    masks: dict = {}
+    size = 0
+    for symbol in a:
+        masks[symbol] = masks.get(symbol, 0) | 1 << size
+        size += 1
+    full = (1 << size) - 1
     row = full
     for symbol in b:
         if mask := masks.get(symbol):
             both = row & mask
             row = ((row + both) | (row - both)) & full
-    return len(a) - row.bit_count()
+    return size - row.bit_count()
 
 
-def _numbered(words: Iterable[str]) -> list[tuple[str, int]]:
-    """Each word with how often it stood before, so that common words count as often as both texts hold them."""
-    seen: Counter[str] = Counter()
+def _numbered(words: Iterable[str]) -> list[str]:
+    """Each word, from its second time on with its number before it, so that common words count as often as both texts hold them."""
+    seen: dict[str, int] = {}
     out = []
     for word in words:
-        out.append((word, seen[word]))
-        seen[word] += 1
+        n = seen.get(word, 0)
+        seen[word] = n + 1
+        out.append(f"{n} {word}" if n else word)
     return out
 
 
@@ -72,68 +83,141 @@ def _leading(words: int) -> int:
     return words - -(-SHARE[0] * words // SHARE[1]) + 1
 
 
-def _covered(code: str, other: str) -> int:
-    """Words of code in passages that other holds too."""
-    size = next(words for longest, words in PASSAGE if len(code) <= longest)
-    held = {other[i : i + size] for i in range(len(other) - size + 1)}
-    total, end = 0, 0
-    for start in range(len(code) - size + 1):
-        if code[start : start + size] in held:
-            total += start + size - max(start, end)
-            end = start + size
-    return total
-
-
-def _scan(evaluation: pd.DataFrame, training: pd.DataFrame) -> Iterator[tuple]:
-    """(row of evaluation, row of training, covered words, common words) of the near-equal pairs of two blocks."""
-    symbols: dict[str, str] = {}
-    codes = []
-    for text in evaluation["plain"]:
-        codes.append("".join([symbols.setdefault(w, chr(0x10000 + len(symbols) % 0xF0000)) for w in text.split(" ")]))
-    held = Counter(w for code in codes for w in _numbered(code))
-    numbers = {w: i for i, w in enumerate(sorted(held, key=lambda w: (held[w], w)))}
-    ordered = [np.array(sorted([numbers[w] for w in _numbered(code)]), np.int64) for code in codes]
-    places: dict[int, list[int]] = {}
-    for k, words in enumerate(ordered):
-        for w in words[: _leading(len(words))].tolist():
-            places.setdefault(w, []).append(k)
-    leading = {w: np.array(at, np.int64) for w, at in places.items()}
-    sizes = np.array([len(c) for c in codes])
-    present = np.zeros(len(numbers), np.int64)
-    unknown = "\x01"
-    for row, text in enumerate(training["t_plain"]):
-        code = "".join([symbols.get(w, unknown) for w in text.split(" ")])
-        words = sorted([numbers[w] for w in _numbered(code) if w in numbers])
-        # Words that the shard doesn't hold are its rarest.
-        first = words[: max(0, _leading(len(code)) - (len(code) - len(words)))]
-        found = [leading[w] for w in first if w in leading]
-        if not found:
-            continue
-        near = np.unique(np.concatenate(found))
-        longer = np.maximum(sizes[near], len(code))
-        fits = np.minimum(sizes[near], len(code)) * SHARE[1] >= longer * SHARE[0]
-        near, longer = near[fits], longer[fits]
-        if not len(near):
-            continue
-        present[words] = 1
-        shared = np.add.reduceat(present[np.concatenate([ordered[k] for k in near])], np.cumsum(sizes[near]) - sizes[near])
-        present[words] = 0
+class _Record:
+    """The passages of one evaluation text, in an automaton with all the places of each."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.n = len(words)
+        self.size = next(size for longest, size in PASSAGE if self.n <= longest)
+        self.automaton = ahocorasick.Automaton()
+        places: dict[str, list[int]] = {}
+        for start in range(self.n - self.size + 1):
+            places.setdefault(f" {' '.join(words[start : start + self.size])} ", []).append(start)
+        for passage, starts in places.items():
+            self.automaton.add_word(passage, starts)
+        self.automaton.make_automaton()
+
+    def covered(self, text: str) -> int:
+        """Words of the record in passages that the text holds too: the length of the merged intervals."""
+        starts = sorted({s for _, found in self.automaton.iter(f" {text} ") for s in found})
+        total = end = 0
+        for start in starts:
+            total += start + self.size - max(start, end)
+            end = start + self.size
+        return total
+
+
+class _Shard:
+    """Evaluation texts, their words by number, and the automaton of their leading words."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts = texts
+        self.numbers: dict[str, int] = {}
+        flat: list[int] = []
+        sizes: list[int] = []
+        for text in texts:
+            words = _numbered(text.split(" "))
+            flat += [self.numbers.setdefault(w, len(self.numbers)) for w in words]
+            sizes.append(len(words))
+        self.sizes = np.array(sizes, np.int64)
+        words = np.array(flat, np.int64)
+        rows = np.repeat(np.arange(len(texts)), self.sizes)
+        held = np.bincount(words, minlength=len(self.numbers))
+        order = np.lexsort((words, held[words], rows))
+        self.words, self.starts = words[order], np.cumsum(self.sizes) - self.sizes
+        place = np.arange(len(words)) - np.repeat(self.starts, self.sizes)
+        leads = place < np.repeat([_leading(n) for n in sizes], self.sizes)
+        self.leading = self._places(self.words[leads], rows[leads])
+        # Words of many of the texts have a row of flags, all others the list of their texts.
+        self.held_by = self._places(words, rows)
+        often = np.flatnonzero(held * 32 > len(texts))
+        kind = np.uint16 if self.sizes.max(initial=0) < 65_000 else np.int32
+        self.flags = {int(w): np.bincount(self.held_by[w], minlength=len(texts)).astype(kind) for w in often}
+        self.kind = kind
+        self.automaton = ahocorasick.Automaton()
+        names = list(self.numbers)
+        for w in self.leading:
+            word = names[w].rsplit(" ", 1)[-1]
+            self.automaton.add_word(f" {word} ", word)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+        self.present = np.zeros(len(self.numbers), np.int64)
+        self.records: dict[int, _Record] = {}
+
+    @staticmethod
+    def _places(words: np.ndarray, rows: np.ndarray) -> dict[int, np.ndarray]:
+        order = np.argsort(words, kind="stable")
+        words, rows = words[order], rows[order]
+        cuts = np.flatnonzero(np.diff(words)) + 1
+        return dict(zip(words[np.r_[0, cuts]].tolist(), np.split(rows, cuts))) if len(words) else {}
+
+    def _hit(self, text: str) -> list[np.ndarray]:
+        """The texts that lead with a word the automaton finds, as lists that may overlap."""
+        times = Counter(word for _, word in self.automaton.iter(f" {text} ")) if len(self.automaton) else {}
+        out = []
+        for word, n in times.items():
+            for i in range(n):
+                number = self.numbers.get(f"{i} {word}" if i else word)
+                if number is None:
+                    break
+                if number in self.leading:
+                    out.append(self.leading[number])
+        return out
+
+    def near(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(text, covered words, common words) of the other texts that are nearly equal to this one."""
+        hit = self._hit(text)
+        if not hit:
+            return
+        words = text.split(" ")
+        known = [n for w in _numbered(words) if (n := self.numbers.get(w)) is not None]
+        # Counting word by word over all texts takes a fixed time, counting over the texts hit one by their number.
+        if 4 * sum(map(len, hit)) > len(self.texts):
+            shared = np.zeros(len(self.texts), self.kind)
+            for n in known:
+                flags = self.flags.get(n)
+                if flags is not None:
+                    shared += flags
+                else:
+                    shared[self.held_by[n]] += 1
+            near = np.flatnonzero(shared)
+            shared = shared[near].astype(np.int64)
+        else:
+            near = np.unique(np.concatenate(hit))
+            near = near[np.minimum(self.sizes[near], len(words)) * SHARE[1] >= np.maximum(self.sizes[near], len(words)) * SHARE[0]]
+            if not len(near):
+                return
+            self.present[known] = 1
+            sizes = self.sizes[near]
+            offsets = np.cumsum(sizes) - sizes
+            at = np.repeat(self.starts[near] - offsets, sizes) + np.arange(sizes.sum())
+            shared = np.add.reduceat(self.present[self.words[at]], offsets)
+            self.present[known] = 0
+        longer = np.maximum(self.sizes[near], len(words))
         enough = shared * SHARE[1] >= longer * SHARE[0]
         for k, most in zip(near[enough].tolist(), longer[enough].tolist()):
-            common = lcs_length(codes[k], code)
+            if self.texts[k] == text:
+                continue
+            other = self.texts[k].split(" ")
+            common = lcs_length(other, words)
             if common * SHARE[1] >= SHARE[0] * most:
-                yield k, row, _covered(codes[k], code), common
+                if len(self.records) > 10_000:
+                    self.records.clear()
+                if k not in self.records:
+                    self.records[k] = _Record(other)
+                yield k, self.records[k].covered(text), common
 
 
 def _scan_block(evaluation: pd.DataFrame, training: pd.DataFrame) -> pd.DataFrame:
-    if not len(evaluation) or not len(training):
-        return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("e1", "e2", "t1", "t2", "covered", "common", "eval_words", "train_words")})
-    out = list(_scan(evaluation, training))
+    out: list[tuple] = []
+    if len(evaluation) and len(training):
+        shard = _Shard(evaluation["plain"].tolist())
+        out = [(k, row, covered, common) for row, text in enumerate(training["t_plain"]) for k, covered, common in shard.near(text)]
     e, t = evaluation.iloc[[x[0] for x in out]], training.iloc[[x[1] for x in out]]
     return pd.DataFrame(
         {
             "e1": e["k1"].to_numpy(), "e2": e["k2"].to_numpy(), "t1": t["t_k1"].to_numpy(), "t2": t["t_k2"].to_numpy(),
-            "covered": [x[2] for x in out], "common": [x[3] for x in out],
+            "covered": np.array([x[2] for x in out], np.int64), "common": np.array([x[3] for x in out], np.int64),
             "eval_words": e["n"].to_numpy(), "train_words": t["t_n"].to_numpy(),
         }
     )
@@ -142,20 +226,85 @@ def _scan_block(evaluation: pd.DataFrame, training: pd.DataFrame) -> pd.DataFram
 _PAIR = "e1 long, e2 long, t1 long, t2 long, covered long, common long, eval_words long, train_words long"
 
 
-def near_texts(evaluation: DataFrame, training: DataFrame) -> DataFrame:
-    """Pairs of distinct texts (k1, k2, plain, n each) of which SHARE of the longer one's words are common in order, equal ones included.
+def _word_order(evaluation: DataFrame) -> np.ndarray:
+    """How many evaluation texts hold the words of each counter."""
 
-    Each shard of evaluation texts meets each slice of training texts in a task of its own; both are of bounded size in words.
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column("plain").to_pylist():
+                np.add.at(total, [zlib.crc32(w.encode()) % COUNTERS for w in _numbered(text.split(" "))], 1)
+        which = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"counter": pa.array(which), "n": pa.array(total[which])})
+
+    found = evaluation.select("plain").mapInArrow(partial, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
+    out = np.zeros(COUNTERS, np.int64)
+    out[found["counter"]] = found["n"]
+    return out
+
+
+def _leading_codes(plain: Column, order: np.ndarray, df: DataFrame) -> Column:
+    """The codes of each text's leading words, in the one order of words that both sides use."""
+    broadcast = df.sparkSession.sparkContext.broadcast(order)
+
+    @arrow_udf(T.ArrayType(T.LongType()))
+    def codes(texts: pa.Array) -> pa.Array:
+        held = broadcast.value
+        out = []
+        for text in texts.to_pylist():
+            words = [(zlib.crc32(w.encode()), w) for w in _numbered(text.split(" "))]
+            words.sort(key=lambda x: (held[x[0] % COUNTERS], x))
+            out.append(sorted({code for code, _ in words[: _leading(len(words))]}))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return codes(plain)
+
+
+def near_texts(evaluation: DataFrame, training: DataFrame, bucket_words: int = BUCKET_WORDS, shard_words: int = SHARD_WORDS, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """Pairs of different texts (k1, k2, plain, n each) of which SHARE of the longer one's words are common in order, each once.
+
+    Both sides of a task are of bounded size in words. A bucket with more is split into shards and slices, of which each two meet.
     """
-    total = lambda df: df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards, slices = max(1, -(-total(evaluation) // SHARD_WORDS)), max(1, -(-total(training) // SLICE_WORDS))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = evaluation.withColumn("shard", F.pmod("k1", F.lit(shards))).select("*", every(slices).alias("slice"))
-    right = training.withColumn("slice", F.pmod("k2", F.lit(slices))).select("*", every(shards).alias("shard"))
+    total = evaluation.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    names = ("k1", "k2", "plain", "n")
     # New names on the right: both sides may come from one table, whose columns Spark would take for the same.
-    left = left.select("k1", "k2", "plain", "n", F.col("shard").cast("long"), F.col("slice").cast("long"))
-    right = right.select(*[F.col(c).alias(f"t_{c}") for c in ("k1", "k2", "plain", "n")], F.col("shard").cast("long").alias("t_shard"), F.col("slice").cast("long").alias("t_slice"))
-    return left.groupBy("shard", "slice").cogroup(right.groupBy("t_shard", "t_slice")).applyInPandas(_scan_block, _PAIR)
+    left, right = evaluation.select(*names), training.select(*[F.col(c).alias(f"t_{c}") for c in names])
+    if total <= bucket_words:
+        left, right = left.withColumn("bucket", F.lit(0).cast("long")), right.withColumn("t_bucket", F.lit(0).cast("long"))
+    else:
+        # A text of n words lies in the buckets of some 0.3 n words.
+        buckets = -(-total * 25 // bucket_words)
+        order = _word_order(evaluation)
+        led = cut(left.select("k1", "k2", F.explode(_leading_codes(F.col("plain"), order, left)).alias("code")))
+        asked = right.select("t_k1", "t_k2", F.explode(_leading_codes(F.col("t_plain"), order, right)).alias("code")).join(led.select("code").distinct(), "code", "left_semi")
+        left = left.join(led.select("k1", "k2", F.pmod("code", F.lit(buckets)).alias("bucket")).distinct(), ["k1", "k2"])
+        right = right.join(asked.select("t_k1", "t_k2", F.pmod("code", F.lit(buckets)).alias("t_bucket")).distinct(), ["t_k1", "t_k2"])
+    parts = lambda n, size: F.greatest(F.ceil(n / F.lit(size)), F.lit(1)).cast("long")
+    sizes = left.groupBy("bucket").agg(parts(F.sum("n"), shard_words).alias("shards")).join(right.groupBy(F.col("t_bucket").alias("bucket")).agg(parts(F.sum("t_n"), slice_words).alias("slices")), "bucket")
+    sizes = cut(sizes)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = left.join(sizes, "bucket").select(*names, "bucket", F.pmod("k1", F.col("shards")).alias("shard"), every("slices").alias("slice"))
+    right = right.join(sizes.select(F.col("bucket").alias("t_bucket"), F.col("shards").alias("t_shards"), F.col("slices").alias("t_slices")), "t_bucket")
+    right = right.select(*[f"t_{c}" for c in names], "t_bucket", every("t_shards").alias("t_shard"), F.pmod("t_k2", F.col("t_slices")).alias("t_slice"))
+    pairs = left.groupBy("bucket", "shard", "slice").cogroup(right.groupBy("t_bucket", "t_shard", "t_slice")).applyInPandas(_scan_block, _PAIR)
+    return pairs if total <= bucket_words else pairs.distinct()
+
+
+def overlapping_texts(manifest: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, links): the records of both sides with their text's key k1, k2, and the links between texts.
+
+    records: unique_post_id, model_role, label_source, content_hash, k1, k2 (null where no content has a word), trains. links: e1, e2, t1,
+    t2, covered, common, eval_words, train_words, one row a pair of an evaluation and a training text, equal texts included.
+    """
+    roles = manifest.where("unique_post_id IS NOT NULL AND model_role IN ('train', 'validation', 'test')").select("unique_post_id", "model_role").distinct()
+    rows = contents.select("unique_post_id", plain_text_of(F.col("content")).alias("plain"), F.trim("content_hash").alias("content_hash"), "label_source").distinct()
+    records = roles.join(rows, "unique_post_id").withColumns({n: F.when(F.col("plain").isNotNull(), h) for n, h in zip(("k1", "k2"), key_of(F.col("plain")))})
+    records = cut(records.withColumn("trains", F.col("model_role") == "train"))
+    texts = records.where("plain IS NOT NULL").groupBy("k1", "k2").agg(F.first("plain").alias("plain"), F.max("trains").alias("in_train"), F.max(~F.col("trains")).alias("in_eval"))
+    texts = cut(texts.withColumn("n", F.size(F.split("plain", " ")).cast("long")))
+    near = near_texts(texts.where("in_eval"), texts.where("in_train"))
+    equal = texts.where("in_eval AND in_train").select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("k1").alias("t1"), F.col("k2").alias("t2"), *[F.col("n").alias(c) for c in ("covered", "common", "eval_words", "train_words")])
+    return records.drop("plain"), cut(near.unionByName(equal))
 
 
 def cross_split_overlaps(manifest: DataFrame, contents: DataFrame) -> DataFrame:
@@ -166,39 +315,47 @@ def cross_split_overlaps(manifest: DataFrame, contents: DataFrame) -> DataFrame:
     are common in the same order; coverage is the share of the evaluation record's words in passages that both hold and share the common
     words' share of the longer text. It is 'hash' where a content is missing (null or without any word) and the hashes are equal
     and not blank; coverage and share are null then. Repeated rows count once, a record with several contents by each of them.
-    A null id takes no part; tables may be empty; extra columns are ignored.
+    A null id takes no part; tables may be empty; extra columns are ignored. Copies are expanded into pairs of records here;
+    overlapping_texts has the links between texts and the membership, overlap_report counts from these.
     """
-    roles = manifest.where("unique_post_id IS NOT NULL AND model_role IN ('train', 'validation', 'test')").select("unique_post_id", "model_role").distinct()
-    rows = contents.select("unique_post_id", plain_text_of(F.col("content")).alias("plain"), F.trim("content_hash").alias("content_hash"), "label_source").distinct()
-    records = roles.join(rows, "unique_post_id").withColumns({n: F.when(F.col("plain").isNotNull(), h) for n, h in zip(("k1", "k2"), key_of(F.col("plain")))})
-    records = cut(records.withColumn("trains", F.col("model_role") == "train"))
-
-    texts = records.where("plain IS NOT NULL").groupBy("k1", "k2").agg(F.first("plain").alias("plain"), F.max("trains").alias("in_train"), F.max(~F.col("trains")).alias("in_eval"))
-    texts = cut(texts.withColumn("n", F.size(F.split("plain", " ")).cast("long")))
-    pairs = near_texts(texts.where("in_eval").drop("in_train", "in_eval"), texts.where("in_train").drop("in_train", "in_eval"))
-
+    records, links = overlapping_texts(manifest, contents)
     evaluation, training = records.where("NOT trains"), records.where("trains")
     by_text = (
-        pairs.join(evaluation.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("unique_post_id").alias("eval_id"), "model_role", "label_source"), ["e1", "e2"])
+        links.join(evaluation.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("unique_post_id").alias("eval_id"), "model_role", "label_source"), ["e1", "e2"])
         .join(training.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("unique_post_id").alias("train_id")), ["t1", "t2"])
         .select("eval_id", "train_id", "model_role", "label_source", F.lit("text").alias("method"), (F.col("covered") / F.col("eval_words")).alias("coverage"), (F.col("common") / F.greatest("eval_words", "train_words")).alias("share"))
     )
     # Only where one content is missing: the side without content leads, so that no pair of two texts is ever made.
     hashed = lambda df: df.where("content_hash <> ''")
-    right = hashed(training).select("content_hash", F.col("unique_post_id").alias("train_id"), F.col("plain").alias("train_plain"))
+    right = hashed(training).select("content_hash", F.col("unique_post_id").alias("train_id"), F.col("k1").alias("train_k1"))
     by_hash = (
-        hashed(evaluation).select("content_hash", F.col("unique_post_id").alias("eval_id"), "model_role", "label_source", "plain").join(right, "content_hash")
-        .where("plain IS NULL OR train_plain IS NULL")
+        hashed(evaluation).select("content_hash", F.col("unique_post_id").alias("eval_id"), "model_role", "label_source", "k1").join(right, "content_hash")
+        .where("k1 IS NULL OR train_k1 IS NULL")
         .select("eval_id", "train_id", "model_role", "label_source", F.lit("hash").alias("method"), F.lit(None).cast("double").alias("coverage"), F.lit(None).cast("double").alias("share"))
     )
     return by_text.unionByName(by_hash).where("eval_id <> train_id")
 
 
-def overlap_report(overlaps: DataFrame, manifest: DataFrame, contents: DataFrame) -> DataFrame:
-    """Records and overlapping records per model_role and label_source of the evaluation splits, and their mean coverage."""
-    roles = manifest.where("unique_post_id IS NOT NULL AND model_role IN ('validation', 'test')").select("unique_post_id", "model_role").distinct()
-    every = roles.join(contents.select("unique_post_id", "label_source").distinct(), "unique_post_id").groupBy("model_role", "label_source").agg(F.count("*").alias("records"))
-    by_record = overlaps.groupBy("model_role", "label_source", "eval_id").agg(F.max("coverage").alias("coverage"), F.countDistinct("train_id").alias("links"))
-    found = by_record.groupBy("model_role", "label_source").agg(F.count("*").alias("overlapping"), F.sum("links").alias("links"), F.avg("coverage").alias("mean_coverage"))
+def overlap_report(manifest: DataFrame, contents: DataFrame) -> DataFrame:
+    """Records, overlapping records, their links and mean coverage per model_role and label_source of the evaluation splits.
+
+    A link is a training text, or a content hash, that a record overlaps with; copies of a text are never expanded into pairs.
+    """
+    records, links = overlapping_texts(manifest, contents)
+    evaluation, training = records.where("NOT trains"), records.where("trains")
+    group = ["model_role", "label_source"]
+    every = evaluation.select("unique_post_id", *group).distinct().groupBy(*group).agg(F.count("*").alias("records"))
+    # A text or hash held by one training record alone is no overlap of that record with itself.
+    ends = [F.min("unique_post_id").alias("least"), F.max("unique_post_id").alias("most")]
+    other = ~((F.col("least") == F.col("most")) & (F.col("least") == F.col("unique_post_id")))
+    holders = training.where("k1 IS NOT NULL").groupBy(F.col("k1").alias("t1"), F.col("k2").alias("t2")).agg(*ends)
+    texts = links.join(holders, ["t1", "t2"]).select(F.col("e1").alias("k1"), F.col("e2").alias("k2"), "t1", "t2", "least", "most", (F.col("covered") / F.col("eval_words")).alias("coverage"))
+    by_text = evaluation.join(texts, ["k1", "k2"]).where(other).groupBy("unique_post_id", *group).agg(F.countDistinct("t1", "t2").alias("links"), F.max("coverage").alias("coverage"))
+    hashed = training.where("content_hash <> ''").select("content_hash", "unique_post_id", F.col("k1").isNull().alias("textless"))
+    holders = hashed.groupBy("content_hash").agg(*ends, F.max("textless").alias("textless"))
+    by_hash = evaluation.join(holders, "content_hash").where((F.col("k1").isNull() | F.col("textless")) & other)
+    by_hash = by_hash.groupBy("unique_post_id", *group).agg(F.countDistinct("content_hash").alias("links"), F.lit(None).cast("double").alias("coverage"))
+    by_record = by_text.unionByName(by_hash).groupBy("unique_post_id", *group).agg(F.sum("links").alias("links"), F.max("coverage").alias("coverage"))
+    found = by_record.groupBy(*group).agg(F.count("*").alias("overlapping"), F.sum("links").alias("links"), F.avg("coverage").alias("mean_coverage"))
     both = every.alias("a").join(found.alias("b"), F.col("a.model_role").eqNullSafe(F.col("b.model_role")) & F.col("a.label_source").eqNullSafe(F.col("b.label_source")), "left")
     return both.select("a.model_role", "a.label_source", "records", F.coalesce("overlapping", F.lit(0)).alias("overlapping"), F.coalesce("links", F.lit(0)).alias("links"), "mean_coverage")

@@ -21,20 +21,19 @@ def p1_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.consistent_form(table(spark, sf_dir, POSTS), ["content", "unique_post_id"]).select("row_ordinal", "unique_post_id", "content")
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    manifest, contents = table(spark, sf_dir, "modeling_manifest_v2"), table(spark, sf_dir, "duplicate_content_audit")
-    return overlap.cross_split_overlaps(manifest, contents), manifest, contents
+def _split_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "modeling_manifest_v2"), table(spark, sf_dir, "duplicate_content_audit")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a train and a validation or test record with the same text."""
-    pairs = _overlaps(spark, sf_dir)[0]
+    pairs = overlap.cross_split_overlaps(*_split_texts(spark, sf_dir))
     return pairs.select(F.least("eval_id", "train_id").alias("post_a"), F.greatest("eval_id", "train_id").alias("post_b")).distinct()
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping records per model_role and label_source."""
-    return overlap.overlap_report(*_overlaps(spark, sf_dir))
+    return overlap.overlap_report(*_split_texts(spark, sf_dir))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

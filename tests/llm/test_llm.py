@@ -110,13 +110,42 @@ def test_overlaps_in_a_hot_group_of_near_copies():
     # One word each is changed, so every pair has at least size - 2 words in common; the rest share single words only.
     every_third = [" ".join(f"{w}x" if i % 4 == 3 else w for i, w in enumerate(base))]
     evaluation, training = variants("e", 300, 30) + every_third, variants("t", 200, 30) + [" ".join(base)] + ["w1 w9 other words"] * 3
-    block = lambda texts, prefix: pd.DataFrame({f"{prefix}plain": texts})
-    got = {(k, row): (covered, common) for k, row, covered, common in overlap._scan(block(evaluation, ""), block(training, "t_"))}
+    shard = overlap._Shard(evaluation)
+    got = {(k, row): (covered, common) for row, text in enumerate(training) for k, covered, common in shard.near(text)}
     want = {(i, j): c for i, a in enumerate(evaluation) for j, b in enumerate(training) if 10 * (c := overlap.lcs_length(a.split(" "), b.split(" "))) >= 7 * max(len(a.split(" ")), len(b.split(" ")))}
     assert {p: c for p, (_, c) in got.items()} == want and len(want) > 300 * 200
     assert all(0 <= covered <= 30 for covered, _ in got.values())
 
 
+def test_overlaps_of_repeated_words_and_refrains_in_routed_buckets(spark):
+    rng = random.Random(33)
+    texts = ["no no no", "haha " * 12, "haha " * 11, "a b c " * 20, "a b c " * 19 + "a b", "one", "one", "b a", "a b"]
+    refrains = [" ".join(rng.choices("xyzuvw", k=3)) for _ in range(6)]
+    for _ in range(80):
+        refrain = rng.choice(refrains)
+        texts.append(" ".join([refrain] * rng.randrange(1, 9) + rng.choices("abcdefgh", k=rng.randrange(0, 12))))
+    plain = [" ".join(t.split()) for t in texts]
+    want = {(a, b) for a in plain[::2] for b in plain if a != b and 10 * slow_lcs(a.split(), b.split()) >= 7 * max(len(a.split()), len(b.split()))}
+    frame = lambda rows: spark.createDataFrame([(i, i + 1, t, len(t.split())) for i, t in enumerate(sorted(set(rows)))], "k1 long, k2 long, plain string, n long")
+    evaluation, training = frame(plain[::2]), frame(plain)
+    left, right = sorted(set(plain[::2])), sorted(set(plain))
+    # One bucket, and many: buckets of 40 words, shards of 20 and slices of 30.
+    for sizes in ((10**6, 10**6, 10**6), (40, 20, 30)):
+        found = overlap.near_texts(evaluation, training, *sizes).collect()
+        assert {(left[r.e1], right[r.t1]) for r in found} == want and len(found) == len(want) > 20
+        assert all(r.common <= r.eval_words and 0 <= r.covered <= r.eval_words for r in found)
+
+
+def test_equal_repetitive_texts_overlap(spark):
+    rows = [("a1", "train", "no no no"), ("a2", "test", "no no no"), ("b1", "train", "haha " * 12), ("b2", "validation", "haha! " * 12), ("c1", "train", "a b c " * 20), ("c2", "test", "a b c " * 20), ("d1", "test", None)]
+    manifest = spark.createDataFrame([(i, r) for i, r, _ in rows], "unique_post_id string, model_role string")
+    contents = spark.createDataFrame([(i, t, "h" if i in ("d1", "a1") else None, "s") for i, _, t in rows], "unique_post_id string, content string, content_hash string, label_source string")
+    found = {(r.eval_id, r.train_id): r.coverage for r in overlap.cross_split_overlaps(manifest, contents).collect()}
+    assert found == {("a2", "a1"): 1.0, ("b2", "b1"): 1.0, ("c2", "c1"): 1.0, ("d1", "a1"): None}
+    report = {r.model_role: (r.records, r.overlapping, r.links) for r in overlap.overlap_report(manifest, contents).collect()}
+    assert report == {"test": (3, 3, 3), "validation": (1, 1, 1)}
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------------
 
 
