@@ -280,11 +280,17 @@ def near_texts(evaluation: DataFrame, training: DataFrame, bucket_words: int = B
         left = left.join(led.select("k1", "k2", F.pmod("code", F.lit(buckets)).alias("bucket")).distinct(), ["k1", "k2"])
         right = right.join(asked.select("t_k1", "t_k2", F.pmod("code", F.lit(buckets)).alias("t_bucket")).distinct(), ["t_k1", "t_k2"])
     parts = lambda n, size: F.greatest(F.ceil(n / F.lit(size)), F.lit(1)).cast("long")
-    sizes = left.groupBy("bucket").agg(parts(F.sum("n"), shard_words).alias("shards")).join(right.groupBy(F.col("t_bucket").alias("bucket")).agg(parts(F.sum("t_n"), slice_words).alias("slices")), "bucket")
-    sizes = cut(sizes)
+    if total <= bucket_words:
+        scanned = training.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        left = left.withColumns({"shards": parts(F.lit(total), shard_words), "slices": parts(F.lit(scanned), slice_words)})
+        right = right.withColumns({"t_shards": parts(F.lit(total), shard_words), "t_slices": parts(F.lit(scanned), slice_words)})
+    else:
+        sizes = left.groupBy("bucket").agg(parts(F.sum("n"), shard_words).alias("shards")).join(right.groupBy(F.col("t_bucket").alias("bucket")).agg(parts(F.sum("t_n"), slice_words).alias("slices")), "bucket")
+        sizes = cut(sizes)
+        left = left.join(sizes, "bucket")
+        right = right.join(sizes.select(F.col("bucket").alias("t_bucket"), F.col("shards").alias("t_shards"), F.col("slices").alias("t_slices")), "t_bucket")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = left.join(sizes, "bucket").select(*names, "bucket", F.pmod("k1", F.col("shards")).alias("shard"), every("slices").alias("slice"))
-    right = right.join(sizes.select(F.col("bucket").alias("t_bucket"), F.col("shards").alias("t_shards"), F.col("slices").alias("t_slices")), "t_bucket")
+    left = left.select(*names, "bucket", F.pmod("k1", F.col("shards")).alias("shard"), every("slices").alias("slice"))
     right = right.select(*[f"t_{c}" for c in names], "t_bucket", every("t_shards").alias("t_shard"), F.pmod("t_k2", F.col("t_slices")).alias("t_slice"))
     pairs = left.groupBy("bucket", "shard", "slice").cogroup(right.groupBy("t_bucket", "t_shard", "t_slice")).applyInPandas(_scan_block, _PAIR)
     return pairs if total <= bucket_words else pairs.distinct()
