@@ -417,12 +417,29 @@ def test_repeats_of_a_collocation_that_ordinary_pages_hold_are_spam(spark):
 
 
 def test_word_salad_has_low_information():
-    rng = np.random.default_rng(18)
-    counts = webspam.Counts(np.zeros(2 * webspam.COUNTERS, np.int32), np.zeros(2 * webspam.COUNTERS, np.int32), 10_000)
-    words = np.arange(50, dtype=np.int32)
-    page = webspam.Pages(words, np.zeros(50, bool), np.array([0, 50]))
-    for counter in webspam._counters(page.words):
-        counts.everywhere[counter] = 2_000  # common words that never stand side by side
-    share, information = page.judge(counts)
-    assert share[0] == 1.0 and information[0] < webspam.SALAD
-    assert rng is not None
+    # Common words that never stand side by side.
+    common = webspam.Common(np.arange(50, dtype=np.int64), np.full(50, 2_000.0), 10_000)
+    common.pairs = np.zeros(webspam.COMMON**2, np.int32)
+    page = webspam.Pages(np.arange(50, dtype=np.int32), np.zeros(50, bool), np.array([0, 50]))
+    assert page.information(common)[0] < webspam.SALAD
+    at, pair = common.of(page.codes, page.at)
+    common.pairs[pair] = 500
+    assert page.information(common)[0] > 0
+
+
+def test_spam_of_many_pairs_sent_or_joined(spark):
+    rng = random.Random(41)
+    word = lambda: f"w{rng.randrange(200_000)}"
+    keywords = [f"k{i} k{i}b" for i in range(10, 22)]
+    rows = [(i, " ".join(word() for _ in range(80))) for i in range(1500)]
+    # Keyword pages, of which two thirds repeat their keywords and so are suspected first.
+    for i in range(90):
+        picked = sorted(rng.sample(keywords, 10))
+        rows.append((5000 + i, " ".join(picked + (picked[:2] * 14 if i % 3 else []))))
+    rows += [(7000, "https://a.example/x www.b.example/y"), (7001, "https://a.example/p/1"), (7002, "two words"), (7003, "#one #two")]
+    rows += [(1, rows[1][1]), (5000, rows[1500][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = sorted(tuple(r) for r in webspam.spam_scores(df).select("doc_id", "n_words", "spam_share", "form_share", "loss_share", "is_spam").collect())
+    joined = sorted(tuple(r) for r in webspam.spam_scores(df, broadcast_rows=0).select("doc_id", "n_words", "spam_share", "form_share", "loss_share", "is_spam").collect())
+    assert sent == joined and len(sent) == len(rows)
+    assert {r[0] for r in sent if r[-1]} == {*range(5000, 5090), 7000, 7001, 7003}
