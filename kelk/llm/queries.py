@@ -66,6 +66,11 @@ def p5_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.consensus(*_labels(spark, sf_dir))[1]
 
 
+def p5_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each annotator gives each label, by the true stress."""
+    return consensus.consensus(*_labels(spark, sf_dir))[2]
+
+
 def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Krippendorff's alpha of all usable labels."""
     return consensus.krippendorff_alpha(consensus.usable_labels(*_labels(spark, sf_dir)))
@@ -126,7 +131,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webspam.spam_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p5_agreement": p5_agreement, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_kept": p7_kept, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p5_confusions": p5_confusions, "p5_agreement": p5_agreement, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_kept": p7_kept, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
 _RELATED = """
 WITH RECURSIVE rec AS (SELECT DISTINCT unique_post_id AS id, group_id, author, thread_id, content_hash, model_role, oof_fold FROM modeling_manifest_v2),
 held AS (SELECT id, 'g' AS k, group_id AS v FROM rec UNION ALL SELECT id, 'a', author FROM rec UNION ALL SELECT id, 't', thread_id FROM rec UNION ALL SELECT id, 'c', content_hash FROM rec),

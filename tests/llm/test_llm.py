@@ -197,14 +197,54 @@ def test_consensus_finds_wrong_labels_and_bad_annotators(spark):
             wrong.add(item)
     h = spark.createDataFrame(history + history[:100], "unique_post_id string, annotator string, stress double, observed boolean")
     c = spark.createDataFrame(canonical, "unique_post_id string, content string, final_stress double, person1_raw double, person2_raw double")
-    posts, people = consensus.consensus(h, c, iterations=5)
+    posts, people, cells = consensus.consensus(h, c)
     reliable = {r.annotator for r in people.collect() if r.reliable}
     assert reliable == {f"a{k}" for k in range(5)}
     n = {r.unique_post_id: r.n_annotators for r in posts.collect()}
     found = {r.unique_post_id for r in consensus.contradicted(h, c).collect()}
     assert found <= {i for i in n if n[i] >= 3} and len(found ^ wrong) <= 3
     empty = consensus.consensus(h.where("false"), c.where("false"))
-    assert empty[0].count() == 0 and empty[1].count() == 0
+    assert all(x.count() == 0 for x in empty)
+    # Each row of a matrix is a distribution; the contrary annotator's is turned round.
+    rows = {}
+    for r in cells.collect():
+        rows.setdefault((r.annotator, r.true_stress), {})[r.label] = r.probability
+    assert len(rows) == 8 * 19 and all(abs(sum(x.values()) - 1) < 1e-9 for x in rows.values())
+    turned = rows["a7", 9.0]
+    assert max(turned, key=turned.get) == 2.0
+    # The same model with the matrices as a table.
+    one = {r.unique_post_id: r.consensus for r in posts.collect()}
+    two = {r.unique_post_id: r.consensus for r in consensus.consensus(h, c, sent=2)[0].collect()}
+    assert one.keys() == two.keys() and max(abs(one[i] - two[i]) for i in one) < 1e-6
+
+
+def test_posterior_corrects_biased_annotators_whom_the_median_follows(spark):
+    rng = random.Random(12)
+    history, canonical, wrong, medians = [], [], set(), {}
+    clip = lambda x: min(10.0, max(1.0, x))
+    for i in range(600):
+        truth = rng.choice([2.0, 3.0, 4.0, 5.0, 6.0])
+        item = f"p{i:03d}"
+        honest = lambda who: (who, clip(truth + rng.choice([-0.5, 0, 0, 0.5])))  # noqa: B023, E731
+        # Two honest annotators label half of the items; the others have one of them and two who are always three points too high.
+        given = [honest("honest1"), honest("honest2")] if i % 2 == 0 else [honest(rng.choice(["honest1", "honest2"])), ("high1", truth + 3), ("high2", clip(truth + 3 + rng.choice([-0.5, 0, 0.5])))]
+        history += [(item, a, v, True) for a, v in given]
+        bad = i % 10 == 1
+        final = truth + 3 if bad else truth
+        if len(given) > 2:
+            medians[item] = abs(final - float(np.median([v for _, v in given])))
+        canonical.append((item, " ".join([f"mood{int(truth)}", f"feeling{int(truth)}", f"w{rng.randrange(40)}"]), final, None, None))
+        if bad:
+            wrong.add(item)
+    h = spark.createDataFrame(history, "unique_post_id string, annotator string, stress double, observed boolean")
+    c = spark.createDataFrame(canonical, "unique_post_id string, content string, final_stress double, person1_raw double, person2_raw double")
+    by_median = {i for i, off in medians.items() if off >= consensus.CONTRADICTION}
+    found = {r.unique_post_id for r in consensus.contradicted(h, c).collect()}
+    assert len(found ^ wrong) <= 3, (len(found), len(wrong), len(found & wrong))
+    assert not wrong & by_median
+    plain = {r.unique_post_id: r.consensus for r in consensus.consensus(h, c, classifier=False)[0].collect()}
+    informed = {r.unique_post_id: r.consensus for r in consensus.consensus(h, c)[0].collect()}
+    assert max(abs(plain[i] - informed[i]) for i in plain) > 0.1
 
 
 def test_alpha_of_agreement(spark):
