@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kelk.functions.features import half_open_class, tabular_features
 from kelk.operators import models
 from kelk.plans.cleaning_queries import SPACE, P, posts
 from kelk.plans.label_queries import CUTS
-from kelk.session import ensure_checkpoint_dir, table
+from kelk.session import shared_folder, table
 from kelk.sources import html, readers
 from kelk.streaming import alerts
 
@@ -36,15 +34,14 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def alerts_streaming(spark: SparkSession, d: str) -> DataFrame:
     """The stream's result, which is the batch's where events come in order."""
-    out = f"{ensure_checkpoint_dir(spark)}/kelk-alerts-{uuid.uuid4().hex}"
-    found = alerts.alerts_stream(_scored(_stream(spark, d, "events")), "user_id", "event_id", "ts", "score", "level")
-    found.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+    out = shared_folder(spark, "alerts")
+    alerts.alerts_stream(_scored(_stream(spark, d, "events")), "user_id", "event_id", "ts", "score", "level", out).trigger(availableNow=True).start().awaitTermination()
     return _shown(spark.read.parquet(f"{out}/table"))
 
 
 def resume_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Two runs over the same source: the second finds nothing new."""
-    out = f"{ensure_checkpoint_dir(spark)}/kelk-ingest-{uuid.uuid4().hex}"
+    out = shared_folder(spark, "ingest")
     spark.read.schema(_EVENTS).parquet(f"{d}/events.parquet").write.parquet(f"{out}/source")
     for _ in range(2):
         readers.ingest_new(spark, f"{out}/source", f"{out}/table", f"{out}/log", _EVENTS)

@@ -55,11 +55,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder; removed when the session ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/kelk-{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path
+
+
 def spill(df: DataFrame) -> DataFrame:
     """df written as a compressed table in the shared checkpoint folder and read back; removed when the session ends."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/kelk-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession, 'table')}/rows"
     df.write.parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

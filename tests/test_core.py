@@ -283,24 +283,87 @@ def test_vocabulary_and_sample(spark):
     assert {r.b: r["count"] for r in take()} == {"low": 20, "high": 10}
 
 
+EPOCH = dt.datetime(2024, 1, 1)
 GOLDEN = [(0, 3.2, "Moderate"), (35, 5.8, "High"), (70, 6.7, "High"), (105, 7.8, "Very High"), (165, 6.4, "High")]
 
 
-def test_alert_sequence():
-    state, out = None, []
-    for minute, score, level in GOLDEN:
-        state, shown = alerts.step(state, minute * 60_000_000, score, level, alerts.Rules())
-        out.append(shown)
-    assert math.isclose(out[-1][0], 6.374730931076565) and math.isclose(out[-1][1], 4.825347435097895) and math.isclose(out[-1][2], 3.4624180873758115)
-    assert [x[3:] for x in out] == [(False,) * 6, (False,) * 6, (False,) * 6, (True, False, False, True, False, True), (False, False, True, True, False, True)]
+def _alerted(spark, rows):
+    schema = "u long, e long, t timestamp, s double, l string"
+    return {r.event: r for r in alerts.alerts_batch(spark.createDataFrame(rows, schema), "u", "e", "t", "s", "l").collect()}
 
 
-def test_late_event_leaves_scores(spark):
-    state, _ = alerts.step(None, 600_000_000, 5.0, "High", alerts.Rules())
-    state, shown = alerts.step(state, 0, 9.0, "Low", alerts.Rules())
-    assert shown[0] == 5.0 and state[0] == 0
-    df = spark.createDataFrame([(1, 1, dt.datetime(2024, 1, 1), 5.0, "High"), (None, 2, dt.datetime(2024, 1, 1), 5.0, "High"), (1, 3, None, 5.0, "High"), (2, 4, dt.datetime(2024, 1, 1), None, "High")], "u long, e long, t timestamp, s double, l string")
-    assert [r.event for r in alerts.alerts_batch(df, "u", "e", "t", "s", "l").collect()] == [1]
+def _by_hand(events, rules=alerts.Rules()):
+    """Scores and flags of one user's events (minute, score, level) in the order they come, one by one."""
+    out, scores, levels, clock, alerted = [], {}, [], None, None
+    for minute, score, level in events:
+        for name, half in (("fast", rules.fast), ("sustained", rules.sustained), ("baseline", rules.baseline)):
+            left = 1.0 if clock is None or minute <= clock else 2.0 ** (-(minute - clock) / half)
+            scores[name] = score if clock is None else scores[name] * left + score * (1 - left)
+        clock = minute
+        levels.append(level in ("High", "Very High"))
+        five = levels[-rules.window :]
+        flags = [level == "Very High" and score >= rules.immediate_score, len(levels) > 1 and scores["sustained"] >= rules.sustained_score, len(five) == rules.window and sum(five) >= rules.window_high, scores["fast"] >= rules.escalation_fast and scores["fast"] - scores["baseline"] >= rules.escalation]
+        cooling = alerted is not None and minute - alerted < rules.cooldown
+        fires = flags[0] or (any(flags) and not cooling)
+        out.append(([scores[n] for n in alerts.SCORES], [*flags, cooling, fires]))
+        alerted = minute if fires else alerted
+    return out
+
+
+# A sequence of scores and what its last event must come to.
+def test_alert_sequence(spark):
+    found = _alerted(spark, [(1, i, EPOCH + dt.timedelta(minutes=m), s, x) for i, (m, s, x) in enumerate(GOLDEN)])
+    assert all(math.isclose(found[4][n], v, rel_tol=1e-12) for n, v in zip(alerts.SCORES, (6.374730931076565, 4.825347435097895, 3.4624180873758115)))
+    assert [tuple(found[i][f] for f in alerts.FLAGS) for i in range(5)] == [(False,) * 6, (False,) * 6, (False,) * 6, (True, False, False, True, False, True), (False, False, True, True, False, True)]
+
+
+def _events(rng, n, spread):
+    level = lambda s: "Low" if s < 3 else "Moderate" if s < 5 else "High" if s < 6.5 else "Very High"
+    times = sorted(rng.choices(range(spread), k=n))
+    scores = [min(10.0, max(1.0, rng.gauss(rng.choice([3, 5, 8]), 1.5))) for _ in times]
+    return [(m, s, level(s)) for m, s in zip(times, scores)]
+
+
+def test_alerts_of_a_hot_user_over_many_slices(spark):
+    rng = random.Random(3)
+    users = {1: _events(rng, 1500, 200 * 1440), 2: _events(rng, 40, 900 * 1440), 3: _events(rng, 300, 600), 4: [(5, 9.0, "Very High")]}
+    rows = [(u, u * 10_000 + i, EPOCH + dt.timedelta(minutes=m), s, x) for u, events in users.items() for i, (m, s, x) in enumerate(events)]
+    rng.shuffle(rows)
+    found = _alerted(spark, rows)
+    assert len(found) == len(rows)
+    for u, events in users.items():
+        for i, (scores, flags) in enumerate(_by_hand(events)):
+            row = found[u * 10_000 + i]
+            assert all(math.isclose(row[n], v, rel_tol=1e-9) for n, v in zip(alerts.SCORES, scores)) and [row[f] for f in alerts.FLAGS] == flags
+
+
+def test_alerts_leave_out_what_has_no_user_time_or_score(spark):
+    rows = [(1, 1, EPOCH, 5.0, "High"), (None, 2, EPOCH, 5.0, "High"), (1, 3, None, 5.0, "High"), (2, 4, EPOCH, None, "High"), (3, 5, EPOCH, 9.0, None)]
+    assert sorted(_alerted(spark, rows)) == [1, 5] and _alerted(spark, [])  == {}
+
+
+def test_stream_with_events_out_of_order(spark, tmp_path):
+    rng = random.Random(5)
+    batches = [{u: _events(rng, n, 400) for u, n in ((1, 30), (2, 3))} for _ in range(3)]
+    # The second batch lies half before the first one's end, the third at the same times as the first.
+    shift = (0, 200, 0)
+    hands = {u: _by_hand([(m + shift[k], s, x) for k, b in enumerate(batches) for m, s, x in b[u]]) for u in (1, 2)}
+    schema, want, number = "u long, e long, t timestamp, s double, l string", {}, {1: 0, 2: 0}
+    out = str(tmp_path / "out")
+    for k, batch in enumerate(batches):
+        rows = []
+        for u, events in batch.items():
+            for m, s, x in events:
+                want[len(want)] = hands[u][number[u]]
+                rows.append((u, len(want) - 1, EPOCH + dt.timedelta(minutes=m + shift[k]), s, x))
+                number[u] += 1
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        alerts.alerts_stream(stream, "u", "e", "t", "s", "l", out).trigger(availableNow=True).start().awaitTermination()
+    found = {r.event: r for r in spark.read.parquet(out + "/table").collect()}
+    assert found.keys() == want.keys()
+    for e, (scores, flags) in want.items():
+        assert all(math.isclose(found[e][n], v, rel_tol=1e-9) for n, v in zip(alerts.SCORES, scores)) and [found[e][f] for f in alerts.FLAGS] == flags
 
 
 def test_pages():
