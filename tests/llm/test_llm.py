@@ -1,6 +1,7 @@
 """The operators for training data on small tables, against brute force, round trips and invariants."""
 
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -301,6 +302,8 @@ def test_names_are_bootstrapped_and_the_rest_unchanged(spark):
     df = spark.createDataFrame(rows, "row_ordinal long, content string, hash string")
     found = personal.find_personal(df).collect()
     assert {r.row for r in found if r.pii_type == "name"} == want
+    # The same with the trusted names and patterns joined instead of sent.
+    assert sorted(map(tuple, found)) == sorted(map(tuple, personal.find_personal(df, sent=0).collect()))
     out = {r.row_ordinal: r.content for r in personal.redact(df).collect()}
     assert len(out) == len(rows) and out[1000] is None and out[1002].endswith("تلفن <phone>")
     for i, text, _ in rows[:600]:
@@ -320,6 +323,36 @@ def test_names_of_two_common_words(spark):
     assert {r.row for r in found if r.pii_type == "name"} == {i for i, _ in rows if i < 2000}
 
 
+def test_contexts_discover_what_has_no_form(spark):
+    rng = random.Random(14)
+    digits = lambda n: "".join(rng.choices("123456789", k=n))
+    rows = []
+    for i in range(60):
+        rows.append((i, f"سلام. زنگ بزنید 09{digits(9)} ممنون"))
+        rows.append((100 + i, f"دوستان ایمیل من {'abcdefgh'[i % 8]}x{i}@mail.example است"))
+        rows.append((200 + i, f"آدرس ما خیابان چنار{i} پلاک {i + 1} نزدیک مترو"))
+        rows.append((300 + i, f"کد پیگیری {digits(10)} رو گرفتم"))
+    # No form tells these: a number of nine digits, an address of mail without a dot, a street without a house.
+    rows += [(1000, f"سلام. زنگ بزنید 2{digits(8)} ممنون"), (1001, "دوستان ایمیل من someone@localhost است"), (1002, "آدرس ما خیابان لاله 17 نزدیک مترو")]
+    rows += [(1003, f"کد پیگیری {digits(9)} رو گرفتم"), (1004, f"مبلغ {digits(9)} واریز شد"), (1005, "رفتیم خیابان نور 17 بار")]
+    df = spark.createDataFrame(rows, "row_ordinal long, content string")
+    found = {(r.row, r.pii_type) for r in personal.find_personal(df).collect() if r.row >= 1000}
+    assert found == {(1000, "phone"), (1001, "email"), (1002, "address")}
+
+
+def test_windows_are_placed_as_they_are_counted():
+    rng = random.Random(15)
+    for _ in range(300):
+        flat = "".join(rng.choice(["ab", "c", " ", "  ", "\n", ".", "12", "_", "de", "9"]) for _ in range(rng.randrange(40)))
+        cut = sorted(rng.sample(range(len(flat) + 1), min(4, len(flat) // 2 * 2)))
+        spans = [(a, b, "phone") for a, b in zip(cut[::2], cut[1::2]) if b > a]
+        windows = personal._Windows({}, [(flat, spans), ("xx yy", [])])
+        places = personal._window_places(flat, spans)
+        assert len(windows.first) == len(places) + 1 and windows.text.tolist() == [0] * len(places) + [1]
+        for (start, stop), first in zip(places, windows.first.tolist()):
+            assert personal._word_code(re.match(r"[^\W\d_]+", flat[start:stop])[0]) == first
+
+
 def test_places_lead_back_to_the_original():
     text = "شماره‌م ٠٩١‌٢٣٤٥٦‏٧٨٩ هست آ"
     places = personal.original_places(text)
