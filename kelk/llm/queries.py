@@ -97,6 +97,11 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.kept_posts(posts)
 
 
+def p7_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows beyond a hundredth of all posts with an author of their contributor."""
+    return capping.displaced_posts(table(spark, sf_dir, POSTS), None, share=0.01).select("row_ordinal")
+
+
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", token_count(F.col("text")).alias("tokens"))
 
@@ -131,7 +136,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webspam.spam_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p5_confusions": p5_confusions, "p5_agreement": p5_agreement, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_kept": p7_kept, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p5_confusions": p5_confusions, "p5_agreement": p5_agreement, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_kept": p7_kept, "p7_share": p7_share, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
 _RELATED = """
 WITH RECURSIVE rec AS (SELECT DISTINCT unique_post_id AS id, group_id, author, thread_id, content_hash, model_role, oof_fold FROM modeling_manifest_v2),
 held AS (SELECT id, 'g' AS k, group_id AS v FROM rec UNION ALL SELECT id, 'a', author FROM rec UNION ALL SELECT id, 't', thread_id FROM rec UNION ALL SELECT id, 'c', content_hash FROM rec),
@@ -144,7 +149,7 @@ bad AS (SELECT c FROM comp JOIN rec USING (id) GROUP BY c
 """
 _CAP = """
 SELECT CAST(row_ordinal AS BIGINT) AS row_ordinal FROM (
-  SELECT row_ordinal, row_number() OVER (PARTITION BY who ORDER BY likes DESC NULLS LAST, user_post_count DESC NULLS LAST, row_ordinal) AS r
+  SELECT row_ordinal, row_number() OVER (PARTITION BY who ORDER BY likes DESC NULLS LAST, user_post_count DESC NULLS LAST, row_ordinal) AS r, count(*) OVER () AS n
   FROM (SELECT *, translate(nfc_normalize(translate(regexp_replace(nfc_normalize(author), '[­​‌‎‏⁠﻿]', '', 'g'),
         'يىكﺎﺮﻪﯽﻢﻦﮏａｂｄｅｇｈｉｊｋｌｍｎｏｐｒｓｔｖｚ０１２３４５６７８９\u00a0\u202f\u2007\u2009\u3000аеіорѕο',
         'ییکارهیمنکabdeghijklmnoprstvz0123456789     aeiopso')), '', '') AS who FROM ninisite_cleaned_enriched WHERE trim(coalesce(author, '')) <> '')) WHERE r > 25
@@ -159,5 +164,6 @@ i AS (SELECT item, count(*) AS m, sum(v) AS s, sum(v * v) AS q FROM l GROUP BY i
 t AS (SELECT count(*) AS k, sum(m) AS n, sum(2 * (m * q - s * s) / (m - 1)) AS w, sum(s) AS s, sum(q) AS q FROM i)
 SELECT k AS n_items, CAST(n AS BIGINT) AS n_labels, 1 - (w / n) / (2 * (n * q - s * s) / (n * (n - 1))) AS alpha FROM t""",
     "p7_found": _CAP,
+    "p7_share": _CAP.replace("WHERE r > 25", "WHERE r > greatest(1, floor(0.01 * n + 1e-9))"),
     "p7_kept": f"SELECT row_ordinal, likes, user_post_count FROM ninisite_cleaned_enriched WHERE row_ordinal NOT IN ({_CAP})",
 }

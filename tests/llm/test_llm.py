@@ -377,6 +377,27 @@ def test_cap_against_sorting(spark, batches):
     assert sorted(r.row_ordinal for r in capping.displaced_posts(df, 25, batches).collect()) == want
     assert capping.kept_posts(df, 25, batches).count() == 500 - len(want)
     assert capping.displaced_posts(df.where("false")).count() == 0
+    # A share of the posts with an author.
+    most = max(1, int(0.2 * sum(map(len, by.values()))))
+    assert sorted(r.row_ordinal for r in capping.displaced_posts(df, None, batches, share=0.2).collect()) == sorted(x[-1] for v in by.values() for x in sorted(v)[most:])
+
+
+def test_cap_goes_on_from_its_stored_state(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [(i, rng.choice("aaab"), rng.choice([None, 0, 1, 2]), rng.choice([None, 5, 6])) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_ordinal long, author string, likes int, user_post_count int")
+    whole = sorted(r.row_ordinal for r in capping.displaced_posts(df, 20, 1).collect())
+    for part in ("row_ordinal < 150", "row_ordinal BETWEEN 150 AND 151", "row_ordinal > 151"):
+        table = capping.CapTable(spark, str(tmp_path / "cap")).update(capping.contributors(df.where(part)), 20)
+    again = capping.CapTable(spark, str(tmp_path / "cap"))
+    assert again.version == table.version == 3 and again.seen == 400 and again.kept().count() == 40
+    assert sorted(r.id for r in again.displaced().collect()) == whole
+    # A version that was not finished doesn't count; a higher cap takes records back, a lower one is refused.
+    (tmp_path / "cap" / "v4" / "kept").mkdir(parents=True)
+    raised = again.update(capping.contributors(df.where("false")), 30)
+    assert sorted(r.id for r in raised.displaced().collect()) == sorted(r.row_ordinal for r in capping.displaced_posts(df, 30, 1).collect())
+    with pytest.raises(ValueError, match="the cap was 30"):
+        raised.update(capping.contributors(df), 20)
 
 
 # --- 8 ------------------------------------------------------------------------------------------------------------------------
