@@ -249,8 +249,8 @@ def code_of(word: str) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-#: Codes of the end of a sentence, one blank, and any other space.
-_END, _BLANK, _SPACE = 1, 2, 3
+#: Codes of the end of a sentence, one blank, any other space, and any number.
+_END, _BLANK, _SPACE, _NUMBER_CODE = 1, 2, 3, 8
 
 
 def _mixed(*parts: np.ndarray) -> np.ndarray:
@@ -268,17 +268,17 @@ def _mixed(*parts: np.ndarray) -> np.ndarray:
 class _Windows:
     """All windows of two adjacent words of some texts: first and second word and three patterns, each as a code.
 
-    A pattern is what stands around: the two words before, one before and one after, or the two after. What has been found already is left
-    out. A pattern made of the ends of a sentence alone says nothing and is 0.
+    A pattern is what stands around: the two words before, one before and one after, or the two after; all numbers are one word in
+    it. A pattern made of the ends of a sentence alone says nothing and is 0.
     """
 
-    def __init__(self, known: dict[str, int], texts: Iterable[tuple[str, list[tuple[int, int, str]]]]) -> None:
+    def __init__(self, known: dict[str, int], texts: Iterable[str]) -> None:
         codes: list[int] = []
         sizes: list[int] = []
-        for flat, spans in texts:
+        for flat in texts:
             before = len(codes)
             codes += (_END, _END, _END)
-            for piece in _PIECE.findall(_without(flat, spans)):
+            for piece in _PIECE.findall(flat):
                 code = known.get(piece)
                 codes.append(self._learn(known, piece) if code is None else code)
             sizes.append(len(codes) - before)
@@ -308,7 +308,9 @@ class _Windows:
         if piece in _STOP:
             code = _END
         elif piece[0] == "_" or piece.isspace():
-            code = _BLANK if len(piece) == 1 and piece != "\t" else _SPACE
+            code = _BLANK if len(piece) == 1 else _SPACE
+        elif piece[0].isdigit():
+            code = _NUMBER_CODE
         else:
             code = code_of(piece) & ~15 | (1 if piece[0].isalpha() and len(piece) > 1 else 4)
         known[piece] = code
@@ -320,27 +322,10 @@ def _word_code(word: str) -> int:
     return code_of(word) & ~15 | 1
 
 
-def _without(flat: str, spans: list[tuple[int, int, str]]) -> str:
-    """The text with a tab in place of each span."""
-    for start, stop, _ in reversed(spans):
-        flat = f"{flat[:start]}\t{flat[stop:]}"
-    return flat
-
-
-def _window_places(flat: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+def _window_places(flat: str) -> list[tuple[int, int]]:
     """(start, stop) of the windows of _Windows, in the same order."""
-    shown = _without(flat, spans)
-    tokens = list(_TOKEN.finditer(shown))
-    out = []
-    for x, y in zip(tokens, tokens[1:]):
-        if y.start() - x.end() == 1 and shown[x.end()] != "\t" and all(t.group()[0].isalpha() and t.end() - t.start() > 1 for t in (x, y)):
-            # What the spans before have lost, one tab each left.
-            at = x.start()
-            for start, stop, _ in spans:
-                if start <= at:
-                    at += stop - start - 1
-            out.append((at, at + y.end() - x.start()))
-    return out
+    tokens = list(_TOKEN.finditer(flat))
+    return [(x.start(), y.end()) for x, y in zip(tokens, tokens[1:]) if y.start() - x.end() == 1 and all(t.group()[0].isalpha() and t.end() - t.start() > 1 for t in (x, y))]
 
 
 def _context(flat: str, start: int, stop: int) -> list[int]:
@@ -414,7 +399,7 @@ def _scan(texts: DataFrame) -> DataFrame:
             yield _batch(len(around), kind="context", row=columns[0], hash=columns[1], start=columns[2], stop=columns[3], pii_type=list(columns[4]), first=columns[5], pattern=columns[6])
             stated = [_word_code(flat[a:b]) for _, _, flat, spans in read for a, b, _ in [x for x in spans if x[2] == "name"][::2]]
             yield _batch(len(stated), kind="given", first=stated)
-            windows = _Windows(known, ((flat, _sure(spans)) for _, _, flat, spans in read))
+            windows = _Windows(known, (flat for _, _, flat, _ in read))
             firsts.append(windows.first)
             seconds.append(windows.second)
             patterns.append(windows.patterns)
@@ -437,26 +422,22 @@ def _named_windows(texts: DataFrame, given: np.ndarray | None, strong: np.ndarra
         given, strong = broadcast.value
         known: dict[str, int] = {}
         for batch in batches:
-            read = [(row, code, flat, _sure(spans)) for row, code, flat, spans in _read(batch)]
-            windows = _Windows(known, ((flat, spans) for _, _, flat, spans in read))
+            rows, codes = batch.column("row").to_numpy(), batch.column("hash").to_numpy()
+            flats = [skeleton(t) for t in batch.column("text").to_pylist()]
+            windows = _Windows(known, flats)
             picked = np.ones(len(windows.first), bool)
             if given is not None:
                 picked = within(windows.first, given)
                 for p in windows.patterns:
                     picked |= within(p, strong)
             at = np.flatnonzero(picked)
-            begins = np.searchsorted(windows.text, np.arange(len(read)))
-            places: dict[int, list[tuple[int, int]]] = {}
-            spans = []
-            for k, t in zip(at.tolist(), windows.text[at].tolist()):
-                if t not in places:
-                    places[t] = _window_places(read[t][2], read[t][3])
-                spans.append(places[t][k - begins[t]])
+            begins = np.searchsorted(windows.text, np.arange(len(flats)))
+            of = windows.text[at]
+            places = {t: _window_places(flats[t]) for t in set(of.tolist())}
+            spans = np.array([places[t][k - begins[t]] for k, t in zip(at.tolist(), of.tolist())], np.int32).reshape(-1, 2)
             each = np.repeat(np.arange(len(at)), 3)
-            rows, codes, starts, stops = ([read[t][0] for t in windows.text[at].tolist()], [read[t][1] for t in windows.text[at].tolist()], [x for x, _ in spans], [y for _, y in spans])
             pattern = np.stack([p[at] for p in windows.patterns], 1).reshape(-1)
-            pick = lambda x, kind: np.array(x, kind)[each]  # noqa: B023, E731
-            yield _batch(len(each), kind="window", row=pick(rows, np.int64), hash=pick(codes, np.int64), start=pick(starts, np.int32), stop=pick(stops, np.int32), first=windows.first[at][each], second=windows.second[at][each], pattern=pattern)
+            yield _batch(len(each), kind="window", row=rows[of][each], hash=codes[of][each], start=spans[each, 0], stop=spans[each, 1], first=windows.first[at][each], second=windows.second[at][each], pattern=pattern)
 
     return texts.mapInArrow(find, _FOUND)
 
@@ -543,8 +524,12 @@ def find_personal(df: DataFrame, row: str = "row_ordinal", content: str = "conte
         codes = tuple(np.sort(x.toPandas().iloc[:, 0].to_numpy(np.int64)) for x in (given.select("first"), strong))
     spoken = patterns.select("pattern", F.lit(True).alias("spoken"), alone.alias("alone"))
     named = _named_windows(texts, *codes).join(given, "first", "left").join(spoken, "pattern", "left").join(families, "second", "left").where("alone OR trusted AND (spoken OR family)")
-    names = named.select(*place, F.lit("name").alias("pii_type")).distinct()
-    return found.where("kind = 'found'").select(*place, "pii_type").unionByName(discovered).unionByName(names)
+    sure = cut(found.where("kind = 'found'").select(*place, "pii_type").unionByName(discovered))
+    # A name inside of something else, or stated as such already, is no find of its own.
+    taken = sure.toDF("o_row", "o_hash", "o_start", "o_stop", "o_type")
+    inside = (F.col("row") == F.col("o_row")) & (F.col("hash") == F.col("o_hash")) & (F.col("start") < F.col("o_stop")) & (F.col("stop") > F.col("o_start"))
+    names = named.select(*place, F.lit("name").alias("pii_type")).distinct().join(taken, inside, "left_anti")
+    return sure.unionByName(names)
 
 
 def redact(df: DataFrame, row: str = "row_ordinal", content: str = "content", seeds: tuple[str, ...] = SEED_NAMES) -> DataFrame:
