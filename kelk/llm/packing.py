@@ -110,38 +110,52 @@ def pack(items: DataFrame, id: str, tokens: str, capacity: int = CAPACITY, parti
 
     # What stands: the pieces settled so far, and the last round's, of which the loose ones may move on.
     settled: list[DataFrame] = []
-    proofs: list[list] = []
-    last_round: tuple[DataFrame, DataFrame | None, list[list]] | None = None
+    proofs: list[DataFrame] = []
+    last_round: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = None
     loose_items, parts, loose_bins = to_pack, max(1, -(-stats["n"] // partition_items)), None
+    roomy = F.col("room") > 0
     for r in range(rounds):
         packed = cut(_pack_round(loose_items, parts, r, capacity))
-        roomy = F.col("room") > 0
-        found = packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"), F.count(F.when(roomy, 1)).alias("loose"), F.countDistinct(F.when(roomy, F.col("bin"))).alias("loose_bins")).collect()  # one row a partition
-        if loose_bins is not None and sum(x["bins"] for x in found) >= loose_bins:
+        # One row a partition; the table stays where it is, only its sums come to the driver.
+        found = cut(packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"), F.count(F.when(roomy, 1)).alias("loose"), F.countDistinct(F.when(roomy, F.col("bin"))).alias("loose_bins")))
+        gap = F.col("bins") > F.col("bound")
+        total = found.agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("bins"), F.count_if(gap).alias("gaps"), F.coalesce(F.sum(F.when(gap, F.col("loose"))), F.lit(0)).alias("loose"), F.coalesce(F.sum(F.when(gap, F.col("loose_bins"))), F.lit(0)).alias("loose_bins")).first()
+        if loose_bins is not None and total["bins"] >= loose_bins:
             break  # dealing anew saved nothing, so the round before stands
         if last_round:
             settled.append(last_round[1])
-            proofs += [[step, containers - moved, bound if not moved else None, moved] for step, containers, bound, moved in last_round[2]]
-        gaps = {x["part"]: x for x in found if x["bins"] > x["bound"]}
+            proofs.append(last_round[3])
+        step = F.format_string(f"round {r}, partition %d", F.col("part"))
         rows = packed.withColumn("container_id", F.concat(F.lit(f"{r}-"), "part", F.lit("-"), "bin"))
-        moving = roomy & F.col("part").isin(list(gaps)) if gaps else F.lit(False)
-        notes = [[f"round {r}, partition {x['part']}", x["bins"], x["bound"], x["loose_bins"] if x["part"] in gaps else 0] for x in found]
-        last_round = (rows.select(*_SHOWN), rows.where(~moving).select(*_SHOWN), notes)
-        if len(gaps) < 2 or r == rounds - 1:
+        if total["gaps"] < 2:
+            last_round = (rows.select(*_SHOWN), rows.select(*_SHOWN), found.select(step.alias("step"), F.col("bins").alias("containers"), "bound", F.lit(0).cast("long").alias("exchanged")), found)
+            break
+        rows = rows.join(found.where(gap).select("part", F.lit(True).alias("has_gap")), "part", "left")
+        moving = roomy & F.coalesce("has_gap", F.lit(False))
+        moved = F.when(gap, F.col("loose_bins")).otherwise(F.lit(0))
+        last_round = (
+            rows.select(*_SHOWN), rows.where(~moving).select(*_SHOWN), found.select(step.alias("step"), F.col("bins").alias("containers"), "bound", F.lit(0).cast("long").alias("exchanged")),
+            found.select(step.alias("step"), (F.col("bins") - moved).alias("containers"), F.when(moved == 0, F.col("bound")).alias("bound"), moved.cast("long").alias("exchanged")),
+        )
+        if r == rounds - 1:
             break
         loose_items = rows.where(moving).select("id", "piece", "start", "tokens")
-        parts, loose_bins = max(1, -(-sum(x["loose"] for x in gaps.values()) // partition_items)), sum(x["loose_bins"] for x in gaps.values())
+        parts, loose_bins = max(1, -(-total["loose"] // partition_items)), total["loose_bins"]
     settled.append(last_round[0])
-    proofs += [[step, containers, bound, 0] for step, containers, bound, _ in last_round[2]]
+    proofs.append(last_round[2])
     out = full.unionByName(none)
     for part in settled:
         out = out.unionByName(part)
+    spark = items.sparkSession
+    proof = "step string, containers long, bound long, exchanged long"
+    certificate = spark.createDataFrame([("full pieces", stats["full"], stats["full"], 0)], proof)
+    for part in proofs:
+        certificate = certificate.unionByName(part)
     # capacity + 1 rows at most
     histogram = to_pack.groupBy("tokens").count().collect()
-    proofs.append(["full pieces", stats["full"], stats["full"], 0])
-    proofs.append(["all", sum(x[1] for x in proofs), stats["full"] + lower_bound(np.array([x["tokens"] for x in histogram], np.int64), capacity, np.array([x["count"] for x in histogram], float)), 0])
-    certificate = items.sparkSession.createDataFrame([tuple(x) for x in proofs], "step string, containers long, bound long, exchanged long")
-    return out.select(F.col("id").alias(id), "piece", "start", "tokens", "container_id"), certificate
+    least = stats["full"] + lower_bound(np.array([x["tokens"] for x in histogram], np.int64), capacity, np.array([x["count"] for x in histogram], float))
+    whole = certificate.agg(F.lit("all").alias("step"), F.sum("containers").alias("containers"), F.lit(int(least)).cast("long").alias("bound"), F.lit(0).cast("long").alias("exchanged"))
+    return out.select(F.col("id").alias(id), "piece", "start", "tokens", "container_id"), certificate.unionByName(whole)
 
 
 _SHOWN = ("id", "piece", "start", "tokens", "container_id")

@@ -21,6 +21,11 @@ def p1_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.consistent_form(table(spark, sf_dir, POSTS), ["content", "unique_post_id"]).select("row_ordinal", "unique_post_id", "content")
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose content or unique_post_id looks like another one stored differently, with the key of its group, one row each."""
+    return confusables.look_alike_groups(table(spark, sf_dir, POSTS), "row_ordinal", ["content", "unique_post_id"]).select("field", F.col("row").alias("row_ordinal"), "k1", "k2", "group_rows")
+
+
 def _split_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf_dir, "modeling_manifest_v2"), table(spark, sf_dir, "duplicate_content_audit")
 
@@ -31,6 +36,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("eval_id", "train_id").alias("post_a"), F.greatest("eval_id", "train_id").alias("post_b")).distinct()
 
 
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the splits with the key of its text and the number of texts of the other side that it overlaps with."""
+    records, links = overlap.overlapping_texts(*_split_texts(spark, sf_dir))
+    ends = links.select(F.lit(False).alias("trains"), F.col("e1").alias("k1"), F.col("e2").alias("k2")).unionByName(links.select(F.lit(True).alias("trains"), F.col("t1").alias("k1"), F.col("t2").alias("k2")))
+    counts = ends.groupBy("trains", "k1", "k2").agg(F.count("*").alias("links"))
+    return records.join(counts, ["trains", "k1", "k2"], "left").select("unique_post_id", "model_role", "k1", "k2", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping records per model_role and label_source."""
     return overlap.overlap_report(*_split_texts(spark, sf_dir))
@@ -47,6 +60,12 @@ def p4_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(table(spark, sf_dir, "modeling_manifest_v2")).drop("mixed")
 
 
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in each split and fold of the new assignment against what their shares ask for, over all and by class."""
+    manifest = table(spark, sf_dir, "modeling_manifest_v2")
+    return splits.split_report(splits.assign_splits(manifest), manifest)
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf_dir, "annotation_history"), table(spark, sf_dir, "canonical_labels")
 
@@ -136,7 +155,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webspam.spam_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_assignment": p4_assignment, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p5_confusions": p5_confusions, "p5_agreement": p5_agreement, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_kept": p7_kept, "p7_share": p7_share, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p1_groups": p1_groups, "p2_found": p2_found, "p2_report": p2_report, "p2_texts": p2_texts, "p4_found": p4_found, "p4_assignment": p4_assignment, "p4_report": p4_report, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p5_confusions": p5_confusions, "p5_agreement": p5_agreement, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_kept": p7_kept, "p7_share": p7_share, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
 _RELATED = """
 WITH RECURSIVE rec AS (SELECT DISTINCT unique_post_id AS id, group_id, author, thread_id, content_hash, model_role, oof_fold FROM modeling_manifest_v2),
 held AS (SELECT id, 'g' AS k, group_id AS v FROM rec UNION ALL SELECT id, 'a', author FROM rec UNION ALL SELECT id, 't', thread_id FROM rec UNION ALL SELECT id, 'c', content_hash FROM rec),

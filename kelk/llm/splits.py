@@ -24,6 +24,7 @@ FOLDS = 5
 LARGE = 0.002
 BLOCK = 4_000
 LABEL_WEIGHT = 0.5
+LABELS = 64
 
 
 def bins(splits: dict[str, float] = SPLITS, folds: int = FOLDS) -> list[tuple[str, int | None, float]]:
@@ -97,19 +98,19 @@ def assign_splits(df: DataFrame, record: str = "unique_post_id", keys: Sequence[
     shares = np.array([share for _, _, share in names])
     related = cut(record_components(df, record, keys))
     rows = df.select(F.col(record), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label"), F.col(role).alias("role"), F.col(fold).alias("fold")).where(F.col(record).isNotNull())
-    # Labels are few by nature; beyond 64 the rest share one count.
-    labels = [r["label"] for r in rows.groupBy("label").agg(F.countDistinct(record).alias("n")).orderBy(F.desc("n"), "label").limit(64).collect()]
+    # The commonest LABELS labels have a measure each, all others share one more.
+    labels = [r["label"] for r in rows.groupBy("label").agg(F.countDistinct(record).alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()]
     in_splits = F.col("role").isin(*SPLITS)
     units = rows.join(related, record).groupBy("component").agg(
         F.countDistinct(record).cast("double").alias("size"),
-        *[F.countDistinct(F.when(F.col("label") == x, F.col(record))).cast("double").alias(f"l{i}") for i, x in enumerate(labels)],
+        *[F.countDistinct(F.when(which, F.col(record))).cast("double").alias(f"l{i}") for i, which in enumerate([*[F.col("label") == x for x in labels], ~F.col("label").isin(labels)])],
         (F.min(F.when(in_splits, F.col("role"))) != F.max(F.when(in_splits, F.col("role")))).alias("roles_differ"),
         (F.min(F.when(F.col("role") == "train", F.col("fold"))) != F.max(F.when(F.col("role") == "train", F.col("fold")))).alias("folds_differ"),
     )
     units = units.withColumn("mixed", F.coalesce("roles_differ", F.lit(False)) | F.coalesce("folds_differ", F.lit(False))).drop("roles_differ", "folds_differ")
     units = cut(units.withColumn("u", F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))))
 
-    measures = ["size", *[f"l{i}" for i in range(len(labels))]]
+    measures = ["size", *[f"l{i}" for i in range(len(labels) + 1)]]
     total = units.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in measures]).first()
     whole = np.array([total[c] or 0.0 for c in measures])
     targets = shares[:, None] * whole[None, :]
@@ -140,3 +141,14 @@ def assign_splits(df: DataFrame, record: str = "unique_post_id", keys: Sequence[
     new_fold = F.element_at(F.lit([-1 if y is None else y for _, y, _ in names]), (F.col("bin") + 1).cast("int"))
     out = related.join(which, "component")
     return out.select(record, F.col("component").alias("related_min_id"), split.alias("split"), F.when(new_fold >= 0, new_fold).cast("int").alias("new_fold"), "mixed")
+
+
+def split_report(assigned: DataFrame, df: DataFrame, record: str = "unique_post_id", label: str = "clinical_class") -> DataFrame:
+    """split, new_fold, label, records, wanted: the records of each label in each bin and its share of all of them; the null label stands for all."""
+    rows = df.select(record, label).where(F.col(record).isNotNull()).distinct().join(assigned.select(record, "split", "new_fold"), record)
+    shares = df.sparkSession.createDataFrame([(name, fold, share) for name, fold, share in bins()], "split string, new_fold int, share double")
+    counts = rows.withColumn("label", F.explode(F.array(F.coalesce(label, F.lit("")), F.lit(None).cast("string")))).groupBy("split", "new_fold", "label").agg(F.countDistinct(record).alias("records"))
+    totals = counts.groupBy(F.col("label").alias("of")).agg(F.sum("records").alias("all"))
+    cells = totals.join(F.broadcast(shares))  # one row a bin
+    both = cells.join(counts, cells["split"].eqNullSafe(counts["split"]) & cells["new_fold"].eqNullSafe(counts["new_fold"]) & cells["of"].eqNullSafe(counts["label"]), "left")
+    return both.select(cells["split"], cells["new_fold"], F.col("of").alias("label"), F.coalesce("records", F.lit(0)).alias("records"), (F.col("share") * F.col("all")).alias("wanted"))
