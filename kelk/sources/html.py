@@ -110,19 +110,105 @@ def listing_threads(html: str, least_replies: int = 0) -> list[dict]:
     return out
 
 
-# Class tokens that mark a woman's or a man's profile.
-_WOMAN, _MAN = {"is-woman", "iconwoman"}, {"is-man", "iconman"}
+# Class tokens that mark a woman's or a man's profile, and the words for them.
+WOMAN_TOKENS = ("is-woman", "iconwoman", "icon-woman", "woman", "female")
+MAN_TOKENS = ("is-user", "iconuser-01", "iconuser-1", "iconuser", "icon-user", "iconman", "icon-man", "man", "male")
+WOMAN, MAN = "زن", "مرد"
+_MARKED = ("woman", "user", "man")
+
+
+def _spans_after(root: Node) -> dict[int, Node]:
+    """For each element, by its identity, the next span in the document's order."""
+    order = list(root.all())
+    after: dict[int, Node] = {}
+    coming: Node | None = None
+    for node in reversed(order):
+        if coming is not None:
+            after[id(node)] = coming
+        if node.tag == "span":
+            coming = node
+    return after
+
+
+def profile_gender(html: str) -> tuple[str, int, str]:
+    """(word, code, source): the word near a marked element, else class tokens of one kind only, else ('unknown', -1, 'unresolved').
+
+    Near is the element's own text with that of the next span. What isn't marked a woman's profile is not taken for a man's.
+    """
+    root = tree(html)
+    after = _spans_after(root)
+    tokens: set[str] = set()
+    for node in root.all():
+        held = node.attributes.get("class", "")
+        tokens |= {t.lower() for t in held.split()}
+        if any(mark in held for mark in _MARKED):
+            near = f"{node.text()} {after[id(node)].text() if id(node) in after else ''}"
+            for word, code, source in ((WOMAN, 1, "explicit_text_female"), (MAN, 0, "explicit_text_male")):
+                if word in near:
+                    return word, code, source
+    woman, man = sorted(tokens & set(WOMAN_TOKENS)), sorted(tokens & set(MAN_TOKENS))
+    if bool(woman) == bool(man):
+        return "unknown", -1, "unresolved"
+    return (WOMAN, 1, f"class_marker:{woman[0]}") if woman else (MAN, 0, f"class_marker:{man[0]}")
+
+
+# The icons before a profile's fields, and the word for the day of joining.
+_ICONS = {"iconbirthday-stroke": "age", "iconeducation": "education", "iconinfant": "status", "iconsignature": "signature"}
+_JOINED = "عضویت"
+
+
+def profile_fields(html: str) -> dict:
+    """username, gender, gender_code, gender_source, join_date, age, education, status, children_count, signature of a profile page; '' where it has none."""
+    root = tree(html)
+    after = _spans_after(root)
+    holder = next((n for n in root.all("div", "profile__name")), None)
+    head = holder.first("h4") if holder else None
+    out = {"username": head.text() if head else "", **dict.fromkeys(_ICONS.values(), ""), "join_date": "", "children_count": 0}
+    out["gender"], out["gender_code"], out["gender_source"] = profile_gender(html)
+    for icon, field in _ICONS.items():
+        node = root.first("i", icon)
+        if node is not None and id(node) in after:
+            out[field] = after[id(node)].text()
+    calendar = root.first("i", "iconcalender")
+    spans = [c for c in calendar.parent.children if isinstance(c, Node) and c.tag == "span"] if calendar and calendar.parent else []
+    for label, value in zip(spans, spans[1:]):
+        if _JOINED in label.text():
+            out["join_date"] = value.text()
+            break
+    return out
 
 
-def profile_gender(html: str) -> tuple[str, int]:
-    """('زن', 1), ('مرد', 0) or ('unknown', -1): by explicit text, else by class tokens of one kind only."""
-    root = tree(html)
-    texts = {n.text() for n in root.all() if not any(isinstance(c, Node) for c in n.children)}
-    tokens = {t for n in root.all() for t in n.attributes.get("class", "").split()}
-    for seen, woman, man in ((texts, {"زن"}, {"مرد"}), (tokens, _WOMAN, _MAN)):
-        if bool(seen & woman) != bool(seen & man):
-            return ("زن", 1) if seen & woman else ("مرد", 0)
-    return "unknown", -1
+_PROFILE = "url string, username string, gender string, gender_code int, gender_source string, join_date string, age string, education string, status string, children_count int, signature string"
+_THREAD = "page_url string, thread_id string, title string, replies long"
+
+
+def profiles_of_pages(df: DataFrame, html: str, url: str) -> DataFrame:
+    """A row a profile page with its fields; a page with a null html gives none."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([{"url": u, **profile_fields(h)} for h, u in zip(batch["html"], batch["url"]) if h], columns=[c.split()[0] for c in _PROFILE.split(", ")])
+
+    return df.select(F.col(html).alias("html"), F.col(url).alias("url")).mapInPandas(parse, _PROFILE)
+
+
+def threads_of_pages(df: DataFrame, html: str, url: str, least_replies: int = 0) -> DataFrame:
+    """The threads of listing pages that have enough replies; each thread once, from the page that comes first by its address."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([{"page_url": u, **t} for h, u in zip(batch["html"], batch["url"]) if h for t in listing_threads(h, least_replies)], columns=[c.split()[0] for c in _THREAD.split(", ")])
+
+    found = df.select(F.col(html).alias("html"), F.col(url).alias("url")).mapInPandas(parse, _THREAD)
+    return found.groupBy("thread_id").agg(F.min_by(F.struct("page_url", "title", "replies"), F.struct("page_url", "title", "replies")).alias("x")).select("thread_id", "x.*")
+
+
+def listing_pages(sections: DataFrame, url: str, requested: str, discovered: str, cap: int) -> DataFrame:
+    """page_url, page of every page to read of each section, up to the least of the pages requested, those discovered and the cap; comments and placeholders are skipped."""
+    good = sections.where(~F.coalesce(F.trim(url).startswith("#") | F.col(url).contains("REPLACE_ME") | (F.trim(url) == ""), F.lit(True)))
+    last = F.least(F.coalesce(F.col(requested), F.lit(cap)), F.coalesce(F.col(discovered), F.lit(1)), F.lit(cap))
+    pages = good.where(last >= 1).withColumn("page", F.explode(F.sequence(F.lit(1), last.cast("int"))))
+    return pages.select(with_page(F.trim(url), F.col("page")).alias("page_url"), "page").distinct()
 
 
 _POST = "page_no long, post_id string, author string, posted_at string, content string, likes long, user_post_count long, reply_to string, is_starter boolean"
@@ -146,6 +232,6 @@ def with_page(url: Column, page: Column) -> Column:
 
 
 def last_page(html: Column) -> Column:
-    """The largest page number among a page's links, 1 at least."""
-    numbers = F.transform(F.coalesce(F.regexp_extract_all(html, F.lit("page=([0-9]+)"), F.lit(1)), F.array().cast("array<string>")), lambda x: x.try_cast("int"))
-    return F.greatest(F.coalesce(F.array_max(numbers), F.lit(1)), F.lit(1))
+    """The largest page number among the links of a page, 1 at least; numbers outside of links don't count."""
+    links = F.coalesce(F.regexp_extract_all(html, F.lit("""href\\s*=\\s*["'][^"']*[?&]page=([0-9]+)"""), F.lit(1)), F.array().cast("array<string>"))
+    return F.greatest(F.coalesce(F.array_max(F.transform(links, lambda x: x.try_cast("int"))), F.lit(1)), F.lit(1))

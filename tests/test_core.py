@@ -371,7 +371,14 @@ def test_pages():
     first, second = html.topic_posts(page, 1)
     assert first == {"post_id": "456", "author": "سارا", "posted_at": "1400/01/01 10:00", "content": "متن پست", "likes": 7, "user_post_count": 12, "reply_to": "9", "is_starter": True}
     assert second["content"] == "b c" and not second["is_starter"] and second["author"] is None
-    assert html.profile_gender('<i class="is-woman"></i><span>زن</span>') == ("زن", 1) and html.profile_gender('<i class="iconman"></i>') == ("مرد", 0) and html.profile_gender('<i class="is-user"></i>') == ("unknown", -1)
+    gender = lambda page: html.profile_gender(page)[:2]
+    assert gender('<div><i class="is-woman"></i><span>زن</span></div>') == ("زن", 1) and gender('<i class="is-user"></i><span>مرد</span>') == ("مرد", 0)
+    assert gender('<i class="iconman"></i>') == gender('<i class="is-user"></i>') == gender('<i class="iconuser-01"></i>') == ("مرد", 0) and gender('<i class="iconwoman"></i>') == ("زن", 1)
+    assert gender("<p>زن</p>") == gender('<i class="icon-man"></i><i class="female"></i>') == gender("") == ("unknown", -1)
+    # The word decides against the token.
+    assert html.profile_gender('<i class="iconuser"></i><span>زن</span>') == ("زن", 1, "explicit_text_female") and html.profile_gender('<i class="icon-user man"></i>')[2] == "class_marker:icon-user"
+    profile = html.profile_fields('<div class="profile__name"><h4> سارا </h4></div><i class="is-woman"></i><p><i class="iconbirthday-stroke"></i><span>۳۰ ساله</span></p><i class="iconeducation"></i><b>x</b><span>لیسانس</span><div><i class="iconcalender"></i><span>تاریخ عضویت</span><span>1399/02/03</span></div><i class="iconsignature"></i>')
+    assert (profile["username"], profile["age"], profile["education"], profile["join_date"], profile["signature"], profile["gender_code"]) == ("سارا", "۳۰ ساله", "لیسانس", "1399/02/03", "", 1)
     assert html.listing_threads('<div><a href="/topic/55/x"><span class="topic_subject">t</span></a><span class="topic_number">12</span></div>', 5) == [{"thread_id": "55", "title": "t", "replies": 12}]
 
 
@@ -383,4 +390,41 @@ def test_readers(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == [("1", "a\nb", None), ("2", "c", "3")]
     assert readers.file_digests(spark, str(tmp_path)).count() == 3
     with pytest.raises(FileNotFoundError):
-        readers.first_source([(str(tmp_path / "none"), lambda p: None)])
+        readers.first_source(spark, [(str(tmp_path / "none"), lambda p: None)])
+    assert readers.first_source(spark, [(str(tmp_path / "none"), lambda p: None), (str(tmp_path / "a.csv"), lambda p: readers.read_csv(spark, p))]).count() == 1
+    named = readers.read_fragments(spark, str(tmp_path), ["x", "y"], source="file")
+    assert {r.file for r in named.collect()} == {"a.csv", "b.csv"}
+    import gzip
+
+    with gzip.open(tmp_path / "g.csv.gz", "wt", encoding="utf-8") as f:
+        f.write('x,y\n5,"q ""z"""\n')
+    assert readers.read_csv(spark, str(tmp_path / "g.csv.gz")).first().y == 'q "z"'
+    (tmp_path / "lines.txt").write_text("one\r\n\ntwo\n", encoding="utf-8")
+    assert [tuple(r) for r in readers.read_numbered(spark, str(tmp_path / "lines.txt"), 2).orderBy("number").collect()] == [(2, "one"), (3, ""), (4, "two")]
+
+
+def test_reports_and_handoffs(spark, tmp_path):
+    out = str(tmp_path / "out")
+    df = readers.demo_posts(spark, 5)
+    readers.export_handoff(spark, out, {"posts": df}, by="is_starter")
+    assert readers.load_json(spark, out + "/manifest.json")["posts"]["by"] == {"true": 10, "false": 10} or readers.load_json(spark, out + "/manifest.json")["posts"]["by"] == {"True": 10, "False": 10}
+    assert readers.verify_handoff(spark, out) == []
+    spark.range(3).write.mode("overwrite").parquet(out + "/posts")
+    assert readers.verify_handoff(spark, out) == ["posts: other rows or columns"]
+    readers.save_json(spark, out + "/r.json", {"a": float("nan"), "b": [1, {"c": "ی"}]})
+    assert readers.load_json(spark, out + "/r.json") == {"a": None, "b": [1, {"c": "ی"}]}
+    with pytest.raises(FileNotFoundError):
+        readers.load_bundle(spark, {"x": out + "/posts", "y": out + "/none"})
+    cleaned = cleaning.clean_filters(df)
+    assert df.count() == 20 and cleaned.count() == 20 and df.select("thread_id").distinct().count() == 10
+
+
+def test_sinks_append_and_partition(spark, tmp_path):
+    readers.append(spark.range(3), str(tmp_path / "grown"))
+    readers.append(spark.range(2).withColumn("x", F.lit(1)), str(tmp_path / "grown"))
+    grown = spark.read.option("mergeSchema", "true").parquet(str(tmp_path / "grown"))
+    assert grown.count() == 5 and grown.where("x IS NULL").count() == 3
+    readers.write_partitioned(spark.range(4).withColumn("part", F.col("id") % 2), str(tmp_path / "parts"), "part")
+    assert sorted(p.name for p in (tmp_path / "parts").iterdir() if p.is_dir()) == ["part=0", "part=1"]
+    readers.write_csv(spark.createDataFrame([('a "b"\nc', 1)], "t string, n int"), str(tmp_path / "c"), gzip=True)
+    assert readers.read_csv(spark, str(tmp_path / "c")).first().t == 'a "b"\nc'
