@@ -8,17 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kelk.functions import jalali
+from kelk.functions.lexicons import NEGATIVE_EMOJI, NEGATIVE_WORDS, POSITIVE_EMOJI, POSITIVE_WORDS
 from kelk.functions.text import alternation, count_any, is_blank
+from kelk.session import spread
 
 # Character classes of punctuation and emoji, and the pattern of a Persian word.
 PUNCTUATION = r"[،؛؟!\.,\"'\(\)\[\]\{\}<>«»]"
 EMOJI = "[\U0001f600-\U0001f64f\U0001f300-\U0001f5ff\U0001f680-\U0001f6ff\U0001f1e0-\U0001f1ff\U00002702-\U000027b0\U000024c2-\U0001f251]+"
 PERSIAN_WORD = "[؀-ۿ‌]+"
-#: Default word lists; every function takes its own instead.
-NEGATIVE = ("نگران", "مضطرب", "خسته", "کلافه", "ناامید", "تنها", "دلتنگ", "عصبی", "پریشون", "دلشکسته")
-POSITIVE = ("خوشحال", "امیدوار", "راضی", "دلگرم", "آروم", "مطمئن")
-NEGATIVE_EMOJI = ("😔", "😭", "💔")
-POSITIVE_EMOJI = ("🌸", "🌷", "❤", "🙏")
+#: Default word lists; every function takes its own instead. The wider ones add words that a vocabulary of the forum yields.
+NEGATIVE = (*NEGATIVE_WORDS, "مضطرب", "خسته", "کلافه", "ناامید", "تنها", "دلتنگ", "پریشون", "دلشکسته")
+POSITIVE = (*POSITIVE_WORDS, "امیدوار", "راضی", "آروم", "مطمئن")
 SIGNATURE = ("char", "punct", "question", "excl", "emoji", "word", "neg", "pos", "pos_emoji", "neg_emoji")
 
 
@@ -54,11 +54,38 @@ def signature_features(col: Column, tokens: Column | None = None, blank: Column
     return {name: F.when(blank, F.lit(-1).cast("bigint")).otherwise(value) for name, value in text_features(col, "sig", tokens=tokens).items()}
 
 
+# The weights of both scores.
 def initial_score(f: dict[str, Column]) -> Column:
     asks = F.when(f["post_question_count"] > 0, 1.2).otherwise(0.0)
     return f["post_neg_count"] * 4.0 + f["post_neg_emoji"] * 2.0 + f["post_excl_count"] * 0.5 + asks - f["post_pos_count"] * 0.2 - f["post_pos_emoji"] * 0.5
 
 
+def refined_score(f: dict[str, Column]) -> Column:
+    """The score with the counts of both kinds of word lists; many exclamation and question marks count as six and five."""
+    capped = lambda c, most: F.least(c, F.lit(most))
+    return (
+        f["post_neg_count_temp"] * 4.0 + f["post_neg_count"] * 0.5 + f["post_neg_emoji"] * 2.0 + capped(f["post_excl_count"], 6) * 1.5 + capped(f["post_question_count"], 5) * 0.5
+        - f["post_pos_count_temp"] * 0.3 - f["post_pos_count"] * 0.08 - f["post_pos_emoji"] * 0.5
+    )
+
+
+def gender_code(gender: Column, code: Column, missing: str = "unknown") -> Column:
+    """1 for a woman, 0 for a man: by the word, else by a code that is one of these, else by the policy ('female', 'male', or -1)."""
+    told = F.when(gender.contains("مرد"), 0).when(gender.contains("زن"), 1).when(code.isin(0, 1), code.cast("int"))
+    return F.coalesce(told, F.lit({"female": 1, "male": 0}.get(missing, -1)))
+
+
+def fallback_normal(col: Column) -> Column:
+    """Yeh and kaf as Persian, teh marbuta and its like as heh, no direction marks, one blank between words; null as ''."""
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(col, F.lit("")), "يكةۀ\u200f\u200e", "یکهه"), r"(?U)\s+", " "))
+
+
+def padded_words(tokens: Column, length: int, filler: str = "<pad>") -> Column:
+    """The first words of an array, filled up to a length."""
+    kept = F.slice(tokens, 1, length)
+    return F.concat(kept, F.array_repeat(F.lit(filler), F.lit(length) - F.size(kept)))
+
+
 #: Ordered patterns of an education and its label; the first that matches counts.
 EDUCATION = (
     (r"فوق\s*لیسانس|کارشناسی\s*ارشد|ارشد", "فوق لیسانس"),
@@ -117,9 +144,9 @@ def tabular_features(df: DataFrame, id: str) -> DataFrame:
     education_clean, posted_at and join_date. The post's two kinds of word counts differ in their lists: the short one ('temp') and the default.
     """
     post, sig = text_features(F.col("content"), "post", tokens=F.col("_words")), signature_features(F.col("signature"), F.col("_sig_words"), F.col("_no_sig"))
-    temp = {"post_neg_count_temp": count_words(F.col("_words"), NEGATIVE[:5]), "post_pos_count_temp": count_words(F.col("_words"), POSITIVE[:3])}
+    temp = {"post_neg_count_temp": count_words(F.col("_words"), NEGATIVE_WORDS), "post_pos_count_temp": count_words(F.col("_words"), POSITIVE_WORDS)}
     number = lambda c: F.col(c).cast("string").try_cast("double")
-    base = df.select(F.col(id), "likes", "user_post_count", "children_count", "age_num", "is_starter", "reply_to", "gender", "category", "sub_category", "education_clean", "posted_at", "join_date", "content", "signature")
+    base = spread(df).select(F.col(id), "likes", "user_post_count", "children_count", "age_num", "is_starter", "reply_to", "gender", "category", "sub_category", "education_clean", "posted_at", "join_date", "content", "signature")
     base = jalali.barrier(base, {"_words": persian_words(F.col("content")), "_sig_words": persian_words(F.col("signature")), "_no_sig": is_blank(F.col("signature"))})
     base = jalali.barrier(base, {**post, **sig, **temp, "n_likes": _NULLS_PASS(number("likes"), 0.0), "n_posts": _NULLS_PASS(number("user_post_count"), 0.0), "n_children": F.nanvl(number("children_count"), F.lit(None).cast("double")), "n_age": F.nanvl(number("age_num"), F.lit(None).cast("double")), "n_reply": F.coalesce(number("reply_to"), F.lit(-1.0))})
     base = jalali.with_date(base.drop("content", "signature", "_words", "_sig_words", "_no_sig"), "posted_at", "posted_", need_time=False)

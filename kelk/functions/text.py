@@ -49,9 +49,17 @@ def alternation(terms: Sequence[str]) -> str:
     return "|".join(re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", t) for t in ordered)
 
 
+def guarded(terms: Sequence[str]) -> str:
+    """The alternation behind a look ahead at the range of its first characters, which rules out most places at once."""
+    firsts = sorted({ord(t[0]) for t in terms if t})
+    ranges = [part for part in ([c for c in firsts if c < 0x10000], [c for c in firsts if c >= 0x10000]) if part]
+    shown = "".join(f"\\x{{{part[0]:x}}}-\\x{{{part[-1]:x}}}" for part in ranges)
+    return f"(?=[{shown}])(?:{alternation(terms)})"
+
+
 def count_any(col: Column, terms: Sequence[str]) -> Column:
     """Non-overlapping occurrences of any term, longest first; 0 for null."""
-    return F.coalesce(F.regexp_count(col, F.lit(alternation(terms))), F.lit(0)).cast("bigint")
+    return F.coalesce(F.regexp_count(col, F.lit(guarded(terms))), F.lit(0)).cast("bigint")
 
 
 def count_in(tokens: Column, terms: Sequence[str]) -> Column:

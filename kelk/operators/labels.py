@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
+from kelk.functions.text import drop_decimal_zero
+
 
 @arrow_udf(T.StringType())
 def compatible_form(texts: pa.Array) -> pa.Array:
@@ -27,6 +29,13 @@ def content_hash(col: Column) -> Column:
     return F.when(text != "", F.sha2(text, 256)).otherwise("")
 
 
+def normal_id(col: Column, letters: bool = False) -> Column:
+    """An id in its normal form: as normalised() and without the .0 of a number; with letters, as NFKC with the Arabic letters' variants as one and blanks squeezed."""
+    if not letters:
+        return drop_decimal_zero(normalised(col))
+    return F.trim(F.regexp_replace(F.translate(compatible_form(F.coalesce(col, F.lit(""))), "يىكةۀ", "ییکهه"), r"(?U)\s+", " "))
+
+
 def row_fingerprint(columns: dict[str, Column]) -> Column:
     """SHA-256 of name=value of all columns in the order of their names; null as ''."""
     return F.sha2(F.concat_ws("\x1f", *[F.concat(F.lit(f"{n}="), F.coalesce(columns[n].cast("string"), F.lit(""))) for n in sorted(columns)]), 256)

@@ -42,3 +42,16 @@ def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return ranged.join(F.broadcast(offsets), "_range").withColumn(name, place + F.col("_offset")).drop("_range", "_offset")  # as many rows as ranges
+
+
+def exact_quantiles(df: DataFrame, column: str, percents: Sequence[int]) -> DataFrame:
+    """percent and the column's value at or below which so many per cent of the rows lie: the smallest such value of the table.
+
+    Rows are counted by value, so equal values are one row, and summed up in two levels; nothing is gathered. Null values count for nothing.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    summed = running_sums(counts, column, ["_n"])
+    total = counts.agg(F.sum("_n").alias("_all"))
+    wanted = F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")
+    reached = summed.join(F.broadcast(total)).select(column, "cum__n", "_all", wanted).where(F.col("cum__n") * 100 >= F.col("percent") * F.col("_all"))  # one row
+    return reached.groupBy("percent").agg(F.min(column).alias(column))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kelk.functions import features, jalali
-from kelk.operators import vocabulary
-from kelk.plans.cleaning_queries import P, posts
+from kelk.functions import features, jalali, lexicons
+from kelk.functions.text import alternation
+from kelk.operators import labels, running, vocabulary
+from kelk.plans.cleaning_queries import SPACE, P, posts
 from kelk.plans.core_queries import _POSTS_SQL
 from kelk.session import table
 
@@ -28,7 +29,7 @@ def lexicon_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def signature_features(spark: SparkSession, d: str) -> DataFrame:
     f = features.signature_features(F.col("signature"))
-    return posts(spark, d).select("row_ordinal", *[f[f"sig_{n}_count"].alias(f"sig_{n}_count") for n in ("char", "punct", "word", "neg", "pos")])
+    return posts(spark, d).select("row_ordinal", *[f[n].alias(n) for n in f])
 
 
 def proxy_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -114,22 +115,60 @@ def band_sample(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary.banded_sample(banded, "band", {"low": 500, "mid": 600, "high": 900}, "row_ordinal")
 
 
+def refined_scores(spark: SparkSession, d: str) -> DataFrame:
+    df = posts(spark, d).select("row_ordinal", "content").withColumn("_words", features.persian_words(F.col("content")))
+    f = features.text_features(F.col("content"), "post", tokens=F.col("_words"))
+    f |= {"post_neg_count_temp": features.count_words(F.col("_words"), lexicons.NEGATIVE_WORDS), "post_pos_count_temp": features.count_words(F.col("_words"), lexicons.POSITIVE_WORDS)}
+    return df.select("row_ordinal", (F.round(features.refined_score(f), 6) + 0.0).alias("score"))
+
+
+def gender_codes(spark: SparkSession, d: str) -> DataFrame:
+    return posts(spark, d).select("row_ordinal", features.gender_code(F.col("gender"), F.pmod("row_ordinal", F.lit(3))).alias("gender_code"))
+
+
+def fallback_text(spark: SparkSession, d: str) -> DataFrame:
+    return posts(spark, d).select("row_ordinal", features.fallback_normal(F.col("content")).alias("text"))
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    words = F.filter(F.split(F.coalesce("content", F.lit("")), SPACE + "+"), lambda x: x != "")
+    return posts(spark, d).select("row_ordinal", words.alias("w"))
+
+
+def token_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Words of each post, and the digest of its first 384 words, filled up to that many."""
+    return _split(spark, d).select("row_ordinal", F.size("w").alias("words"), F.sha2(F.trim(F.array_join(features.padded_words(F.col("w"), 384), " ")), 256).alias("digest"))
+
+
+def token_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths in words at or below which the given per cent of the posts lie, from counts by length."""
+    return running.exact_quantiles(_split(spark, d).select(F.size("w").cast("bigint").alias("n")), "n", (50, 90, 95, 99)).withColumnRenamed("n", "words")
+
+
+def id_forms(spark: SparkSession, d: str) -> DataFrame:
+    return posts(spark, d).select("row_ordinal", F.regexp_replace(F.trim(F.coalesce("reply_to", F.lit(""))), r"^([+-]?\d+)\.0+$", "$1").alias("reply_to"))
+
+
+def id_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The two normal forms of an id for which SQL has no function: compatibility forms decomposed, with and without the letters' variants."""
+    return posts(spark, d).select("row_ordinal", labels.normal_id(F.col("unique_post_id")).alias("plain"), labels.normal_id(F.col("unique_post_id"), True).alias("letters"))
+
+
 _CHARS = "coalesce(content, '')"
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-_ANY = lambda words: "(" + "|".join(words) + ")"
+_ANY = lambda words: "(" + alternation(words) + ")"
 _COUNT = lambda text, pattern: f"len(regexp_extract_all({text}, '{pattern}'))"
 _PUNCT = features.PUNCTUATION.replace("'", "''")
 _IN = lambda text, words: f"len(list_filter(regexp_extract_all({text}, '{features.PERSIAN_WORD}'), lambda w: list_contains({_LIST(words)}, w)))"
 _CLASS = lambda op: f"CASE WHEN stress IS NULL THEN NULL WHEN stress {op} 3 THEN 'Low' WHEN stress {op} 5 THEN 'Moderate' WHEN stress {op} 7 THEN 'High' ELSE 'Very High' END"
-_SCORE = f"""(SELECT row_ordinal, round({_IN(_CHARS, features.NEGATIVE)} * 4.0 + {_COUNT(_CHARS, _ANY(features.NEGATIVE_EMOJI))} * 2.0 + {_COUNT(_CHARS, '[!！]')} * 0.5 + CASE WHEN {_COUNT(_CHARS, '[؟?]')} > 0 THEN 1.2 ELSE 0 END
-  - {_IN(_CHARS, features.POSITIVE)} * 0.2 - {_COUNT(_CHARS, _ANY(features.POSITIVE_EMOJI))} * 0.5, 6)::DOUBLE AS score FROM {P})"""
+_SCORE = f"""(SELECT row_ordinal, round({_IN(_CHARS, features.NEGATIVE)} * 4.0 + {_COUNT(_CHARS, _ANY(lexicons.NEGATIVE_EMOJI))} * 2.0 + {_COUNT(_CHARS, '[!！]')} * 0.5 + CASE WHEN {_COUNT(_CHARS, '[؟?]')} > 0 THEN 1.2 ELSE 0 END
+  - {_IN(_CHARS, features.POSITIVE)} * 0.2 - {_COUNT(_CHARS, _ANY(lexicons.POSITIVE_EMOJI))} * 0.5, 6)::DOUBLE AS score FROM {P})"""
 _SIG = "CASE WHEN signature IS NULL OR trim(signature) = '' THEN -1 ELSE {} END AS {}"
 
 ORACLE = {
     "text_surface_features": f"SELECT row_ordinal, length({_CHARS}) AS post_char_count, {_COUNT(_CHARS, _PUNCT)} AS post_punct_count, {_COUNT(_CHARS, '[؟?]')} AS post_question_count, {_COUNT(_CHARS, '[!！]')} AS post_excl_count, {_COUNT(_CHARS, features.EMOJI)} AS post_emoji_count FROM {P}",
-    "emoji_polarity": f"SELECT row_ordinal, {_COUNT(_CHARS, _ANY(features.POSITIVE_EMOJI))} AS pos, {_COUNT(_CHARS, _ANY(features.NEGATIVE_EMOJI))} AS neg FROM {P}",
+    "emoji_polarity": f"SELECT row_ordinal, {_COUNT(_CHARS, _ANY(lexicons.POSITIVE_EMOJI))} AS pos, {_COUNT(_CHARS, _ANY(lexicons.NEGATIVE_EMOJI))} AS neg FROM {P}",
     "lexicon_counts": f"SELECT row_ordinal, {_COUNT(_CHARS, features.PERSIAN_WORD)} AS words, {_IN(_CHARS, features.NEGATIVE)} AS neg, {_IN(_CHARS, features.POSITIVE)} AS pos FROM {P}",
-    "signature_features": f"SELECT row_ordinal, {_SIG.format('length(signature)', 'sig_char_count')}, {_SIG.format(_COUNT('signature', _PUNCT), 'sig_punct_count')}, {_SIG.format(_COUNT('signature', features.PERSIAN_WORD), 'sig_word_count')}, {_SIG.format(_IN('signature', features.NEGATIVE), 'sig_neg_count')}, {_SIG.format(_IN('signature', features.POSITIVE), 'sig_pos_count')} FROM {P}",
     "proxy_scores": f"SELECT row_ordinal, score FROM {_SCORE}",
     "education_case": f"SELECT row_ordinal, ['فوق دیپلم', 'فوق لیسانس', 'دکترا', 'دیپلم', 'نامشخص', 'کارشناسی', 'سایر'][row_ordinal % 7 + 1] AS education FROM {P}",
     "age_parse": f"SELECT row_ordinal, CASE WHEN a BETWEEN 10 AND 110 THEN a ELSE -1 END AS age FROM (SELECT row_ordinal, TRY_CAST(nullif(regexp_extract(translate(content, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), '[0-9]{{1,3}}'), '') AS INTEGER) AS a FROM {P})",
@@ -162,7 +201,7 @@ _VALID = lambda p: f"coalesce({p}d BETWEEN 1 AND {p}k.len AND {p}h BETWEEN 0 AND
 _SHOW = lambda p: ", ".join(f"CASE WHEN {_VALID(p)} THEN {p}{x} END::DOUBLE AS {p}{x}" for x in "ymdhi") + f", CASE WHEN {_VALID(p)} THEN {p}k.day0 + {p}d - 1 END AS {p}x"
 _TEN = lambda text, p: {
     f"{p}_char_count": f"length({text})", f"{p}_punct_count": _COUNT(text, _PUNCT), f"{p}_question_count": _COUNT(text, "[؟?]"), f"{p}_excl_count": _COUNT(text, "[!！]"), f"{p}_emoji_count": _COUNT(text, features.EMOJI),
-    f"{p}_word_count": _COUNT(text, features.PERSIAN_WORD), f"{p}_neg_count": _IN(text, features.NEGATIVE), f"{p}_pos_count": _IN(text, features.POSITIVE), f"{p}_pos_emoji": _COUNT(text, _ANY(features.POSITIVE_EMOJI)), f"{p}_neg_emoji": _COUNT(text, _ANY(features.NEGATIVE_EMOJI)),
+    f"{p}_word_count": _COUNT(text, features.PERSIAN_WORD), f"{p}_neg_count": _IN(text, features.NEGATIVE), f"{p}_pos_count": _IN(text, features.POSITIVE), f"{p}_pos_emoji": _COUNT(text, _ANY(lexicons.POSITIVE_EMOJI)), f"{p}_neg_emoji": _COUNT(text, _ANY(lexicons.NEGATIVE_EMOJI)),
 }
 _POST10, _SIG10 = _TEN(_CHARS, "post"), _TEN("coalesce(signature, '')", "sig")
 _NONE = "(signature IS NULL OR trim(signature) = '')"
@@ -182,13 +221,22 @@ _COLUMNS = {
     "post_neg_word_ratio": f"post_neg_count / {_W}", "post_pos_word_ratio": f"post_pos_count / {_W}", "post_question_per_100_words": f"100 * post_question_count / {_W}", "post_excl_per_100_words": f"100 * post_excl_count / {_W}", "post_emoji_per_100_words": f"100 * post_emoji_count / {_W}",
     "post_punct_per_100_chars": f"100 * post_punct_count / {_CH}", "post_temp_neg_ratio": f"post_neg_count_temp / {_W}", "post_temp_pos_ratio": f"post_pos_count_temp / {_W}",
 }
+ORACLE["signature_features"] = f"SELECT row_ordinal, {', '.join(f'CASE WHEN {_NONE} THEN -1 ELSE {x} END AS {n}' for n, x in _SIG10.items())} FROM {P}"
+ORACLE["refined_scores"] = f"""SELECT row_ordinal, round(a * 4.0 + c * 0.5 + e * 2.0 + least(x, 6) * 1.5 + least(q, 5) * 0.5 - b * 0.3 - d * 0.08 - g * 0.5, 6)::DOUBLE + 0.0 AS score FROM (SELECT row_ordinal, {_IN(_CHARS, lexicons.NEGATIVE_WORDS)} AS a, {_IN(_CHARS, lexicons.POSITIVE_WORDS)} AS b,
+  {_POST10['post_neg_count']} AS c, {_POST10['post_pos_count']} AS d, {_POST10['post_neg_emoji']} AS e, {_POST10['post_pos_emoji']} AS g, {_POST10['post_excl_count']} AS x, {_POST10['post_question_count']} AS q FROM {P})"""
+ORACLE["gender_codes"] = f"SELECT row_ordinal, CASE WHEN gender LIKE '%مرد%' THEN 0 WHEN gender LIKE '%زن%' THEN 1 WHEN row_ordinal % 3 IN (0, 1) THEN CAST(row_ordinal % 3 AS INT) ELSE -1 END AS gender_code FROM {P}"
+ORACLE["fallback_text"] = f"SELECT row_ordinal, trim(regexp_replace(translate(coalesce(content, ''), 'يكةۀ\u200f\u200e', 'یکهه'), '{SPACE}+', ' ', 'g')) AS text FROM {P}"
+ORACLE["token_windows"] = f"""WITH w AS (SELECT row_ordinal, list_filter(regexp_split_to_array(coalesce(content, ''), '{SPACE}+'), lambda x: x <> '') AS w FROM {P})
+SELECT row_ordinal, CAST(len(w) AS INT) AS words, sha256(array_to_string(w[1:384], ' ') || repeat(' <pad>', greatest(384 - len(w), 0)::INT)) AS digest FROM w"""
+ORACLE["token_lengths"] = f"""WITH w AS (SELECT len(list_filter(regexp_split_to_array(coalesce(content, ''), '{SPACE}+'), lambda x: x <> '')) AS n FROM {P}) SELECT unnest([50, 90, 95, 99]) AS percent, unnest([quantile_disc(n, 0.5), quantile_disc(n, 0.9), quantile_disc(n, 0.95), quantile_disc(n, 0.99)]) AS words FROM w"""
+ORACLE["id_forms"] = f"SELECT row_ordinal, regexp_replace(trim(coalesce(reply_to, '')), '^([+-]?[0-9]+)\\.0+$', '\\1') AS reply_to FROM {P}"
 ORACLE["tabular_features67"] = (
     "WITH RECURSIVE " + _POSTS_SQL[_POSTS_SQL.index("years AS (") : _POSTS_SQL.index("posts AS (")]
     + f"""a AS (SELECT *, {_DATE('posted_at')} AS ps, {_DATE('join_date')} AS js FROM {P}), b AS (SELECT *, {_PARTS('ps', 'p')}, {_PARTS('js', 'j')} FROM a), c AS (SELECT *, {_WHOLE('ps', 'p')}, {_WHOLE('js', 'j')} FROM b),
 d AS (SELECT c.* EXCLUDE (py, pm, pd, ph, pi, jy, jm, jd, jh, ji, sig_char_count, sig_word_count), {_SHOW('p')}, {_SHOW('j')}, (SELECT first FROM years WHERE y = 1400) AS e0, greatest(likes, CASE WHEN likes IS NULL THEN NULL ELSE 0 END)::DOUBLE AS n_likes, greatest(user_post_count, CASE WHEN user_post_count IS NULL THEN NULL ELSE 0 END)::DOUBLE AS n_posts,
-  {_FINITE('children_count')} AS n_children, {_FINITE('age_num')} AS n_age, {', '.join(f'{x} AS {n}' for n, x in (_POST10 | _SIG10).items())}, {_IN(_CHARS, features.NEGATIVE[:5])} AS post_neg_count_temp, {_IN(_CHARS, features.POSITIVE[:3])} AS post_pos_count_temp
+  {_FINITE('children_count')} AS n_children, {_FINITE('age_num')} AS n_age, {', '.join(f'{x} AS {n}' for n, x in (_POST10 | _SIG10).items())}, {_IN(_CHARS, lexicons.NEGATIVE_WORDS)} AS post_neg_count_temp, {_IN(_CHARS, lexicons.POSITIVE_WORDS)} AS post_pos_count_temp
   FROM c LEFT JOIN calendar pk ON pk.y = c.py AND pk.m = c.pm LEFT JOIN calendar jk ON jk.y = c.jy AND jk.m = c.jm)
 SELECT row_ordinal, {', '.join(_R(x, n) for n, x in _COLUMNS.items())}, {', '.join(_M.format(c) for c in ('gender', 'category', 'sub_category', 'education_clean'))},
  coalesce({_LIST(jalali.WEEKDAYS)}[{_DAY} + 1], '__MISSING__') AS posted_weekday_name, CASE WHEN ph IS NULL THEN '__MISSING__' WHEN ph < 6 THEN 'overnight' WHEN ph < 12 THEN 'morning' WHEN ph < 18 THEN 'afternoon' ELSE 'evening' END AS posted_daypart FROM d"""
 )
-QUERIES = {name: globals()[name] for name in [*ORACLE, "band_sample"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE, "band_sample", "id_variants"]}
