@@ -9,6 +9,7 @@ placed first, on the driver, and the blocks' shares are what they leave.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -46,38 +47,48 @@ def anneal(counts: np.ndarray, start: np.ndarray, targets: np.ndarray, seed: int
     scale = weight / np.maximum(targets, 1.0)
     best, best_cost = start, np.inf
     steps = steps or min(30_000, 2_000 + 10 * n)
+    # Plain numbers are faster here than arrays of a few entries.
+    rows, scales = counts.tolist(), scale.tolist()
+    columns = range(width)
     for restart in range(restarts):
         rng = np.random.default_rng(seed + restart)
-        state = start.copy()
+        state = start.tolist()
         held = np.zeros_like(targets)
-        np.add.at(held, state, counts)
-        off = held - targets
-        cost = float((np.abs(off) * scale).sum())
+        np.add.at(held, start, counts)
+        off = (held - targets).tolist()
+        cost = sum(abs(x) * y for r, t in zip(off, scales) for x, y in zip(r, t))
         if cost < best_cost:
-            best, best_cost = state.copy(), cost
-        picks, others, to, chance, swap = rng.integers(n, size=steps), rng.integers(n, size=steps), rng.integers(k, size=steps), rng.random(steps), rng.random(steps) < 0.5
+            best, best_cost = list(state), cost
+        picks, others, to, swap = (rng.integers(m, size=steps).tolist() for m in (n, n, k, 2))
+        chance = rng.random(steps).tolist()
         heat = 0.05 * max(cost, 1e-9)
         for step in range(steps):
-            i, j = picks[step], others[step]
+            i = picks[step]
             a = state[i]
             if swap[step]:
-                b, change = state[j], counts[i] - counts[j]
+                j = others[step]
+                b, mine, other = state[j], rows[i], rows[j]
+                change = [mine[c] - other[c] for c in columns]
             else:
-                b, change = to[step], counts[i]
-            if a == b:
-                continue
-            old = (np.abs(off[a]) * scale[a]).sum() + (np.abs(off[b]) * scale[b]).sum()
-            new = (np.abs(off[a] - change) * scale[a]).sum() + (np.abs(off[b] + change) * scale[b]).sum()
-            gain = old - new
-            if gain >= 0 or chance[step] < np.exp(gain / (heat * (1 - step / steps) + 1e-12)):
-                off[a] -= change
-                off[b] += change
+                b, change = to[step], rows[i]
+            from_, into, x, y = off[a], off[b], scales[a], scales[b]
+            gain = 0.0
+            for c in columns:
+                d = change[c]
+                if d:
+                    gain += (abs(from_[c]) - abs(from_[c] - d)) * x[c] + (abs(into[c]) - abs(into[c] + d)) * y[c]
+            if a != b and (gain >= 0 or chance[step] < math.exp(gain / (heat * (1 - step / steps) + 1e-12))):
+                for c in columns:
+                    from_[c] -= change[c]
+                    into[c] += change[c]
                 state[i] = b
                 if swap[step]:
                     state[j] = a
                 cost -= gain
-                if cost < best_cost - 1e-12:
-                    best, best_cost = state.copy(), cost
+            # Copies cost more than steps, so the best is looked for now and then, and at the end.
+            if (not step & 63 or step == steps - 1) and cost < best_cost - 1e-12:
+                best, best_cost = list(state), cost
+    best = np.array(best)
     return best
 
 
