@@ -34,15 +34,16 @@ def no_id(col: Column) -> Column:
 
 
 def conflict_aware_dedup(df: DataFrame, id: str, content: str, order: str, fallback: Sequence[str]) -> DataFrame:
-    """Rows with dedup_class and dedup_rank: whole rows first, then by id, where an id with several contents keeps all its rows.
+    """Rows with dedup_class: whole rows first, then by id, where an id with several contents keeps all its rows.
 
     Classes: 0 no id (one row a fallback key), 1 an id with one content (first row), 2 an id with several contents (all rows; a null
-    content counts as one). dedup_rank numbers the result in the order class, then order.
+    content counts as one).
     """
     whole = first_rows(df, [c for c in df.columns if c != order], order)
     missing = no_id(F.col(id))
-    contents = F.min(F.struct(content)).over(Window.partitionBy(id)) != F.max(F.struct(content)).over(Window.partitionBy(id))
-    marked = whole.where(~missing).withColumn("dedup_class", F.when(contents, 2).otherwise(1))
+    # An id's contents are compared by aggregation, however many rows it has.
+    held = whole.where(~missing).groupBy(F.col(id).alias("_id")).agg((F.min(F.struct(content)) != F.max(F.struct(content))).alias("_differ"))
+    marked = whole.where(~missing).join(held, F.col(id) == F.col("_id")).withColumn("dedup_class", F.when(F.col("_differ"), 2).otherwise(1)).drop("_id", "_differ")
     kept = first_rows(whole.where(missing).withColumn("dedup_class", F.lit(0)), fallback, order)
     kept = kept.unionByName(marked.where("dedup_class = 2")).unionByName(first_rows(marked.where("dedup_class = 1"), [id], order))
     return kept

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kelk.functions.features import wilson
-from kelk.operators.running import running_sums
+from kelk.operators.running import quantiles, running_sums
 
 CLASSES = ("Low", "Moderate", "High", "Very High")
 
@@ -47,6 +47,19 @@ def confusion(df: DataFrame, truth: str, prediction: str, classes: Sequence[str]
     return F.broadcast(cells).join(counts, ["truth", "prediction"], "left").select("truth", "prediction", F.coalesce("c", F.lit(0)).alias("n"))
 
 
+def confusion_shares(df: DataFrame, truth: str, prediction: str, classes: Sequence[str] = CLASSES) -> DataFrame:
+    """truth, prediction, share: the confusions as shares of each true class; null for a class that never occurs."""
+    cells = confusion(df, truth, prediction, classes)
+    whole = cells.groupBy(F.col("truth").alias("of")).agg(F.sum("n").alias("all"))
+    return cells.join(F.broadcast(whole), F.col("truth") == F.col("of")).select("truth", "prediction", F.try_divide("n", "all").alias("share"))  # a row a class
+
+
+def class_summary(df: DataFrame, truth: str, prediction: str, classes: Sequence[str] = CLASSES) -> DataFrame:
+    """n, accuracy, macro_f1 over all classes."""
+    report = class_report(df, truth, prediction, classes)
+    return report.agg(F.sum("support").alias("n"), F.try_divide(F.sum("hits"), F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"))
+
+
 def class_report(df: DataFrame, truth: str, prediction: str, classes: Sequence[str] = CLASSES) -> DataFrame:
     """class, support, predicted, hits, precision, recall, f1 and the recall's interval; a share of nothing is 0."""
     cells = confusion(df, truth, prediction, classes)
@@ -60,8 +73,9 @@ def class_report(df: DataFrame, truth: str, prediction: str, classes: Sequence[s
 
 
 def threshold_grid(df: DataFrame, score: str, label: str, classes: Sequence[str] = CLASSES, most: int = 200) -> DataFrame:
-    """t, and per class the rows below t: at the midpoints of neighbouring distinct scores and beyond both ends.
+    """t, and per class the rows below t: at the midpoints of neighbouring distinct scores and beyond the highest one.
 
+    A threshold below all scores leaves the class under it empty, whose recall then can't reach a floor, so none is tried.
     Of more than most candidates every k-th is taken, so that the search over triples stays bounded whatever the data.
     """
     names = [f"c{i}" for i in range(len(classes))]
@@ -194,9 +208,9 @@ def ridge_stack(df: DataFrame, truth: str, a: str, b: str, alpha: float, weight:
 
 def robust_z(df: DataFrame, column: str, out: str) -> DataFrame:
     """df with the column's distance from the median in units of 1.4826 times the median absolute deviation; 0 where that is 0."""
-    centre = df.agg(F.median(column).alias("_m"))
+    centre = quantiles(df, column, [0.5]).select(F.col("q0").alias("_m"))
     off = df.join(F.broadcast(centre))  # one row
-    scale = off.agg((F.median(F.abs(F.col(column) - F.col("_m"))) * 1.4826).alias("_s"))
+    scale = quantiles(off.select(F.abs(F.col(column) - F.col("_m")).alias("_a")), "_a", [0.5]).select((F.col("q0") * 1.4826).alias("_s"))
     return off.join(F.broadcast(scale)).withColumn(out, F.when(F.col("_s") > 1e-12, (F.col(column) - F.col("_m")) / F.col("_s")).otherwise(0.0)).drop("_m", "_s")  # one row
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from kelk.functions.text import drop_decimal_zero
+from kelk.operators.running import positions
+from kelk.session import cut
 
 
 @arrow_udf(T.StringType())
@@ -84,19 +86,44 @@ def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def fuzzy_matches(labels: DataFrame, records: DataFrame, least: float = 0.97, margin: float = 0.02) -> DataFrame:
-    """id, row_ordinal, ratio: the best candidate of each label if its ratio is high enough and leads the next one's."""
-    scored = labels.select("id", F.col("content").alias("want")).join(records, "id").withColumn("ratio", similarity(F.col("want"), F.col("content")))
-    top = scored.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("r"), "row_ordinal"))), 1, 2).alias("top"))
-    ahead = F.coalesce(F.try_element_at("top", F.lit(2))["r"], F.lit(0.0)) - F.col("top")[0]["r"]
-    best = -F.col("top")[0]["r"]
-    return top.where((best >= least) & (ahead >= margin)).select("id", F.col("top")[0]["row_ordinal"].alias("row_ordinal"), best.alias("ratio"))
+    """id, row_ordinal, ratio: the best candidate of each label if its ratio is high enough and leads the next one's.
+
+    Candidates whose lengths alone keep the ratio below least can't be the best; they only count for the lead if they reach least - margin.
+    """
+    scored = labels.select("id", F.col("content").alias("want")).join(records, "id")
+    a, b = F.length("want"), F.length("content")
+    # Twice the shorter length over both lengths is the most that a ratio can reach.
+    possible = scored.where(2.0 * F.least(a, b) >= (least - margin) * (a + b))
+    rated = possible.select("id", "row_ordinal", similarity(F.col("want"), F.col("content")).alias("ratio"))
+    place = F.struct(-F.col("ratio"), F.col("row_ordinal"))
+    best = rated.groupBy("id").agg(F.min_by(F.struct("row_ordinal", "ratio"), place).alias("b"))
+    rest = rated.join(best, "id").where(F.col("row_ordinal") != F.col("b.row_ordinal")).groupBy("id").agg(F.max("ratio").alias("next"))
+    led = best.join(rest, "id", "left").where((F.col("b.ratio") >= least) & (F.col("b.ratio") - F.coalesce("next", F.lit(0.0)) >= margin))
+    return led.select("id", "b.row_ordinal", "b.ratio")
+
+
+def resolve_with_fuzzy(labels: DataFrame, records: DataFrame, least: float = 0.97, margin: float = 0.02) -> DataFrame:
+    """The whole ladder: resolve_matches of labels (id, content, content_hash), and for the ids whose content matches none exactly the fuzzy match.
+
+    The outcomes are those of resolve_matches, missing_id for a null or blank id, and fuzzy_match, which has a row.
+    """
+    nameless = F.coalesce(F.trim(F.col("id").cast("string")), F.lit("")) == ""
+    exact = resolve_matches(labels.where(~nameless).select("id", "content_hash"), records.drop("content") if "content" in records.columns else records)
+    exact = cut(exact)
+    left = exact.where("outcome = 'content_mismatch'").select("id")
+    fuzzy = fuzzy_matches(labels.where("content IS NOT NULL").select("id", "content").join(left, "id", "left_semi"), records.where("content IS NOT NULL").select("id", "row_ordinal", "content"), least, margin)
+    told = exact.join(fuzzy.select("id", F.col("row_ordinal").alias("_row")), "id", "left")
+    out = told.select("id", F.when(F.col("_row").isNotNull(), "fuzzy_match").otherwise(F.col("outcome")).alias("outcome"), F.coalesce("row_ordinal", "_row").alias("row_ordinal"))
+    return out.unionByName(labels.where(nameless).select("id", F.lit("missing_id").alias("outcome"), F.lit(None).cast("long").alias("row_ordinal")))
 
 
 def assign_roles(df: DataFrame, group: str, split: Column, eligible: Column) -> DataFrame:
     """df with role: train for rows of the train split or of groups without any eligible row, else the split of eligible rows, else embargo."""
-    any_eligible = F.sum(eligible.cast("int")).over(Window.partitionBy(group))
-    role = F.when((split == "train") | (any_eligible == 0), "train").when(eligible & (split == "val"), "validation").when(eligible & (split == "test"), "test").otherwise("embargo")
-    return df.withColumn("role", role)
+    # The groups are summed up and joined, so that a large one is never gathered.
+    held = df.groupBy(F.col(group).alias("_group")).agg(F.sum(eligible.cast("int")).alias("_eligible"))
+    df = df.join(held, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    role = F.when((split == "train") | (F.col("_eligible") == 0), "train").when(eligible & (split == "val"), "validation").when(eligible & (split == "test"), "test").otherwise("embargo")
+    return df.withColumn("role", role).drop("_eligible")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -118,12 +145,21 @@ def grouped_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: i
     return sizes.select(group, F.pmod(dealt + start, F.lit(folds)).cast("int").alias("fold"))
 
 
-def dataset_digest(df: DataFrame, id: str, value: str, buckets: int = 256) -> DataFrame:
-    """digest: SHA-256 over the rows in the order of id, whatever their order in the table.
+#: Row digests that are joined to one digest of the next level.
+CHUNK = 4096
+
+
+def dataset_digest(df: DataFrame, id: str, value: str, chunk: int = CHUNK) -> DataFrame:
+    """digest: SHA-256 over the rows in the order of id, then value, whatever their order in the table.
 
-    The rows are digested bucket by bucket (a bucket is a range of the id's own digest), then the buckets' digests in order.
+    The digests of so many neighbouring rows are joined and digested again, level by level, until one is left; no task holds more.
     """
-    row = F.concat(F.col(id), F.lit("\x1f"), F.col(value).cast("string"))
-    hashed = df.select(F.sha2(row, 256).alias("h")).withColumn("b", F.substring("h", 1, 2 if buckets == 256 else 1))
-    parts = hashed.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("part"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "part"))), lambda x: x["part"]), ""), 256).alias("digest"))
+    row = F.concat(F.col(id), F.lit("\x1f"), F.coalesce(F.col(value).cast("string"), F.lit("")), F.lit("\n"))
+    level = positions(df.select(F.col(id).alias("_id"), F.sha2(row, 256).alias("h")), [F.asc("_id"), F.asc("h")], "at").select("at", "h")
+    n = level.count()
+    while True:
+        joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), ""), 256)
+        if n <= chunk:
+            return level.agg(joined.alias("digest"))
+        level = cut(level.groupBy(F.floor(F.col("at") / F.lit(chunk)).alias("at")).agg(joined.alias("h")))
+        n = -(-n // chunk)

@@ -8,29 +8,66 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kelk.session import cut
 
-BUCKETS = 256
+#: Buckets at least, and rows of a bucket where that gives more.
+BUCKETS, BUCKET_ROWS = 256, 1_000_000
 
 
-def running_sums(df: DataFrame, order: str, columns: Sequence[str], descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """df with cum_{c} for each of the columns: its sum over all rows up to and including this one, in the order of a unique column.
+def running_sums(df: DataFrame, order: str, columns: Sequence[str], descending: bool = False, buckets: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """df with cum_{c} for each of the columns: its sum over all rows, of the same values of by, up to and including this one, in the order of a column that is unique there.
 
     The rows are put into buckets between approximate quantiles of the order; sums run within a bucket, and over the buckets' totals.
     """
     if "_bucket" in df.columns:
         raise ValueError("the column name _bucket is taken")
-    bounds = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000).alias("_bounds"))
+    by = list(by)
+    buckets = buckets or max(BUCKETS, -(-df.count() // BUCKET_ROWS))
+    bounds = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], max(10_000, 4 * buckets)).alias("_bounds"))
     placed = df.join(F.broadcast(bounds)).withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")  # one row
     if descending:
         placed = placed.withColumn("_bucket", -F.col("_bucket"))
-    totals = placed.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over at most as many rows as buckets
-    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in columns])
-    within = Window.partitionBy("_bucket").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(F.broadcast(offsets), "_bucket")  # as many rows as buckets
+    totals = placed.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
+    earlier = (Window.partitionBy(*by) if by else Window).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over at most as many rows as buckets
+    offsets = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in columns])
+    within = Window.partitionBy(*by, "_bucket").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    if by:
+        offsets = offsets.withColumnsRenamed({c: f"_b_{c}" for c in by}).withColumnRenamed("_bucket", "_b_bucket")
+        same = F.col("_bucket") == F.col("_b_bucket")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+        out = placed.join(offsets, same).drop("_b_bucket", *[f"_b_{c}" for c in by])
+    else:
+        out = placed.join(F.broadcast(offsets), "_bucket")  # as many rows as buckets
     out = out.withColumns({f"cum_{c}": F.sum(c).over(within) + F.col(f"_o_{c}") for c in columns})
     return out.drop("_bucket", *[f"_o_{c}" for c in columns])
 
 
+def quantiles(df: DataFrame, column: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """by, q0, q1, ..: the quantiles of the column, between two values the one in proportion, of each group of by; null and NaN count for nothing.
+
+    Rows are counted by value and summed up in two levels, so that no task holds a group, or all its distinct values.
+    """
+    by = list(by)
+    value = F.col(column).cast("double")
+    counts = df.select(*by, value.alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    counts = cut(counts)
+    summed = running_sums(counts, "_v", ["_n"], by=by)
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    if by:
+        total = total.withColumnsRenamed({c: f"_g_{c}" for c in by})
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        summed = summed.join(total, same)
+    else:
+        summed = summed.join(F.broadcast(total))  # one row
+    ends = []
+    for i, p in enumerate(fractions):
+        place = F.lit(p) * (F.col("_all") - 1)
+        ends += [F.min(F.when(F.col("cum__n") > F.floor(place), F.col("_v"))).alias(f"_l{i}"), F.min(F.when(F.col("cum__n") > F.ceil(place), F.col("_v"))).alias(f"_h{i}"), F.first(place - F.floor(place)).alias(f"_f{i}")]
+    found = summed.groupBy(*by).agg(*ends)
+    return found.select(*by, *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}")).alias(f"q{i}") for i in range(len(fractions))])
+
+
 def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """df with the exact place of each row, from 0, in an order that leaves no ties.
 

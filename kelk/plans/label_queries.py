@@ -68,7 +68,24 @@ def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dataset_digest(spark: SparkSession, d: str) -> DataFrame:
-    return labels.dataset_digest(table(spark, d, C).withColumn("rank", F.col("canonical_preference_rank")), "unique_post_id", "rank")
+    return labels.dataset_digest(table(spark, d, C), "unique_post_id", "final_stress")
+
+
+def match_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """The whole ladder over hashes of the whole content, the fuzzy match of what is left included."""
+    wanted = table(spark, d, C).select(F.col("unique_post_id").alias("id"), "content", labels.content_hash(F.col("content")).alias("content_hash"))
+    df = posts(spark, d)
+    records = df.select(F.col("unique_post_id").alias("id"), "row_ordinal", "content", labels.content_hash(F.col("content")).alias("content_hash"), labels.row_fingerprint({c: F.col(c) for c in ("author", "thread_id", "content")}).alias("fingerprint"))
+    return labels.resolve_with_fuzzy(wanted, records)
+
+
+def class_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluation.class_summary(_classed(spark, d), "clinical_class", "predicted")
+    return out.select("n", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
+def confusion_shares(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.confusion_shares(_classed(spark, d), "clinical_class", "predicted").withColumn("share", F.round("share", 6))
 
 
 def role_assignment(spark: SparkSession, d: str) -> DataFrame:
@@ -285,6 +302,10 @@ SELECT unique_post_id, round(v, 6) AS acquisition FROM (SELECT unique_post_id, 0
     "kde_grid": f"WITH x AS (SELECT clinical_class, round(final_stress, 3) AS x FROM {C} WHERE final_stress IS NOT NULL), s AS (SELECT clinical_class, count(*) AS n, stddev_samp(x) * count(*) ** (-0.2) AS h FROM x GROUP BY 1) SELECT clinical_class, CAST(g AS INTEGER) AS g, round(sum(exp(-0.5 * ((1 + g * 9.0 / 49 - x) / h) ** 2)) / (first(n) * first(h) * 2.5066282746310002), 6) AS density FROM x JOIN s USING (clinical_class) CROSS JOIN (SELECT unnest(range(50)) AS g) GROUP BY 1, 2",
 }
 ORACLE["leaderboard"] = f"SELECT *, CAST(row_number() OVER (ORDER BY mae, rmse, weight DESC) AS INTEGER) AS rank FROM ({ORACLE['blend_candidates']})"
-ORACLE["dataset_digest"] = f"""WITH h AS (SELECT sha256(unique_post_id || chr(31) || canonical_preference_rank) AS h FROM {C}), p AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS part FROM h GROUP BY 1)
-SELECT sha256(string_agg(part, '' ORDER BY b)) AS digest FROM p"""
-QUERIES = {name: globals()[name] for name in [*ORACLE, "content_hash_whole", "fuzzy_match", "grouped_folds", "kde_grid_full", "threshold_search_exact"]}
+ORACLE["dataset_digest"] = f"""WITH RECURSIVE r AS (SELECT sha256(unique_post_id || chr(31) || coalesce(final_stress::VARCHAR, '') || chr(10)) AS h, unique_post_id AS i FROM {C}), z AS (SELECT h, row_number() OVER (ORDER BY i, h) - 1 AS k FROM r),
+l1 AS (SELECT sha256(string_agg(h, '' ORDER BY k)) AS h, k // 4096 AS k FROM z GROUP BY k // 4096), l2 AS (SELECT sha256(string_agg(h, '' ORDER BY k)) AS h, k // 4096 AS k FROM l1 GROUP BY k // 4096)
+SELECT CASE WHEN (SELECT count(*) FROM z) <= 4096 THEN (SELECT h FROM l1) WHEN (SELECT count(*) FROM l1) <= 4096 THEN (SELECT h FROM l2) END AS digest"""
+_SUMMARY = ORACLE["class_report"][: ORACLE["class_report"].index("SELECT c AS class, s AS support")]
+ORACLE["class_summary"] = _SUMMARY + "SELECT CAST(sum(s) AS BIGINT) AS n, round(sum(h) / sum(s), 6) AS accuracy, round(avg(coalesce(2 * pr * re / nullif(pr + re, 0), 0)), 6) AS macro_f1 FROM m"
+ORACLE["confusion_shares"] = f"SELECT truth, prediction, round(n / nullif(sum(n) OVER (PARTITION BY truth), 0), 6) AS share FROM ({ORACLE['confusion_matrix']})"
+QUERIES = {name: globals()[name] for name in [*ORACLE, "content_hash_whole", "match_outcomes", "fuzzy_match", "grouped_folds", "kde_grid_full", "threshold_search_exact"]}

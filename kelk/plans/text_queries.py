@@ -74,14 +74,14 @@ def differential_vocab(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quantiles(spark: SparkSession, d: str) -> DataFrame:
-    p = F.percentile("o_totalprice", [0.05, 0.25, 0.5, 0.75, 0.95])
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(p.alias("p")).select("o_orderpriority", *[F.round(F.col("p")[i], 4).alias(f"q{q}") for i, q in enumerate((5, 25, 50, 75, 95))])
+    out = running.quantiles(table(spark, d, "orders"), "o_totalprice", [0.05, 0.25, 0.5, 0.75, 0.95], by=["o_orderpriority"])
+    return out.select("o_orderpriority", *[F.round(f"q{i}", 4).alias(f"q{q}") for i, q in enumerate((5, 25, 50, 75, 95))])
 
 
 def histogram(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "lineitem")
-    ends = df.agg(F.percentile("l_extendedprice", [0.005, 0.995]).alias("e"))
-    kept = df.crossJoin(F.broadcast(ends)).where(F.col("l_extendedprice").between(F.col("e")[0], F.col("e")[1]))  # one row
+    ends = running.quantiles(df, "l_extendedprice", [0.005, 0.995])
+    kept = df.join(F.broadcast(ends)).where(F.col("l_extendedprice").between(F.col("q0"), F.col("q1")))  # one row
     return kept.groupBy((F.floor(F.col("l_extendedprice") / 1000.0) * 1000.0).cast("double").alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -90,7 +90,10 @@ def value_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def group_stats(spark: SparkSession, d: str) -> DataFrame:
-    return posts(spark, d).groupBy("is_starter").agg(F.count("*").alias("n"), F.round(F.avg("likes"), 6).alias("mean_likes"), F.min("likes").alias("least"), F.max("likes").alias("most"), F.round(F.median("likes"), 4).alias("median_likes"))
+    df = posts(spark, d)
+    out = df.groupBy("is_starter").agg(F.count("*").alias("n"), F.round(F.avg("likes"), 6).alias("mean_likes"), F.min("likes").alias("least"), F.max("likes").alias("most"))
+    medians = running.quantiles(df, "likes", [0.5], by=["is_starter"]).select(F.col("is_starter").alias("s"), F.round("q0", 4).alias("median_likes"))
+    return out.join(medians, F.col("is_starter").eqNullSafe(F.col("s")), "left").drop("s")
 
 
 def nsmallest(spark: SparkSession, d: str) -> DataFrame:
@@ -103,15 +106,15 @@ def top_n(spark: SparkSession, d: str) -> DataFrame:
 
 def band_sample_pools(spark: SparkSession, d: str) -> DataFrame:
     df = proxy_scores(spark, d)
-    high = df.agg(F.percentile("score", 0.95).alias("high"))
-    banded = df.crossJoin(F.broadcast(high)).select(vocabulary.band(F.col("score"), -0.5, 0.2, F.col("high")).alias("band"))  # one row
+    high = running.quantiles(df, "score", [0.95]).select(F.col("q0").alias("high"))
+    banded = df.join(F.broadcast(high)).select(vocabulary.band(F.col("score"), -0.5, 0.2, F.col("high")).alias("band"))  # one row
     return banded.groupBy("band").agg(F.count("*").alias("n"))
 
 
 def band_sample(spark: SparkSession, d: str) -> DataFrame:
     df = proxy_scores(spark, d)
-    high = df.agg(F.percentile("score", 0.95).alias("high"))
-    banded = df.crossJoin(F.broadcast(high)).select("row_ordinal", vocabulary.band(F.col("score"), -0.5, 0.2, F.col("high")).alias("band"))  # one row
+    high = running.quantiles(df, "score", [0.95]).select(F.col("q0").alias("high"))
+    banded = df.join(F.broadcast(high)).select("row_ordinal", vocabulary.band(F.col("score"), -0.5, 0.2, F.col("high")).alias("band"))  # one row
     return vocabulary.banded_sample(banded, "band", {"low": 500, "mid": 600, "high": 900}, "row_ordinal")
 
 
