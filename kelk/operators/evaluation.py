@@ -6,7 +6,7 @@ import heapq
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kelk.functions.features import wilson
 from kelk.operators.running import quantiles, running_sums
@@ -206,6 +206,21 @@ def ridge_stack(df: DataFrame, truth: str, a: str, b: str, alpha: float, weight:
     return m.select((F.col("my") - first * F.col("ma") - second * F.col("mb")).alias("intercept"), first.alias("first"), second.alias("second"))
 
 
+def register(df: DataFrame, truth: str, first: str, second: str, weights: Sequence[float], alphas: Sequence[float]) -> DataFrame:
+    """candidate, mae, rmse, rank of the two predictions, their blends and their ridge stacks, all over df; ties go by rmse, then name."""
+    a, b = F.col(first), F.col(second)
+    rows = df
+    values = {"first": a, "second": b, **{f"blend {w:.2f}": w * a + (1 - w) * b for w in weights}}
+    for i, alpha in enumerate(alphas):
+        stack = ridge_stack(df, truth, first, second, alpha).toDF(f"_i{i}", f"_f{i}", f"_s{i}")
+        rows = rows.join(F.broadcast(stack))  # one row
+        values[f"ridge {alpha}"] = F.col(f"_i{i}") + F.col(f"_f{i}") * a + F.col(f"_s{i}") * b
+    error = lambda v: v - F.col(truth)
+    found = rows.agg(F.array(*[F.struct(F.lit(n).alias("candidate"), F.round(F.avg(F.abs(error(v))), 5).alias("mae"), F.round(F.sqrt(F.avg(error(v) * error(v))), 5).alias("rmse")) for n, v in values.items()]).alias("rows"))
+    found = found.select(F.explode("rows").alias("r")).select("r.*")
+    return found.withColumn("rank", F.row_number().over(Window.orderBy("mae", "rmse", "candidate")))  # one row a candidate
+
+
 def robust_z(df: DataFrame, column: str, out: str) -> DataFrame:
     """df with the column's distance from the median in units of 1.4826 times the median absolute deviation; 0 where that is 0."""
     centre = quantiles(df, column, [0.5]).select(F.col("q0").alias("_m"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelk.plans import cleaning_queries, contract_queries, core_queries, label_queries, stream_queries, text_queries
+from kelk.plans import cleaning_queries, contract_queries, core_queries, label_queries, source_queries, stream_queries, text_queries
 
-MODULES = (core_queries, cleaning_queries, text_queries, label_queries, contract_queries, stream_queries)
+MODULES = (core_queries, cleaning_queries, text_queries, label_queries, contract_queries, source_queries, stream_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

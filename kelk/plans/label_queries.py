@@ -209,6 +209,12 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.orderBy("mae", "rmse", F.desc("weight"))))  # one row a candidate
 
 
+def candidate_register(spark: SparkSession, d: str) -> DataFrame:
+    """candidate, mae, rmse, rank of two base predictions, eleven blends and four ridge stacks; ties go by rmse, then name."""
+    df = predictions(spark, d).where("a IS NOT NULL")
+    return evaluation.register(df, "truth", "a", "b", [w / 100 for w in range(50, 101, 5)], [0.0, 0.1, 1.0, 10.0])
+
+
 def robust_zscore(spark: SparkSession, d: str) -> DataFrame:
     out = evaluation.robust_z(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "z")
     return out.select("c_custkey", F.round("z", 6).alias("z"))
@@ -305,6 +311,11 @@ ORACLE["leaderboard"] = f"SELECT *, CAST(row_number() OVER (ORDER BY mae, rmse,
 ORACLE["dataset_digest"] = f"""WITH RECURSIVE r AS (SELECT sha256(unique_post_id || chr(31) || coalesce(final_stress::VARCHAR, '') || chr(10)) AS h, unique_post_id AS i FROM {C}), z AS (SELECT h, row_number() OVER (ORDER BY i, h) - 1 AS k FROM r),
 l1 AS (SELECT sha256(string_agg(h, '' ORDER BY k)) AS h, k // 4096 AS k FROM z GROUP BY k // 4096), l2 AS (SELECT sha256(string_agg(h, '' ORDER BY k)) AS h, k // 4096 AS k FROM l1 GROUP BY k // 4096)
 SELECT CASE WHEN (SELECT count(*) FROM z) <= 4096 THEN (SELECT h FROM l1) WHEN (SELECT count(*) FROM l1) <= 4096 THEN (SELECT h FROM l2) END AS digest"""
+_STACK = lambda alpha: f"""(WITH x AS (SELECT * FROM {_PRED} WHERE a IS NOT NULL), m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(truth) AS my FROM x), c AS (SELECT sum((a - ma) * (a - ma)) + {alpha} AS aa, sum((a - ma) * (b - mb)) AS ab, sum((b - mb) * (b - mb)) + {alpha} AS bb, sum((a - ma) * (truth - my)) AS ay, sum((b - mb) * (truth - my)) AS ty FROM x, m),
+s AS (SELECT (ay * bb - ty * ab) / (aa * bb - ab * ab) AS f, (ty * aa - ay * ab) / (aa * bb - ab * ab) AS g FROM c) SELECT 'ridge {alpha}' AS candidate, avg(abs(my - f * ma - g * mb + f * a + g * b - truth)) AS mae, sqrt(avg((my - f * ma - g * mb + f * a + g * b - truth) ** 2)) AS rmse FROM x, s, m)"""
+ORACLE["candidate_register"] = f"""WITH p AS (SELECT * FROM {_PRED} WHERE a IS NOT NULL), r AS (SELECT 'first' AS candidate, avg(abs(a - truth)) AS mae, sqrt(avg((a - truth) ** 2)) AS rmse FROM p UNION ALL SELECT 'second', avg(abs(b - truth)), sqrt(avg((b - truth) ** 2)) FROM p
+UNION ALL SELECT printf('blend %.2f', w), avg(abs(w * a + (1 - w) * b - truth)), sqrt(avg((w * a + (1 - w) * b - truth) ** 2)) FROM (SELECT unnest(list_transform(range(50, 101, 5), lambda x: x / 100::DOUBLE)) AS w), p GROUP BY w {' '.join(f'UNION ALL SELECT * FROM {_STACK(x)}' for x in (0.0, 0.1, 1.0, 10.0))})
+SELECT candidate, round(mae, 5) AS mae, round(rmse, 5) AS rmse, CAST(row_number() OVER (ORDER BY round(mae, 5), round(rmse, 5), candidate) AS INTEGER) AS rank FROM r"""
 _SUMMARY = ORACLE["class_report"][: ORACLE["class_report"].index("SELECT c AS class, s AS support")]
 ORACLE["class_summary"] = _SUMMARY + "SELECT CAST(sum(s) AS BIGINT) AS n, round(sum(h) / sum(s), 6) AS accuracy, round(avg(coalesce(2 * pr * re / nullif(pr + re, 0), 0)), 6) AS macro_f1 FROM m"
 ORACLE["confusion_shares"] = f"SELECT truth, prediction, round(n / nullif(sum(n) OVER (PARTITION BY truth), 0), 6) AS share FROM ({ORACLE['confusion_matrix']})"

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kelk.functions.features import half_open_class, tabular_features
 from kelk.operators import models
 from kelk.plans.cleaning_queries import SPACE, P, posts
-from kelk.plans.label_queries import CUTS
-from kelk.session import shared_folder, table
+from kelk.plans.label_queries import _PRED, CUTS, predictions
+from kelk.plans.text_queries import ORACLE as TEXT_ORACLE
+from kelk.session import shared_folder, spill, table
 from kelk.sources import html, readers
 from kelk.streaming import alerts
 
@@ -69,34 +70,64 @@ def last_page(spark: SparkSession, d: str) -> DataFrame:
     return links.select("o_custkey", html.last_page(F.col("html")).alias("last_page"))
 
 
-_FEATURES = ["likes", "user_post_count", "is_starter", "post_char_count", "post_word_count", "post_neg_count", "post_pos_count", "posted_hour", "account_age_days"]
+def _first_posts(spark: SparkSession, d: str) -> DataFrame:
+    """The first row of each post's id."""
+    df = posts(spark, d)
+    firsts = df.groupBy("unique_post_id").agg(F.min("row_ordinal").alias("row_ordinal"))
+    return df.join(firsts.select("row_ordinal"), "row_ordinal", "left_semi")
 
 
-def _training(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+def _training(spark: SparkSession, d: str) -> tuple[DataFrame, models.Features]:
+    """The labelled records with all 67 features of their posts, kept as a table for the models' passes."""
+    rows = tabular_features(_first_posts(spark, d), "unique_post_id")
+    features = models.columns_of(rows, ["unique_post_id"])
+    roles = table(spark, d, "modeling_manifest_v2").select("unique_post_id", "final_stress", "model_role", "oof_fold", "training_sample_weight").distinct()
+    return spill(roles.join(rows, "unique_post_id")), features
 
-    first = F.row_number().over(Window.partitionBy("unique_post_id").orderBy("row_ordinal"))
-    df = posts(spark, d).withColumn("_n", first).where("_n = 1").drop("_n")
-    features = tabular_features(df, "unique_post_id").select("unique_post_id", *_FEATURES)
-    roles = table(spark, d, "modeling_manifest_v2").select("unique_post_id", "final_stress", "model_role", "oof_fold").distinct()
-    return roles.join(features, "unique_post_id")
+
+def _fold_models(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list, models.Features]:
+    df, features = _training(spark, d)
+    train = df.where("model_role = 'train' AND oof_fold IS NOT NULL")
+    return df, train, models.train_folds(train, features, "final_stress", "oof_fold", 5, "training_sample_weight"), features
 
 
 def oof_gbt(spark: SparkSession, d: str) -> DataFrame:
-    df = _training(spark, d).where("model_role = 'train' AND oof_fold IS NOT NULL").cache()
-    fitted = models.train_folds(df, _FEATURES, "final_stress", "oof_fold", 5)
-    return models.out_of_fold(df, fitted, _FEATURES, "oof_fold").select("unique_post_id", "oof_fold", F.col("final_stress").alias("true_stress"), "prediction")
+    _, train, fitted, features = _fold_models(spark, d)
+    return models.out_of_fold(train, fitted, features, "oof_fold").select("unique_post_id", "oof_fold", F.col("final_stress").alias("true_stress"), "prediction")
 
 
 def importance(spark: SparkSession, d: str) -> DataFrame:
-    df = _training(spark, d).where("model_role = 'train' AND oof_fold IS NOT NULL").cache()
-    return models.importance(df, models.train_folds(df, _FEATURES, "final_stress", "oof_fold", 5), _FEATURES)
+    _, train, fitted, features = _fold_models(spark, d)
+    return models.importance(train, fitted, features)
 
 
 def holdout_ensemble(spark: SparkSession, d: str) -> DataFrame:
-    df = _training(spark, d).cache()
-    fitted = models.train_folds(df.where("model_role = 'train' AND oof_fold IS NOT NULL"), _FEATURES, "final_stress", "oof_fold", 5)
-    return models.ensemble(df.where("model_role IN ('validation', 'test')"), fitted, _FEATURES).select("unique_post_id", "model_role", "prediction", "spread")
+    """The mean of the folds' models, stored and read again, for the records of the evaluation roles."""
+    df, train, fitted, features = _fold_models(spark, d)
+    folder = shared_folder(spark, "models")
+    models.save(fitted, features, folder, train)
+    holdout = df.where("model_role IN ('validation', 'test')")
+    return models.serve(holdout, folder, "unique_post_id").join(holdout.select("unique_post_id", "model_role"), "unique_post_id")
+
+
+def hybrid_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The 67 features and the five of two predictions of each labelled post."""
+    rows = models.hybrid(tabular_features(_first_posts(spark, d), "unique_post_id"), predictions(spark, d), "unique_post_id", "a", "b")
+    return rows.select(*[(F.round(c, 6) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes])
+
+
+def hybrid_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Errors out of fold of trees over the hybrid matrix: squared loss at depths 3 to 5, absolute loss at depth 4."""
+    rows = models.hybrid(tabular_features(_first_posts(spark, d), "unique_post_id"), predictions(spark, d), "unique_post_id", "a", "b")
+    features = models.columns_of(rows, ["unique_post_id"])
+    roles = table(spark, d, "modeling_manifest_v2").where("model_role = 'train' AND oof_fold IS NOT NULL").select("unique_post_id", "final_stress", "oof_fold", "training_sample_weight").distinct()
+    df = spill(roles.join(rows, "unique_post_id"))
+    out = None
+    for name, trees in (("squared-3", models.Trees(5, 3)), ("squared-4", models.Trees(5, 4)), ("squared-5", models.Trees(5, 5)), ("absolute-4", models.Trees(5, 4, "absolute"))):
+        told = models.out_of_fold(df, models.train_folds(df, features, "final_stress", "oof_fold", 5, "training_sample_weight", trees), features, "oof_fold")
+        part = told.agg(F.lit(name).alias("candidate"), F.count("*").alias("n"), F.avg(F.abs(F.col("prediction") - F.col("final_stress"))).alias("mae"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _KEEP = lambda half: f"CASE WHEN e.t <= s.tm THEN 1.0::DOUBLE ELSE exp(-ln(2.0::DOUBLE) * ((e.t - s.tm) / 6e7) / {half}) END"
@@ -122,4 +153,6 @@ ORACLE = {
 ELSE 'https://forum.example/topic/' || o_orderkey || CASE o_custkey % 3 WHEN 1 THEN '?a=1&' ELSE '?' END || 'page=' || (o_orderkey % 3 + 1) END AS url FROM orders""",
     "last_page": "SELECT o_custkey, CAST(greatest(max(o_orderkey % 97), 1) AS INTEGER) AS last_page FROM orders GROUP BY 1",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE, "oof_gbt", "importance", "holdout_ensemble"]}
+ORACLE["hybrid_matrix"] = f"""WITH f AS ({TEXT_ORACLE['tabular_features67']}), o AS (SELECT unique_post_id, min(row_ordinal) AS row_ordinal FROM {P} GROUP BY 1)
+SELECT f.* EXCLUDE (row_ordinal), unique_post_id, round(a, 6) + 0.0 AS base_first, round(b, 6) + 0.0 AS base_second, round((a + b) / 2, 6) + 0.0 AS base_mean, round(a - b, 6) + 0.0 AS base_difference, round(abs(a - b), 6) + 0.0 AS base_distance FROM f JOIN o USING (row_ordinal) JOIN {_PRED} USING (unique_post_id)"""
+QUERIES = {name: globals()[name] for name in [*ORACLE, "oof_gbt", "importance", "holdout_ensemble", "hybrid_trees"]}

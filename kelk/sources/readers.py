@@ -149,6 +149,19 @@ def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def write_dimension(df: DataFrame, key: str, path: str) -> None:
+    """The distinct values of a key as a parquet table, null and blank ones left out."""
+    df.select(key).where(F.trim(key) != "").distinct().write.mode("overwrite").parquet(path)
+
+
+def read_dimension(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A stored dimension, if it has just this column and no value twice."""
+    df = spark.read.parquet(path)
+    if df.columns != [key] or df.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{path} is no table of distinct {key}")
+    return df
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, length, sha256 of every file below a folder; files are digested where they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
