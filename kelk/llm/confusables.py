@@ -23,11 +23,19 @@ _GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳν"
 _GREEK_TWINS = "ABEZHIKMNOPTYXojv"
 _ARMENIAN = "ՕՏսհօո"
 _ARMENIAN_TWINS = "OSuhon"
+_COPTIC = "ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ"
+_COPTIC_TWINS = "BHIKMNOPCTYXopc"
+_CHEROKEE = "ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏴ"
+_CHEROKEE_TWINS = "DRTiYAJEWMHYGhZbRWSVSLCPKdB"
+_LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+_LISU_TWINS = "BPDTGKJCZFMNLSRVHWXYAEIOU"
+_PHONETIC = "ɑɡ"
+_PHONETIC_TWINS = "ag"
 # Code points of one Arabic letter or digit that a Persian reader takes for the same.
 _ARABIC = "يىےېكڪہھەۃ٠١٢٣٤٥٦٧٨٩"
 _ARABIC_TWINS = "ییییککهههة۰۱۲۳۴۵۶۷۸۹"
 
-_TWINS = {ord(a): b for s, t in ((_CYRILLIC, _CYRILLIC_TWINS), (_GREEK, _GREEK_TWINS), (_ARMENIAN, _ARMENIAN_TWINS), (_ARABIC, _ARABIC_TWINS)) for a, b in zip(s, t, strict=True)}
+_TWINS = {ord(a): b for s, t in ((_CYRILLIC, _CYRILLIC_TWINS), (_GREEK, _GREEK_TWINS), (_ARMENIAN, _ARMENIAN_TWINS), (_COPTIC, _COPTIC_TWINS), (_CHEROKEE, _CHEROKEE_TWINS), (_LISU, _LISU_TWINS), (_PHONETIC, _PHONETIC_TWINS), (_ARABIC, _ARABIC_TWINS)) for a, b in zip(s, t, strict=True)}
 #: Kinds of compatibility form that are drawn like the character itself.
 _SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
 #: Fillers and marks without width that are not of category Cf.

@@ -19,7 +19,7 @@ from kelk.llm.confusables import skeleton
     ("a", "b"),
     [
         ("کتاب", "كتاب"), ("بازی", "بازي"), ("آب", "آب"), ("مسئله", "مسئله"), ("ABC", "ＡＢＣ"), ("CAT", "САТ"), ("a b", "a b"), ("a b", "a b"), ("۱۲", "١٢"), ("12", "１２"),
-        ("نی‌نی", "نینی"), ("سلام", "س­ل​ام﻿"), ("خانه", "ﺧﺎﻧﻪ"), ("لا", "ﻻ"), ("é", "é"), ("ΒΑ", "BA"), ("a\nb", "a\r\nb"), ("𝐀", "A"), ("خانۀ", "خانهٔ"),
+        ("نی‌نی", "نینی"), ("سلام", "س­ل​ام﻿"), ("خانه", "ﺧﺎﻧﻪ"), ("لا", "ﻻ"), ("é", "é"), ("ΒΑ", "BA"), ("a\nb", "a\r\nb"), ("𝐀", "A"), ("ᎪᏟ", "AC"), ("ꓝꓬ", "FY"), ("ⲞⲢ", "OP"), ("ɑɡ", "ag"), ("خانۀ", "خانهٔ"),
     ],
 )
 def test_what_looks_alike_is_one(a, b):
