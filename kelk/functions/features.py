@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.functions import arrow_udf
 
 from kelk.functions import jalali
 from kelk.functions.lexicons import NEGATIVE_EMOJI, NEGATIVE_WORDS, POSITIVE_EMOJI, POSITIVE_WORDS
@@ -31,6 +33,19 @@ def persian_words(col: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(col, F.lit(PERSIAN_WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def stemmed(tokens: Column, stem: Callable[[str], str] | None = None) -> Column:
+    """The stems of an array of words by any function of a word, as a dictionary or a stemmer gives it; without one each word is its own."""
+    if stem is None:
+        return tokens
+
+    @arrow_udf(T.ArrayType(T.StringType()))
+    def stems(words: pa.Array) -> pa.Array:
+        known: dict[str, str] = {}
+        return pa.array([None if row is None else [known[w] if w in known else known.setdefault(w, stem(w)) for w in row] for row in words.to_pylist()], pa.list_(pa.string()))
+
+    return stems(tokens)
+
+
 def count_words(tokens: Column, words: Sequence[str]) -> Column:
     """Words of an array that are in the list."""
     return F.size(F.filter(tokens, lambda t: t.isin(*sorted(set(words))))).cast("bigint")

@@ -69,13 +69,21 @@ def fill_from(df: DataFrame, other: DataFrame, key: str, columns: Sequence[str],
     return joined.select(*[filled.get(c, F.col(c) if c == key else F.col(f"a.{c}")).alias(c) for c in df.columns])
 
 
-def with_provenance(df: DataFrame, cache: DataFrame, key: Column, columns: Sequence[str], source: str) -> DataFrame:
-    """df with null or blank columns looked up by a key in a cache with the unique column match_key, and where each row's came from."""
+def with_provenance(df: DataFrame, cache: DataFrame, key: Column, columns: Sequence[str], source: str, strict: bool = False, complete: bool = False) -> DataFrame:
+    """df with null or blank columns looked up by a key in a cache with the unique column match_key, and where each row's came from.
+
+    strict: fails if the cache repeats a key; complete: fails if a row stays without a value.
+    """
+    if strict and cache.groupBy("match_key").count().where("count > 1").limit(1).count():
+        raise ValueError("the cache repeats a match_key")
     joined = df.withColumn("match_key", key).alias("a").join(cache.alias("b"), "match_key", "left")
     missing = is_blank(F.col(f"a.{columns[0]}"))
     origin = F.when(~missing, "original").when(~is_blank(F.col(f"b.{columns[0]}")), "cache").otherwise("missing").alias(source)
     values = {c: F.when(~is_blank(F.col(f"a.{c}")), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in columns}
-    return joined.select(*[values.get(c, F.col(f"a.{c}")) for c in df.columns], origin)
+    out = joined.select(*[values.get(c, F.col(f"a.{c}")) for c in df.columns], origin)
+    if complete and out.where(F.col(source) == "missing").limit(1).count():
+        raise ValueError(f"rows without {columns[0]}")
+    return out
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:

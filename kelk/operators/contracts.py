@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kelk.functions.text import is_blank
+from kelk.sources.readers import exists, save_json
 
 # The classes with the scores that each may have; a bound that two classes share belongs to both but for 5.
 CLASS_RANGES = (("Low", 1.0, 3.0, True), ("Moderate", 3.0, 5.0, False), ("High", 5.0, 7.0, True), ("Very High", 7.0, 10.0, True))
@@ -104,3 +106,31 @@ def recall_floors(report: DataFrame, floors: dict[str, float]) -> DataFrame:
     failed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("i", "class")))), lambda x: x["class"]), "|")
     out = judged.agg(F.count_if("ok").alias("passed"), F.count("*").alias("classes"), failed.alias("failed"))
     return out.select("passed", "classes", F.concat("passed", F.lit("_of_"), "classes", F.lit("_recall_floors")).alias("status"), "failed")
+
+
+def alignment(tables: dict[str, DataFrame], id: str) -> DataFrame:
+    """table, ids, missing, unexpected: of each table the ids of the first that it lacks, and those that the first doesn't have."""
+    names = list(tables)
+    held = None
+    for name, df in tables.items():
+        part = df.select(F.col(id).alias("id"), F.lit(name).alias("table")).where("id IS NOT NULL").distinct()
+        held = part if held is None else held.unionByName(part)
+    # One row an id with the tables that have it; the counts are made in one pass over these.
+    by_id = held.groupBy("id").agg(F.collect_set("table").alias("in"))
+    first = F.array_contains("in", names[0])
+    rows = [
+        F.struct(F.lit(n).alias("table"), F.count_if(F.array_contains("in", n)).alias("ids"), F.count_if(first & ~F.array_contains("in", n)).alias("missing"), F.count_if(F.array_contains("in", n) & ~first).alias("unexpected"))
+        for n in names
+    ]
+    return by_id.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+
+
+def evaluate_once(spark: SparkSession, marker: str, run: Callable[[], dict[str, Any]], confirmed: bool, force: bool = False) -> dict[str, Any]:
+    """What run gives, if it is confirmed and the marker file tells of no earlier run; the marker then holds the report. force runs again."""
+    if not confirmed:
+        raise ContractError("the locked evaluation has to be confirmed")
+    if exists(spark, marker) and not force:
+        raise ContractError(f"evaluated before: {marker}")
+    report = run()
+    save_json(spark, marker, report)
+    return report

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
@@ -126,6 +128,27 @@ def assign_roles(df: DataFrame, group: str, split: Column, eligible: Column) ->
     return df.withColumn("role", role).drop("_eligible")
 
 
+def read_labels(df: DataFrame, id: str) -> DataFrame:
+    """Labels with their ids in normal form; fails if two rows have the same one, null and blank ids left aside."""
+    out = df.withColumn(id, normal_id(F.col(id)))
+    if out.where(F.col(id) != "").groupBy(id).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{id} repeats after normalisation")
+    return out
+
+
+def annotation_template(df: DataFrame, columns: Sequence[str], fields: Sequence[str] = ("stress", "notes")) -> DataFrame:
+    """The columns to show an annotator and empty ones to fill in."""
+    return df.select(*columns, *[F.lit("").alias(f) for f in fields])
+
+
+def sample_weights(df: DataFrame, label: str, weight: str, train: Column) -> DataFrame:
+    """df with training_weight: the weight times its class's, so that the mean over the training rows is 1; null for all others."""
+    classes = class_weights(df.where(train), label).select(F.col(label).alias("_label"), F.col("weight").alias("_class"))
+    both = df.join(F.broadcast(classes), F.col(label).eqNullSafe(F.col("_label")), "left").withColumn("_raw", F.when(train, F.col(weight) * F.col("_class")))  # a row a class
+    mean = both.agg(F.avg("_raw").alias("_mean"))
+    return both.join(F.broadcast(mean)).withColumn("training_weight", F.col("_raw") / F.col("_mean")).drop("_label", "_class", "_raw", "_mean")  # one row
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """label, n, weight: the root of the inverse frequency, relative to equal classes."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))

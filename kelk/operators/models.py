@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.functions import arrow_udf
 
 from kelk.sources.readers import load_json, save_json
 
@@ -117,6 +120,28 @@ def serve(df: DataFrame, folder: str, id: str) -> DataFrame:
     return ensemble(df, models, features).select(id, "prediction", "spread")
 
 
+def predict_batches(df: DataFrame, make: Callable[[], Callable[[list[str]], list[float]]], text: str, out: str, batch: int = 32, low: float | None = None, high: float | None = None) -> DataFrame:
+    """df with the predictions of any model of texts, made once a task and called with so many texts at a time, within low and high if given.
+
+    make is what chooses the model: it runs on the executors, where it loads what it needs. A null text has no prediction.
+    """
+
+    @arrow_udf(T.DoubleType())
+    def predicted(texts: pa.Array) -> pa.Array:
+        run = make()
+        rows = texts.to_pylist()
+        at = [i for i, t in enumerate(rows) if t is not None]
+        told: list[float | None] = [None] * len(rows)
+        for start in range(0, len(at), batch):
+            part = at[start : start + batch]
+            for i, value in zip(part, run([rows[i] for i in part]), strict=True):
+                value = value if low is None else max(low, value)
+                told[i] = float(value if high is None else min(high, value))
+        return pa.array(told, pa.float64())
+
+    return df.withColumn(out, predicted(F.col(text)))
+
+
 def hybrid(features: DataFrame, predictions: DataFrame, id: str, first: str, second: str) -> DataFrame:
     """The features with two models' predictions, their mean, their difference and its size."""
     a, b = F.col("base_first"), F.col("base_second")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kelk.functions import features, lexicons
 from kelk.functions.text import is_blank
-from kelk.operators import calibration, contracts, evaluation, relations, running
+from kelk.operators import calibration, cleaning, contracts, evaluation, labels, relations, running, vocabulary
 from kelk.operators.components import record_components
-from kelk.plans.cleaning_queries import P, posts
-from kelk.plans.label_queries import _MD, _PRED, C, H, M, _classed, predictions
+from kelk.plans.cleaning_queries import ORACLE as CLEANING_ORACLE, _NO, P, posts
+from kelk.plans.label_queries import _CUT, _MD, _PRED, C, H, M, _classed, predictions
 from kelk.plans.label_queries import ORACLE as LABEL_ORACLE
 from kelk.session import table
 
@@ -167,6 +168,54 @@ def hash_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return df.join(sizes, "content_hash", "left").select("unique_post_id", F.coalesce("group_size", F.lit(0)).alias("group_size"))
 
 
+def alignment_audit(spark: SparkSession, d: str) -> DataFrame:
+    return contracts.alignment({"manifest": table(spark, d, M), "labels": table(spark, d, C), "history": table(spark, d, H), "posts": posts(spark, d)}, "unique_post_id")
+
+
+def evaluation_by_role(spark: SparkSession, d: str) -> DataFrame:
+    """n, mae, rmse, accuracy and macro_f1 of the scores in each role."""
+    df = _classed(spark, d).join(_manifest(spark, d).select("unique_post_id", "model_role"), "unique_post_id")
+    out = None
+    for role in ("train", "validation", "test"):
+        part = df.where(F.col("model_role") == role)
+        errors = evaluation.regression_metrics(part, "truth", "score").select("mae", "rmse")
+        both = errors.join(F.broadcast(evaluation.class_summary(part, "clinical_class", "predicted"))).select(F.lit(role).alias("role"), "n", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "accuracy", "macro_f1")])  # one row each
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def best_candidate(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate of the least error, of equal ones the one with the smaller root, then the first by name."""
+    found = evaluation.register(predictions(spark, d).where("a IS NOT NULL"), "truth", "a", "b", [w / 100 for w in range(50, 101, 5)], [0.0, 0.1, 1.0, 10.0])
+    return found.agg(F.min_by(F.struct("candidate", "mae", "rmse"), F.struct("mae", "rmse", "candidate")).alias("b")).select("b.*")
+
+
+def sample_weights(spark: SparkSession, d: str) -> DataFrame:
+    out = labels.sample_weights(_manifest(spark, d), "clinical_class", "annotation_weight", F.col("model_role") == "train")
+    return out.select("unique_post_id", F.round("training_weight", 9).alias("training_weight"))
+
+
+def group_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Records, classes and sources of each group."""
+    df = _manifest(spark, d).where("group_id IS NOT NULL")
+    return df.groupBy("group_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("clinical_class") == c).alias(c.lower().replace(" ", "_")) for c in evaluation.CLASSES], F.countDistinct("label_source").alias("sources"), F.min_by("unique_post_id", "unique_post_id").alias("first_record"))
+
+
+def annotation_template(spark: SparkSession, d: str) -> DataFrame:
+    return labels.annotation_template(table(spark, d, C), ["unique_post_id", "content"])
+
+
+def clean_with_author(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.clean_filters(posts(spark, d), author="author").select("row_ordinal")
+
+
+def vocabulary_without_noise(spark: SparkSession, d: str) -> DataFrame:
+    """Words that tell stressed posts from calm ones, without those that say nothing."""
+    noise = (*lexicons.NEGATIVE_NOISE, *lexicons.POSITIVE_NOISE)
+    out = vocabulary.differential_vocabulary(table(spark, d, C), "content", F.col("final_stress") >= 7, F.col("final_stress") <= 3, 3, 1.5, noise)
+    return out.withColumn("ratio", F.round("ratio", 6))
+
+
 _OK = "CASE clinical_class WHEN 'Low' THEN final_stress BETWEEN 1 AND 3 WHEN 'Moderate' THEN final_stress >= 3 AND final_stress < 5 WHEN 'High' THEN final_stress BETWEEN 5 AND 7 WHEN 'Very High' THEN final_stress BETWEEN 7 AND 10 ELSE false END"
 _LABELLED = "model_role IN ('train', 'validation', 'test')"
 _RULES = {
@@ -241,5 +290,18 @@ SELECT round(total, 8) AS total, round(class, 8) AS class, round(source, 8) AS s
     "strict_numbers": f"SELECT unique_post_id, final_stress FROM {C}",
     "role_flags": f"SELECT row_ordinal, coalesce(use_for_training, false) AS use_for_training, coalesce(exclude_from_modeling, true) AS exclude_from_modeling FROM {P} LEFT JOIN {_MD} USING (unique_post_id)",
     "hash_group_sizes": f"SELECT unique_post_id, CASE WHEN trim(coalesce(content_hash, '')) = '' THEN 0 ELSE count(*) OVER (PARTITION BY content_hash) END AS group_size FROM {C}",
+    "alignment_audit": " UNION ALL ".join(f"SELECT '{n}' AS \"table\", (SELECT count(DISTINCT unique_post_id) FROM {t}) AS ids, (SELECT count(*) FROM (SELECT unique_post_id FROM {M} WHERE unique_post_id IS NOT NULL EXCEPT SELECT unique_post_id FROM {t})) AS missing, (SELECT count(*) FROM (SELECT unique_post_id FROM {t} WHERE unique_post_id IS NOT NULL EXCEPT SELECT unique_post_id FROM {M})) AS unexpected" for n, t in (("manifest", M), ("labels", C), ("history", H), ("posts", P))),
+    "evaluation_by_role": f"""WITH x AS (SELECT p.*, {_CUT} AS q, model_role FROM {_PRED} p JOIN (SELECT unique_post_id, model_role FROM {_MD}) USING (unique_post_id) WHERE model_role <> 'embargo'),
+k AS (SELECT model_role, c, count(*) FILTER (clinical_class = c AND q IS NOT NULL) AS s, count(*) FILTER (q = c) AS w, count(*) FILTER (clinical_class = c AND q = c) AS h FROM x, (SELECT unnest(['Low', 'Moderate', 'High', 'Very High']) AS c) GROUP BY 1, 2),
+f AS (SELECT model_role, sum(s) AS n, sum(h) / sum(s) AS accuracy, avg(coalesce(2 * h / nullif(s + w, 0), 0)) AS macro_f1 FROM k GROUP BY 1)
+SELECT model_role AS role, CAST(n AS BIGINT) AS n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1 FROM f JOIN (SELECT model_role, avg(abs(score - truth)) AS mae, sqrt(avg((score - truth) ** 2)) AS rmse FROM x GROUP BY 1) USING (model_role)""",
+    "best_candidate": f"SELECT candidate, mae, rmse FROM ({LABEL_ORACLE['candidate_register']}) WHERE rank = 1",
+    "sample_weights": f"""WITH k AS (SELECT clinical_class AS c, count(*) AS n FROM {_MD} WHERE model_role = 'train' GROUP BY 1), w AS (SELECT c, sqrt((SELECT sum(n) FROM k) / ((SELECT count(*) FROM k) * n)) AS w FROM k),
+r AS (SELECT unique_post_id, CASE WHEN model_role = 'train' THEN annotation_weight * w END AS raw FROM {_MD} LEFT JOIN w ON c = clinical_class) SELECT unique_post_id, round(raw / (SELECT avg(raw) FROM r), 9) AS training_weight FROM r""",
+    "group_summary": f"SELECT group_id, count(*) AS n, count(*) FILTER (clinical_class = 'Low') AS low, count(*) FILTER (clinical_class = 'Moderate') AS moderate, count(*) FILTER (clinical_class = 'High') AS high, count(*) FILTER (clinical_class = 'Very High') AS very_high, count(DISTINCT label_source) AS sources, min(unique_post_id) AS first_record FROM {_MD} WHERE group_id IS NOT NULL GROUP BY 1",
+    "annotation_template": f"SELECT unique_post_id, content, '' AS stress, '' AS notes FROM {C}",
+    "clean_with_author": CLEANING_ORACLE["clean_filters"].replace("SELECT row_ordinal, unique_post_id", "SELECT row_ordinal") + f" AND NOT {_NO('author')}",
+    "vocabulary_without_noise": f"""WITH t AS (SELECT final_stress AS s, unnest(regexp_extract_all(coalesce(content, ''), '{features.PERSIAN_WORD}')) AS stem FROM {C}), c AS (SELECT stem, count(*) FILTER (s >= 7) AS h, count(*) FILTER (s <= 3) AS l FROM t WHERE length(stem) >= 2 AND stem NOT IN ({', '.join(f"'{w}'" for w in (*lexicons.NEGATIVE_NOISE, *lexicons.POSITIVE_NOISE))}) GROUP BY 1)
+SELECT stem, 'high' AS association, h AS high_freq, l AS low_freq, round(h / nullif(l, 0), 6) AS ratio FROM c WHERE h >= 3 AND (l = 0 OR h / l > 1.5) UNION ALL SELECT stem, 'low', h, l, round(l / nullif(h, 0), 6) FROM c WHERE l >= 3 AND (h = 0 OR l / h > 1.5)""",
 }
 QUERIES = {name: globals()[name] for name in [*ORACLE, "calibrator_cv"]}

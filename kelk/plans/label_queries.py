@@ -179,12 +179,17 @@ def threshold_search_exact(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+#: Points of the sweep between 1 and 10, both ends included.
+SWEEP = 180
+
+
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     cum = predictions(spark, d).groupBy("score").agg(F.count("*").alias("n"), F.count_if(F.col("clinical_class") == "Very High").alias("p"))
-    # Every score counts at the grid points up to it: added up by its own point, then summed from the top of the 91 points.
-    at = cum.groupBy(F.least(F.floor((F.col("score") - 1) * 10 + 1e-9), F.lit(90)).alias("id")).agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    down = Window.orderBy(F.desc("id"))  # 91 rows
-    points = spark.range(91).join(at, "id", "left").select("id", F.sum(F.coalesce("n", F.lit(0))).over(down).alias("flagged"), F.sum(F.coalesce("p", F.lit(0))).over(down).alias("hits"))
+    # Every score counts at the grid points up to it: added up by its own point, then summed from the top of the points.
+    point = F.floor((F.col("score") - 1) * ((SWEEP - 1) / 9) + 1e-9)
+    at = cum.where("score IS NOT NULL").groupBy(F.least(point, F.lit(SWEEP - 1)).alias("id")).agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    down = Window.orderBy(F.desc("id"))  # SWEEP rows
+    points = spark.range(SWEEP).join(at, "id", "left").select("id", F.sum(F.coalesce("n", F.lit(0))).over(down).alias("flagged"), F.sum(F.coalesce("p", F.lit(0))).over(down).alias("hits"))
     return points.select(F.col("id").alias("step"), "flagged", "hits")
 
 
@@ -297,7 +302,7 @@ y AS (SELECT *, coalesce(h0 / nullif(n0, 0), 0) AS r0, coalesce(h1 / nullif(n1,
 z AS (SELECT t1, t2, t3, round(p3, 12) AS a, round((coalesce(2 * r0 * p0 / nullif(r0 + p0, 0), 0) + coalesce(2 * r1 * p1 / nullif(r1 + p1, 0), 0) + coalesce(2 * r2 * p2 / nullif(r2 + p2, 0), 0) + coalesce(2 * r3 * p3 / nullif(r3 + p3, 0), 0)) / 4, 12) AS b, round(p2, 12) AS c
   FROM y WHERE r0 + 1e-12 >= 0.75 AND r1 + 1e-12 >= 0.5 AND r2 + 1e-12 >= 0.5 AND r3 + 1e-12 >= 0.75 ORDER BY 4 DESC, 5 DESC, 6 DESC, t1, t2, t3 LIMIT 100)
 SELECT round(t1, 6) AS t1, round(t2, 6) AS t2, round(t3, 6) AS t3, round(a, 6) AS top_precision, round(b, 6) AS macro_f1, round(c, 6) AS high_precision FROM z""",
-    "threshold_sweep": f"SELECT g AS step, count(*) FILTER (floor((score - 1) * 10 + 1e-9) >= g OR g = 0) AS flagged, count(*) FILTER ((floor((score - 1) * 10 + 1e-9) >= g OR g = 0) AND clinical_class = 'Very High') AS hits FROM (SELECT unnest(range(91)) AS g) CROSS JOIN {_PRED} WHERE score IS NOT NULL GROUP BY 1",
+    "threshold_sweep": f"SELECT g AS step, count(*) FILTER (floor((score - 1) * ({SWEEP - 1}::DOUBLE / 9) + 1e-9) >= g OR g = 0) AS flagged, count(*) FILTER ((floor((score - 1) * ({SWEEP - 1}::DOUBLE / 9) + 1e-9) >= g OR g = 0) AND clinical_class = 'Very High') AS hits FROM (SELECT unnest(range({SWEEP})) AS g) CROSS JOIN {_PRED} WHERE score IS NOT NULL GROUP BY 1",
     "fold_ensemble": "WITH m AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: x::DOUBLE * 2 + 5) AS v FROM embeddings) SELECT vec_id, round(list_avg(v), 6) AS prediction, round(list_stddev_pop(v), 6) AS spread FROM m",
     "blend_candidates": f"SELECT w AS weight, round(avg(abs(w * a + (1 - w) * b - truth)), 6) AS mae, round(sqrt(avg((w * a + (1 - w) * b - truth) ** 2)), 6) AS rmse FROM (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0]::DOUBLE[]) AS w) CROSS JOIN {_PRED} GROUP BY 1",
     "ridge_stack": f"""WITH x AS (SELECT * FROM {_PRED} WHERE a IS NOT NULL), m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(truth) AS my FROM x), c AS (SELECT sum((a - ma) * (a - ma)) + 1 AS aa, sum((a - ma) * (b - mb)) AS ab, sum((b - mb) * (b - mb)) + 1 AS bb, sum((a - ma) * (truth - my)) AS ay, sum((b - mb) * (truth - my)) AS ty FROM x, m),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelk.functions import features
-from kelk.operators import calibration, contracts, labels, models, relations, running
+from kelk.operators import calibration, cleaning, contracts, labels, models, relations, running
 
 
 def rows_of(df):
@@ -145,3 +145,48 @@ def test_models_out_of_fold_are_stored_and_served(spark, tmp_path):
     again = {r.id: r for r in models.serve(df, str(tmp_path / "m"), "id").collect()}
     direct = {r.id: r for r in models.ensemble(df, fitted, columns).collect()}
     assert len(served) == 180 and all(again[i].prediction == direct[i].prediction for i in direct)
+
+
+def test_guards(spark, tmp_path):
+    marker, calls = str(tmp_path / "marker.json"), []
+    run = lambda: calls.append(1) or {"mae": 0.5}
+    with pytest.raises(contracts.ContractError, match="confirmed"):
+        contracts.evaluate_once(spark, marker, run, confirmed=False)
+    assert contracts.evaluate_once(spark, marker, run, confirmed=True) == {"mae": 0.5}
+    with pytest.raises(contracts.ContractError, match="evaluated before"):
+        contracts.evaluate_once(spark, marker, run, confirmed=True)
+    contracts.evaluate_once(spark, marker, run, confirmed=True, force=True)
+    assert len(calls) == 2
+    rows = spark.createDataFrame([(1, None), (2, "x")], "k int, v string")
+    cache = spark.createDataFrame([("1", "a"), ("1", "b")], "match_key string, v string")
+    key = F.col("k").cast("string")
+    with pytest.raises(ValueError, match="repeats a match_key"):
+        cleaning.with_provenance(rows, cache, key, ["v"], "source", strict=True)
+    filled = cleaning.with_provenance(rows, cache.limit(1), key, ["v"], "source", strict=True, complete=True)
+    assert {r.k: r.source for r in filled.collect()} == {1: "cache", 2: "original"}
+    with pytest.raises(ValueError, match="rows without v"):
+        cleaning.with_provenance(rows, cache.where("false"), key, ["v"], "source", complete=True)
+    with pytest.raises(ValueError, match="id repeats"):
+        labels.read_labels(spark.createDataFrame([("Ａ",), ("A",)], "id string"), "id")
+    assert labels.read_labels(spark.createDataFrame([("7.0",), ("",), (None,)], "id string"), "id").count() == 3
+
+
+def test_any_stemmer_and_any_text_model(spark):
+    df = spark.createDataFrame([(["walks", "walk"],), ([],), (None,)], "w array<string>")
+    assert [r.s for r in df.select(features.stemmed(F.col("w"), lambda w: w.rstrip("s")).alias("s")).collect()] == [["walk", "walk"], [], None]
+    assert features.stemmed(F.col("w")) is not None and df.select(features.stemmed(F.col("w")).alias("s")).first().s == ["walks", "walk"]
+    texts = spark.createDataFrame([("abc",), (None,), ("x" * 50,)], "t string")
+
+    def make():
+        return lambda part: [len(t) for t in part] if len(part) <= 2 else []
+
+    assert [r.p for r in models.predict_batches(texts, make, "t", "p", batch=2, low=1.0, high=10.0).collect()] == [3.0, None, 10.0]
+
+
+def test_alignment_and_weights(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    found = {r.table: (r.ids, r.missing, r.unexpected) for r in contracts.alignment({"a": ids("1", "2", "2", None), "b": ids("2", "3"), "c": ids("1", "2")}, "id").collect()}
+    assert found == {"a": (2, 0, 0), "b": (2, 1, 1), "c": (2, 0, 0)}
+    df = spark.createDataFrame([("a", 1.0, True), ("a", 2.0, True), ("b", 1.0, True), ("b", 5.0, False)], "label string, w double, train boolean")
+    weights = [r.training_weight for r in labels.sample_weights(df, "label", "w", F.col("train")).collect()]
+    assert sum(x is None for x in weights) == 1 and math.isclose(statistics.fmean(x for x in weights if x is not None), 1.0)
