@@ -23,13 +23,17 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    ascii_ = F.regexp_replace(F.coalesce("content", F.lit("")), "[^ -~]", "")
-    return posts(spark, d).select("row_ordinal", labels.content_hash(ascii_).alias("hash"))
+    return posts(spark, d).select("row_ordinal", labels.content_hash(F.col("content")).alias("hash"))
 
 
-def content_hash_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Of the whole content; content_hash takes only what SQL can follow, the ASCII characters."""
-    return posts(spark, d).select("row_ordinal", labels.content_hash(F.col("content")).alias("hash"))
+#: Characters that the compatibility form leaves as they are: ASCII, Arabic but for four letters, the non-joiner, symbols and emoji.
+STABLE = r"[\x{20}-\x{7e}\n\t\x{600}-\x{674}\x{679}-\x{6ff}\x{200c}\x{fe0f}\x{2600}-\x{27bf}\x{1f000}-\x{1faff}]"
+
+
+def content_hash_stable(spark: SparkSession, d: str) -> DataFrame:
+    """The hash of the whole content of every post, for those whose characters SQL can normalise; null for the others, which content_hash has."""
+    stable = F.coalesce("content", F.lit("")).rlike(f"^{STABLE}*$")
+    return posts(spark, d).select("row_ordinal", stable.alias("stable"), F.when(stable, labels.content_hash(F.col("content"))).alias("hash"))
 
 
 def dup_content_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -37,14 +41,13 @@ def dup_content_groups(spark: SparkSession, d: str) -> DataFrame:
     return df.where("content_hash <> ''").groupBy("content_hash").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def canonical_by_rank(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, H).where("observed AND annotator IN ('person1', 'person2', 'person3')").distinct()
-    return labels.canonical_by_rank(df, "unique_post_id", F.length("label_round"), "annotator", "stress")
+#: Rounds of labels in the order of preference.
+ROUNDS = ("original_round", "original_extra_person1_round", "active_learning_round", "panel_round")
 
 
-def canonical_by_rank_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of all annotators; canonical_by_rank and its SQL take three of them."""
-    return labels.canonical_by_rank(table(spark, d, H).where("observed").distinct(), "unique_post_id", F.length("label_round"), "annotator", "stress")
+def canonical_by_rank(spark: SparkSession, d: str) -> DataFrame:
+    rank = F.coalesce(F.array_position(F.lit(list(ROUNDS)), F.col("label_round")), F.lit(len(ROUNDS) + 1))
+    return labels.canonical_by_rank(table(spark, d, H).where("observed").distinct(), "unique_post_id", F.when(rank == 0, len(ROUNDS) + 1).otherwise(rank), "annotator", "stress")
 
 
 def ols_consensus(spark: SparkSession, d: str) -> DataFrame:
@@ -241,14 +244,12 @@ def _density(df: DataFrame, points: int) -> DataFrame:
     return grid.groupBy("clinical_class", "g").agg(density.alias("density"))
 
 
-def kde_grid(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, C).where("final_stress IS NOT NULL").select("clinical_class", F.round("final_stress", 3).alias("x"))
-    return _density(df, 50).withColumn("density", F.round("density", 6))
+KDE_POINTS = 500
 
 
-def kde_grid_full(spark: SparkSession, d: str) -> DataFrame:
-    """At 500 points and of the scores as they are; kde_grid and its SQL take 50 points and three decimals."""
-    return _density(table(spark, d, C).where("final_stress IS NOT NULL").select("clinical_class", F.col("final_stress").alias("x")), 500)
+def kde_grid(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, C).where("final_stress IS NOT NULL").select("clinical_class", F.col("final_stress").alias("x"))
+    return _density(df, KDE_POINTS).withColumn("density", F.round("density", 6))
 
 
 _PRED = f"(SELECT unique_post_id, final_stress AS truth, clinical_class, coalesce(person1_raw, person2_raw) AS a, coalesce(person2_raw, person1_raw) AS b, (coalesce(person1_raw, person2_raw) * 2 + coalesce(person2_raw, person1_raw)) / 3 AS score FROM {C} WHERE final_stress IS NOT NULL)"
@@ -260,11 +261,9 @@ _HASH = "CASE WHEN t <> '' THEN sha256(t) ELSE '' END"
 _ROBUST = lambda x, t: f"CASE WHEN (SELECT 1.4826 * median(abs({x} - (SELECT median({x}) FROM {t}))) FROM {t}) > 1e-12 THEN ({x} - (SELECT median({x}) FROM {t})) / (SELECT 1.4826 * median(abs({x} - (SELECT median({x}) FROM {t}))) FROM {t}) ELSE 0.0 END"
 
 ORACLE = {
-    "content_hash": f"SELECT row_ordinal, {_HASH} AS hash FROM (SELECT row_ordinal, trim(regexp_replace(regexp_replace(coalesce(content, ''), '[^ -~]', '', 'g'), ' +', ' ', 'g')) AS t FROM {P})",
+    "content_hash_stable": f"SELECT row_ordinal, regexp_full_match(coalesce(content, ''), '{STABLE}*') AS stable, CASE WHEN regexp_full_match(coalesce(content, ''), '{STABLE}*') THEN {_HASH} END AS hash FROM (SELECT row_ordinal, content, trim(regexp_replace(translate(nfc_normalize(coalesce(content, '')), 'يىك\u200c', 'ییک '), '[ \n\t]+', ' ', 'g')) AS t FROM {P})",
     "dup_content_groups": "SELECT content_hash, count(*) AS n FROM duplicate_content_audit WHERE content_hash <> '' GROUP BY 1 HAVING count(*) > 1",
-    "canonical_by_rank": f"""WITH h AS (SELECT DISTINCT * FROM {H} WHERE observed AND annotator IN ('person1', 'person2', 'person3')), r AS (SELECT *, row_number() OVER (PARTITION BY unique_post_id ORDER BY length(label_round), annotator) AS r FROM h)
-SELECT unique_post_id, max(stress) FILTER (r = 1) AS stress, max(annotator) FILTER (r = 1) AS annotator, count(*) AS versions, coalesce(string_agg(annotator, '|' ORDER BY r) FILTER (r > 1), '') AS discarded FROM r GROUP BY 1""",
-    "canonical_by_rank_all": f"""WITH h AS (SELECT DISTINCT * FROM {H} WHERE observed), r AS (SELECT *, row_number() OVER (PARTITION BY unique_post_id ORDER BY length(label_round), annotator) AS r FROM h)
+    "canonical_by_rank": f"""WITH h AS (SELECT DISTINCT * FROM {H} WHERE observed), r AS (SELECT *, row_number() OVER (PARTITION BY unique_post_id ORDER BY coalesce(nullif(list_position({list(ROUNDS)}, label_round), 0), 5), annotator) AS r FROM h)
 SELECT unique_post_id, max(stress) FILTER (r = 1) AS stress, max(annotator) FILTER (r = 1) AS annotator, count(*) AS versions, coalesce(string_agg(annotator, '|' ORDER BY r) FILTER (r > 1), '') AS discarded FROM r GROUP BY 1""",
     "ols_consensus": f"SELECT round(regr_slope(person1_raw, person2_raw), 6) AS slope, round(regr_intercept(person1_raw, person2_raw), 6) AS intercept, round(avg((person1_raw * 1.7::DOUBLE + person2_raw) / 2.7::DOUBLE), 6) AS consensus FROM {C}",
     "match_ladder": f"""WITH r AS (SELECT unique_post_id AS id, row_ordinal, t, {_HASH} AS h, sha256('author=' || coalesce(author, '') || chr(31) || 'content=' || coalesce(content, '') || chr(31) || 'thread_id=' || coalesce(thread_id, '')) AS f
@@ -310,7 +309,7 @@ s AS (SELECT (ay * bb - ty * ab) / (aa * bb - ab * ab) AS f, (ty * aa - ay * ab)
     "robust_zscore": f"SELECT c_custkey, round({_ROBUST('c_acctbal', 'customer')}, 6) AS z FROM customer",
     "acquisition_rank": f"""WITH p AS (SELECT *, abs(a - b) AS dd, abs(a - b) / 2 AS u FROM {_PRED}), z AS (SELECT *, {_ROBUST('dd', 'p')} AS zd, {_ROBUST('u', 'p')} AS zu FROM p)
 SELECT unique_post_id, round(v, 6) AS acquisition FROM (SELECT unique_post_id, 0.35::DOUBLE * zd + 0.35::DOUBLE * exp(-least(abs(score - {CUTS[0]}::DOUBLE), abs(score - {CUTS[1]}::DOUBLE), abs(score - {CUTS[2]}::DOUBLE)) / 0.40::DOUBLE) + 0.20::DOUBLE * zu + 0.10::DOUBLE / (1 + exp(-(score - {CUTS[2]}::DOUBLE) / 0.5::DOUBLE)) AS v FROM z) ORDER BY v DESC NULLS LAST, unique_post_id LIMIT 50""",
-    "kde_grid": f"WITH x AS (SELECT clinical_class, round(final_stress, 3) AS x FROM {C} WHERE final_stress IS NOT NULL), s AS (SELECT clinical_class, count(*) AS n, stddev_samp(x) * count(*) ** (-0.2) AS h FROM x GROUP BY 1) SELECT clinical_class, CAST(g AS INTEGER) AS g, round(sum(exp(-0.5 * ((1 + g * 9.0 / 49 - x) / h) ** 2)) / (first(n) * first(h) * 2.5066282746310002), 6) AS density FROM x JOIN s USING (clinical_class) CROSS JOIN (SELECT unnest(range(50)) AS g) GROUP BY 1, 2",
+    "kde_grid": f"WITH x AS (SELECT clinical_class, final_stress AS x FROM {C} WHERE final_stress IS NOT NULL), s AS (SELECT clinical_class, count(*) AS n, stddev_samp(x) * count(*) ** (-0.2) AS h FROM x GROUP BY 1) SELECT clinical_class, CAST(g AS INTEGER) AS g, round(sum(exp(-0.5 * ((1 + g * 9.0::DOUBLE / {KDE_POINTS - 1} - x) / h) ** 2)) / (first(n) * first(h) * 2.5066282746310002), 6) AS density FROM x JOIN s USING (clinical_class) CROSS JOIN (SELECT unnest(range({KDE_POINTS})) AS g) GROUP BY 1, 2",
 }
 ORACLE["leaderboard"] = f"SELECT *, CAST(row_number() OVER (ORDER BY mae, rmse, weight DESC) AS INTEGER) AS rank FROM ({ORACLE['blend_candidates']})"
 ORACLE["dataset_digest"] = f"""WITH RECURSIVE r AS (SELECT sha256(unique_post_id || chr(31) || coalesce(final_stress::VARCHAR, '') || chr(10)) AS h, unique_post_id AS i FROM {C}), z AS (SELECT h, row_number() OVER (ORDER BY i, h) - 1 AS k FROM r),
@@ -324,4 +323,4 @@ SELECT candidate, round(mae, 5) AS mae, round(rmse, 5) AS rmse, CAST(row_number(
 _SUMMARY = ORACLE["class_report"][: ORACLE["class_report"].index("SELECT c AS class, s AS support")]
 ORACLE["class_summary"] = _SUMMARY + "SELECT CAST(sum(s) AS BIGINT) AS n, round(sum(h) / sum(s), 6) AS accuracy, round(avg(coalesce(2 * pr * re / nullif(pr + re, 0), 0)), 6) AS macro_f1 FROM m"
 ORACLE["confusion_shares"] = f"SELECT truth, prediction, round(n / nullif(sum(n) OVER (PARTITION BY truth), 0), 6) AS share FROM ({ORACLE['confusion_matrix']})"
-QUERIES = {name: globals()[name] for name in [*ORACLE, "content_hash_whole", "match_outcomes", "fuzzy_match", "grouped_folds", "kde_grid_full", "threshold_search_exact"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE, "content_hash", "match_outcomes", "fuzzy_match", "grouped_folds", "threshold_search_exact"]}

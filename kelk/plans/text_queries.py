@@ -37,7 +37,7 @@ def proxy_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def education_case(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.element_at(F.array(*[F.lit(x) for x in ("فوق دیپلم", "کارشناسی ارشد", "دکتری", "دیپلم", "", "لیسانس", "چیز دیگر")]), (F.pmod("row_ordinal", F.lit(7)) + 1).cast("int"))
+    raw = F.concat_ws(" ", "education_clean", F.element_at(F.lit(["", "فوق  لیسانس", "دکتری", "فوق دیپلم", "سیکل", "دانشجو"]), (F.pmod("row_ordinal", F.lit(6)) + 1).cast("int")))
     return posts(spark, d).select("row_ordinal", features.education(raw).alias("education"))
 
 
@@ -173,7 +173,8 @@ ORACLE = {
     "emoji_polarity": f"SELECT row_ordinal, {_COUNT(_CHARS, _ANY(lexicons.POSITIVE_EMOJI))} AS pos, {_COUNT(_CHARS, _ANY(lexicons.NEGATIVE_EMOJI))} AS neg FROM {P}",
     "lexicon_counts": f"SELECT row_ordinal, {_COUNT(_CHARS, features.PERSIAN_WORD)} AS words, {_IN(_CHARS, features.NEGATIVE)} AS neg, {_IN(_CHARS, features.POSITIVE)} AS pos FROM {P}",
     "proxy_scores": f"SELECT row_ordinal, score FROM {_SCORE}",
-    "education_case": f"SELECT row_ordinal, ['فوق دیپلم', 'فوق لیسانس', 'دکترا', 'دیپلم', 'نامشخص', 'کارشناسی', 'سایر'][row_ordinal % 7 + 1] AS education FROM {P}",
+    "education_case": f"SELECT row_ordinal, CASE WHEN trim(e) = '' THEN 'نامشخص' " + " ".join(f"WHEN regexp_matches(e, '{pattern}') THEN '{label}'" for pattern, label in features.EDUCATION)
+    + f" ELSE 'سایر' END AS education FROM (SELECT row_ordinal, concat_ws(' ', education_clean, ['', 'فوق  لیسانس', 'دکتری', 'فوق دیپلم', 'سیکل', 'دانشجو'][row_ordinal % 6 + 1]) AS e FROM {P})",
     "age_parse": f"SELECT row_ordinal, CASE WHEN a BETWEEN 10 AND 110 THEN a ELSE -1 END AS age FROM (SELECT row_ordinal, TRY_CAST(nullif(regexp_extract(translate(content, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), '[0-9]{{1,3}}'), '') AS INTEGER) AS a FROM {P})",
     "bucketize_left": f"SELECT {_CLASS('<')} AS label, count(*) AS n FROM annotation_history GROUP BY 1",
     "bucketize_right": f"SELECT {_CLASS('<=')} AS label, count(*) AS n FROM annotation_history GROUP BY 1",
