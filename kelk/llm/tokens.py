@@ -7,7 +7,8 @@ import os
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F, types as T
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession, types as T
 from pyspark.sql.functions import arrow_udf
 
 #: Fixed value: how the vocabulary's makers split a text before any merge; no token crosses these pieces.
@@ -48,13 +49,16 @@ def counter(vocabulary: str = VOCABULARY) -> Callable[[str | None], int]:
 
 
 def token_count(col: Column, vocabulary: str = VOCABULARY) -> Column:
-    """Tokens of each text; 0 for null."""
+    """Tokens of each text; 0 for null. The vocabulary file is sent from the driver, unless it is there on the executors only."""
+    if os.path.exists(vocabulary):
+        SparkSession.active().sparkContext.addFile(vocabulary)
 
     @arrow_udf(T.LongType())
     def sizes(texts: pa.Array) -> pa.Array:
         count = _counters.get(vocabulary)
         if count is None:
-            count = _counters[vocabulary] = counter(vocabulary)
+            sent = SparkFiles.get(os.path.basename(vocabulary))
+            count = _counters[vocabulary] = counter(sent if os.path.exists(sent) else vocabulary)
         return pa.array([count(t) for t in texts.to_pylist()], pa.int64())
 
     return sizes(col)
