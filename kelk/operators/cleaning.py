@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kelk.functions.text import drop_decimal_zero, is_blank
+from kelk.operators.running import history
 
 #: White space of any kind, as a class for both Java's and RE2's expressions.
 SPACE = "[ \t\n\r\x0b\x0c\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -55,8 +56,8 @@ def stable_ids(df: DataFrame, id: str, thread: str, author: str, posted: str, st
     own = drop_decimal_zero(F.col(id))
     base = F.when(~no_id(F.col(id)), own).when(F.coalesce(F.col(starter), F.lit(False)), F.concat(F.lit("thread_"), text(thread), F.lit("_starter")))
     base = base.otherwise(F.concat(F.lit("thread_"), text(thread), F.lit("_"), text(author), F.lit("_"), text(posted)))
-    out = df.withColumn("_base", base)
-    out = out.withColumn("_n", F.row_number().over(Window.partitionBy("_base").orderBy(*order)))
+    # Rows without author and time fall together, so their numbers are found in two steps.
+    out = history(df.withColumn("_base", base), "_base", order[0], order[1:], [order[0]], 1).withColumnRenamed("so_far", "_n").drop("recent")
     digest = F.substring(F.sha1(F.concat_ws("|", "_base", F.col("_n").cast("string"), text(content))), 1, 10)
     return out.withColumn("stable_id", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("__"), digest))).drop("_base", "_n")
 

@@ -41,6 +41,24 @@ def running_sums(df: DataFrame, order: str, columns: Sequence[str], descending:
     return out.drop("_bucket", *[f"_o_{c}" for c in columns])
 
 
+def history(df: DataFrame, key: str, order: str, ties: Sequence[str], values: Sequence[str], n: int, buckets: int = BUCKETS) -> DataFrame:
+    """df with so_far, the number of each row among its key's in the order of a numeric column, then ties, and recent, the values of the last n rows up to it.
+
+    The rows of a key are split into buckets between quantiles of the order, so a key that has a third of all rows is spread; a bucket
+    takes the number of rows and the last ones of those before it. Null keys are one key; null orders come first.
+    """
+    bounds = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000).alias("_bounds"))
+    placed = df.join(F.broadcast(bounds)).withColumn("_bucket", F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter("_bounds", lambda b: b < F.col(order))))).drop("_bounds")  # one row
+    within = Window.partitionBy(key, "_bucket").orderBy(order, *ties)
+    marked = cut(placed.withColumns({"_n": F.row_number().over(within), "_recent": F.collect_list(F.struct(*values)).over(within.rowsBetween(1 - n, 0))}))
+    parts = marked.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_b")).agg(F.max("_n").alias("_held"), F.max_by("_recent", "_n").alias("_tail"))
+    by_key = Window.partitionBy("_key").orderBy("_b")  # as many rows a key as buckets
+    before = parts.select("_key", "_b", F.coalesce(F.sum("_held").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.flatten(F.collect_list("_tail").over(by_key.rowsBetween(-n, -1))).alias("_tails"))
+    both = marked.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")))
+    recent = F.expr(f"slice(concat(_tails, _recent), greatest(size(_tails) + size(_recent) - {n - 1}, 1), {n})")
+    return both.withColumns({"so_far": F.col("_n") + F.col("_before"), "recent": recent}).drop("_key", "_b", "_bucket", "_n", "_recent", "_before", "_tails")
+
+
 def quantiles(df: DataFrame, column: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """by, q0, q1, ..: the quantiles of the column, between two values the one in proportion, of each group of by; null and NaN count for nothing.
 

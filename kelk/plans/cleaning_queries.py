@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kelk.functions.text import drop_decimal_zero, is_blank
-from kelk.operators import cleaning
+from kelk.operators import cleaning, running
 from kelk.session import table
 
 SPACE = cleaning.SPACE
@@ -119,14 +119,15 @@ def topk_per_row(spark: SparkSession, d: str) -> DataFrame:
 
 
 def last_n_history(spark: SparkSession, d: str) -> DataFrame:
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("event_id", F.concat_ws(",", F.collect_list("event_type").over(by.rowsBetween(-4, 0))).alias("last_five"), F.row_number().over(by).alias("so_far"))
+    df = table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    out = running.history(df, "user_id", "at", ["event_id"], ["event_type"], 5)
+    return out.select("event_id", F.array_join(F.transform("recent", lambda x: x["event_type"]), ",").alias("last_five"), F.col("so_far").cast("int").alias("so_far"))
 
 
 def elapsed_lag(spark: SparkSession, d: str) -> DataFrame:
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = (F.unix_micros("at") - F.unix_micros(F.lag("at").over(by))) / F.lit(6e7)
-    return table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")).select("event_id", F.round(F.when(gap.isNotNull(), F.greatest(gap, F.lit(0.0))), 3).alias("minutes"))
+    df = table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    gap = (F.col("at") - F.col("recent")[0]["at"]) / F.lit(6e7)
+    return running.history(df, "user_id", "at", ["event_id"], ["at"], 2).select("event_id", F.round(F.when(F.size("recent") > 1, F.greatest(gap, F.lit(0.0))), 3).alias("minutes"))
 
 
 _BLANK = f"(content IS NULL OR NOT regexp_matches(content, '{NOT_SPACE}'))"

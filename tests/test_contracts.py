@@ -190,3 +190,14 @@ def test_alignment_and_weights(spark):
     df = spark.createDataFrame([("a", 1.0, True), ("a", 2.0, True), ("b", 1.0, True), ("b", 5.0, False)], "label string, w double, train boolean")
     weights = [r.training_weight for r in labels.sample_weights(df, "label", "w", F.col("train")).collect()]
     assert sum(x is None for x in weights) == 1 and math.isclose(statistics.fmean(x for x in weights if x is not None), 1.0)
+
+
+def test_history_of_a_hot_key(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "a", None]), rng.choice([None, *range(300)]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, t int, id int")
+    found = {r.id: (r.so_far, [x.id for x in r.recent]) for r in running.history(df, "k", "t", ["id"], ["id"], 4, buckets=16).collect()}
+    assert len(found) == 900
+    for key in ("hot", "a", None):
+        ordered = [i for k, t, i in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))]
+        assert all(found[i] == (n + 1, ordered[max(0, n - 3) : n + 1]) for n, i in enumerate(ordered))
