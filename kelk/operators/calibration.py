@@ -6,7 +6,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kelk.functions.features import half_open_class
-from kelk.operators.labels import weighted_consensus
+from kelk.operators.labels import FIRST_WEIGHT, weighted_consensus
 
 # The sources of a label in the order of preference, with the weight of each in training.
 SOURCES = (("original_dual", 1.0), ("original_p1_high_selected", 0.9), ("active_dual", 1.0), ("active_p2_calibrated", 0.65))
@@ -45,7 +45,7 @@ def reconstruct_labels(history: DataFrame) -> DataFrame:
     return best.withColumn("clinical_class", half_open_class(F.col("final_stress")))
 
 
-def calibrator_errors(pairs: DataFrame, fold: Column, folds: int = 5, weight: float = 1.7) -> DataFrame:
+def calibrator_errors(pairs: DataFrame, fold: Column, folds: int = 5, weight: float = FIRST_WEIGHT) -> DataFrame:
     """calibrator, mae, rmse, mae_to_first of six ways to bring the second rater's labels to the consensus, each fitted on the other folds.
 
     pairs: p1, p2, the labels of the two raters. identity; mean_shift by the difference of the means; linear, fitted to the consensus;

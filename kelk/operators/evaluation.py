@@ -231,6 +231,7 @@ def robust_z(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def acquisition_rank(df: DataFrame, id: str, first: str, second: str, score: str, spread: str, thresholds: Sequence[float], top: int) -> DataFrame:
     """id, acquisition of the top rows to annotate: disagreement, closeness to a threshold, uncertainty and the upper tail, weighted."""
+    # The weights of the four parts, and how fast closeness and the upper tail fall off.
     both = robust_z(robust_z(df.withColumn("_d", F.abs(F.col(first) - F.col(second))), "_d", "_zd"), spread, "_zu")
     near = F.exp(-F.least(*[F.abs(F.col(score) - t) for t in thresholds]) / 0.40)
     tail = 1 / (1 + F.exp(-(F.col(score) - thresholds[-1]) / 0.5))

@@ -53,7 +53,11 @@ def canonical_by_rank(df: DataFrame, id: str, rank: Column, source: str, value:
     return numbered.groupBy(id).agg(F.max(F.when(F.col("_r") == 1, F.col(value))).alias(value), F.max(F.when(F.col("_r") == 1, F.col(source))).alias(source), F.count("*").alias("versions"), every.alias("discarded"))
 
 
-def weighted_consensus(first: Column, second: Column, weight: float = 1.7) -> Column:
+# Fixed value: how much more the first rater's label counts than the second's.
+FIRST_WEIGHT = 1.7
+
+
+def weighted_consensus(first: Column, second: Column, weight: float = FIRST_WEIGHT) -> Column:
     """The mean of two labels, the first of which counts weight times; null if either is missing."""
     return (first * F.lit(weight) + second) / F.lit(weight + 1)
 

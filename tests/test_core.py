@@ -76,6 +76,7 @@ def test_text_helpers(spark):
     assert tuple(row) == ("123 ab", "412", 2, 0)
 
 
+# Scores at and next to the thresholds, and their classes.
 def test_classes_meet_their_thresholds(spark):
     df = spark.createDataFrame([(x,) for x in (1.0, 3.099, 3.1, 4.899, 4.9, 6.499, 6.5, 9.0, None)], "s double")
     got = [r[0] for r in df.select(features.half_open_class(F.col("s"), (3.1, 4.9, 6.5))).collect()]
@@ -366,6 +367,7 @@ def test_stream_with_events_out_of_order(spark, tmp_path):
         assert all(math.isclose(found[e][n], v, rel_tol=1e-9) for n, v in zip(alerts.SCORES, scores)) and [found[e][f] for f in alerts.FLAGS] == flags
 
 
+# Pages and what is read from them.
 def test_pages():
     page = '<article class="topic-post" id="post-456"><a class="nickname">سارا</a><span class="date">1400/01/01 10:00</span><div class="post-count">۱۲ پست</div><blockquote id="post-9"><a class="nickname">x</a></blockquote><div class="post-message">متن  <b>پست</b><div class="signature">امضا</div></div><a class="like-count" data-like-count="7"></a></article><article id="post-457"><div class="post-message">b<br>c</div></article>'
     first, second = html.topic_posts(page, 1)
