@@ -85,15 +85,17 @@ def _sum_rows(rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _words(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature and item of each word of the batch, and the weight of an item's words."""
+def _words(batch: pd.DataFrame) -> np.ndarray:
+    """Items x (FEATURES + 1): an item's words, which weigh less the more there are, and one for the bias."""
     word, item = _flat(batch["words"])
-    return word.astype(np.int64), item, 1 / np.sqrt(np.maximum(np.bincount(item, minlength=len(batch)), 1))
+    out = np.zeros((len(batch), FEATURES + 1))
+    out[item, word.astype(np.int64)] = (1 / np.sqrt(np.maximum(np.bincount(item, minlength=len(batch)), 1)))[item]
+    out[:, -1] = 1.0
+    return out
 
 
-def _log_prior(words: tuple, weights: np.ndarray, n: int) -> np.ndarray:
-    word, item, norm = words
-    logits = _sum_rows(weights[word], item, n) * norm[:, None] + weights[-1]
+def _log_prior(words: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    logits = words @ weights
     logits -= logits.max(1, keepdims=True)
     return logits - np.log(np.exp(logits).sum(1, keepdims=True))
 
@@ -115,13 +117,10 @@ def _class_rows(who: np.ndarray, label: np.ndarray, rows: np.ndarray) -> pd.Data
     return pd.DataFrame({"who": who, "label": label, **{c: rows[:, i] for i, c in enumerate(_C)}})
 
 
-def _gradient_rows(words: tuple, post: np.ndarray, log_prior: np.ndarray, evidence: np.ndarray) -> pd.DataFrame:
+def _gradient_rows(words: np.ndarray, post: np.ndarray, log_prior: np.ndarray, evidence: np.ndarray) -> pd.DataFrame:
     """The classifier's gradient as rows of negative numbers, -1 - feature, and in the last one the items and their evidence."""
-    word, item, norm = words
-    error = post - np.exp(log_prior)
     gradient = np.zeros((FEATURES + 2, CLASSES))
-    np.add.at(gradient, word, (error * norm[:, None])[item])
-    gradient[FEATURES] = error.sum(0)
+    gradient[:-1] = words.T @ (post - np.exp(log_prior))
     gradient[FEATURES + 1, :2] = len(post), evidence.sum()
     return _class_rows(-1 - np.arange(FEATURES + 2), np.zeros(FEATURES + 2, np.int64), gradient)
 
@@ -186,12 +185,12 @@ def _sent_pass(items: DataFrame, model: Model, begun: np.ndarray) -> tuple[Model
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = broadcast.value
         for batch in batches:
-            n, words = len(batch), _words(batch)
+            words = _words(batch)
             who, item = _flat(batch["who"])
             label = _flat(batch["label"])[0].astype(np.int64)
             who = who.astype(np.int64)
-            prior = _log_prior(words, known.weights, n)
-            likelihood = _sum_rows(known.confusion[who, :, label], item, n)
+            prior = _log_prior(words, known.weights)
+            likelihood = _sum_rows(known.confusion[who, :, label], item, len(batch))
             post, evidence = _posterior(prior, likelihood)
             order = np.argsort(who * CLASSES + label, kind="stable")
             codes = (who * CLASSES + label)[order]
@@ -222,7 +221,7 @@ def _table_pass(items: DataFrame, model: Model, offsets: DataFrame) -> tuple[Mod
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words = _words(batch)
-            prior = _log_prior(words, weights.value, len(batch))
+            prior = _log_prior(words, weights.value)
             post, evidence = _posterior(prior, batch[_C].to_numpy())
             yield _class_rows(np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), post).assign(item=batch["item"].to_numpy())
             yield _gradient_rows(words, post, prior, evidence).assign(item=None)
@@ -311,7 +310,7 @@ def consensus(history: DataFrame, canonical: DataFrame, iterations: int = ITERAT
             else:
                 who, item = _flat(batch["who"])
                 likelihood = _sum_rows(confusion[who.astype(np.int64), :, _flat(batch["label"])[0].astype(np.int64)], item, len(batch))
-            yield shown(batch["item"], _log_prior(_words(batch), weights, len(batch)), likelihood)
+            yield shown(batch["item"], _log_prior(_words(batch), weights), likelihood)
 
     decided = cut((items if model.table is None else _with_likelihood(items, model.table)).mapInPandas(decide, _ITEM))
     against = labels.join(decided, "item")
