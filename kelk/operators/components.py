@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from kelk.functions.text import is_blank
 from kelk.session import cut
@@ -25,8 +25,12 @@ def shared_value_edges(df: DataFrame, record: str, keys: Sequence[str]) -> DataF
     return held.join(centre, ["i", "h1", "h2"]).where("u <> v").select("u", "v").distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, materialised, and a fingerprint of them that is made in the same job."""
+    seen = Observation()
+    stored = cut(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+    told = seen.get
+    return stored, (told["n"], told["sum"])
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -42,11 +46,10 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component: the smallest node of its component, for every node that has an edge."""
-    edges = cut(edges)
-    before = _fingerprint(edges)
+    edges, before = _stored(edges)
     for _ in range(max_rounds):
-        edges = cut(_star(_star(edges, True), False))
-        after = _fingerprint(edges)
+        edges, after = _stored(_star(_star(edges, True), False))
+        # A task that ran twice may count twice; that can cost a round more, but ends none too early.
         if after == before:
             break
         before = after
