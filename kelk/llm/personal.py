@@ -47,8 +47,8 @@ _DIGITS = str.maketrans(PERSIAN_DIGITS + ARABIC_DIGITS, "0123456789" * 2)
 _AT = r"(?:\s*@\s*|\s*[\[({]\s*(?:at|ات|ات\s?ساین)\s*[\])}]\s*|\s+(?:at|ات\s?ساین|ادساین|اتساین)\s+)"
 _DOT = r"(?:\.|\s*[\[({]\s*(?:dot|نقطه|دات)\s*[\])}]\s*|\s+(?:dot|نقطه|دات)\s+)"
 _EMAIL = re.compile(rf"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}", re.I)
-#: Digits with at most one separator between any two, not part of a longer run.
-_NUMBER = re.compile(r"(?<![\w@./-])(?<!\d[ ])[+(]{0,2}\d(?:[ .()/-]{0,2}\d){7,17}(?![\d\w]|[-./]\d)")
+#: Digits with few separators between any two, which end no sentence, not part of a longer run.
+_NUMBER = re.compile(r"(?<![\w@./-])(?<!\d[ ])[+(]{0,2}\d(?:(?:[ ()/-]{0,2}|\.)\d){7,17}(?![\d\w]|[-./]\d)")
 #: Numerals in words with their values.
 _NUMERALS = {
     skeleton(word): value
@@ -227,7 +227,7 @@ ROUNDS = 4
 #: Confidence from which a given name is trusted, and a pattern, in the first round and later; trusted names a pattern needs.
 TRUST, FIRST_PATTERN, PATTERN, SUPPORT = 0.9, 0.25, 0.6, 2
 #: Confidence of a pattern and share of its windows that have a trusted name, and trusted names in it, from which any two words in it are a name.
-ALONE, ALONE_SUPPORT = 0.75, 5
+ALONE, ALONE_SUPPORT = 0.95, 5
 #: The same for the patterns of other types, and the confidence from which a candidate has their type.
 CONTEXT, CONTEXT_SUPPORT, CANDIDATE = 0.6, 3, 0.75
 CONTEXT_ROUNDS = 3
