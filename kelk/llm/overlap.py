@@ -1,43 +1,40 @@
 """Records of evaluation splits whose text is in the training split too, exactly or almost.
 
 Texts are reduced to words, and equal word sequences to one text; equal texts of both sides are joined by their keys. For the
-near-equal ones, Aho-Corasick automata over the passages of sharded evaluation texts scan the training texts. A text of which SHARE
-of the words of the longer one are common in order has that many words in common in any order, so it must hold one of the other's
-leading words: the rarest 1 - SHARE of its words and one more. These are the automaton's passages. The words covered in the
-evaluation records that are hit are then counted, and those that reach SHARE of the longer text get the exact check, the longest
-common subsequence; the merged intervals of longer passages tell the coverage. No bar is guessed and nothing is dropped,
-however many texts hold a word and however often a text repeats it.
-
-Few evaluation texts fit one bucket, whose shards all training texts meet. Of more, both sides are routed by their leading
-words: an evaluation text lies in the buckets of its own, a training text goes to the buckets of those that some evaluation text leads with too.
+near-equal ones, every block of training texts meets every shard of evaluation texts. A text of which SHARE of the words of the longer
+one are common in order has that many words in common in any order, so of their rarest words, 1 - SHARE of each and FEW more, they share FEW.
+These leading words are counted for all texts of a shard at once; of texts that reach FEW all words are counted, and those that
+reach SHARE of the longer text get the exact check, the longest common subsequence; the merged intervals of longer passages tell
+the coverage. No bar is guessed and nothing is dropped, however many texts hold a word and however often a text repeats it.
+
+Shards and slices are stored once, as compressed rows. Tasks read the rows they pair from there, so nothing is copied for the pairing:
+disk stays in proportion to the texts, while the work grows with the product of both sides.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from kelk.llm.confusables import key_of, skeleton
-from kelk.session import cut
+from kelk.session import cut, spill
 
 _WORD = re.compile(r"[^\W_]+")
 #: Share of the longer text's words that must occur in the other in the same order, as a fraction.
 SHARE = (7, 10)
 #: Words of a passage by the length of its text: (longest text, words). These passages measure the coverage, they decide nothing.
 PASSAGE = ((10, 1), (20, 2), (10**9, 3))
-#: Words of the evaluation texts of one bucket, of one shard, and of the training texts that one task scans.
-BUCKET_WORDS, SHARD_WORDS, SLICE_WORDS = 16_000_000, 1_000_000, 500_000
-#: Counters of the order of words; two words that share one are merely ordered less well.
-COUNTERS = 1 << 20
+#: Leading words that two texts must share, a power of two; with more, more words are counted but fewer texts are left.
+FEW = 16
+#: Words of the evaluation texts that one task meets, of one shard, and of one slice of training texts; and the slices of one task.
+BUCKET_WORDS, SHARD_WORDS, SLICE_WORDS, SLICES = 16_000_000, 4_000_000, 500_000, 8
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -78,9 +75,9 @@ def _numbered(words: Iterable[str]) -> list[str]:
     return out
 
 
-def _leading(words: int) -> int:
-    """How many of a text's rarest words another text with SHARE of its words must share one of."""
-    return words - -(-SHARE[0] * words // SHARE[1]) + 1
+def _least(words: np.ndarray) -> np.ndarray:
+    """How many words a text must have in common with another of at most its length."""
+    return -(-SHARE[0] * words // SHARE[1])
 
 
 class _Record:
@@ -107,193 +104,280 @@ class _Record:
         return total
 
 
-class _Shard:
-    """Evaluation texts, their words by number, and the automaton of their leading words."""
+class _Texts:
+    """Texts and the codes of their words, one text after the other. Words of one code count as equal here; the exact check tells them apart."""
+
+    _codes: dict[str, int] = {}
 
-    def __init__(self, texts: list[str]) -> None:
+    def __init__(self, texts: list[str], codes: np.ndarray | None = None) -> None:
         self.texts = texts
-        self.numbers: dict[str, int] = {}
-        flat: list[int] = []
-        sizes: list[int] = []
+        self.codes = self._coded(texts) if codes is None else codes
+        self.sizes = np.array([t.count(" ") + 1 for t in texts], np.int64)
+        self.rows = np.repeat(np.arange(len(texts)), self.sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    @classmethod
+    def _coded(cls, texts: list[str]) -> np.ndarray:
+        codes, out = cls._codes, []
+        if len(codes) > 500_000:
+            codes.clear()
         for text in texts:
-            words = _numbered(text.split(" "))
-            flat += [self.numbers.setdefault(w, len(self.numbers)) for w in words]
-            sizes.append(len(words))
-        self.sizes = np.array(sizes, np.int64)
-        words = np.array(flat, np.int64)
-        rows = np.repeat(np.arange(len(texts)), self.sizes)
-        held = np.bincount(words, minlength=len(self.numbers))
-        order = np.lexsort((words, held[words], rows))
-        self.words, self.starts = words[order], np.cumsum(self.sizes) - self.sizes
-        place = np.arange(len(words)) - np.repeat(self.starts, self.sizes)
-        leads = place < np.repeat([_leading(n) for n in sizes], self.sizes)
-        self.leading = self._places(self.words[leads], rows[leads])
-        # Words of many of the texts have a row of flags, all others the list of their texts.
-        self.held_by = self._places(words, rows)
-        often = np.flatnonzero(held * 32 > len(texts))
-        kind = np.uint16 if self.sizes.max(initial=0) < 65_000 else np.int32
-        self.flags = {int(w): np.bincount(self.held_by[w], minlength=len(texts)).astype(kind) for w in often}
-        self.kind = kind
-        self.automaton = ahocorasick.Automaton()
-        names = list(self.numbers)
-        for w in self.leading:
-            word = names[w].rsplit(" ", 1)[-1]
-            self.automaton.add_word(f" {word} ", word)
-        if len(self.automaton):
-            self.automaton.make_automaton()
-        self.present = np.zeros(len(self.numbers), np.int64)
-        self.records: dict[int, _Record] = {}
+            for word in _numbered(text.split(" ")):
+                code = codes.get(word)
+                if code is None:
+                    code = codes[word] = zlib.crc32(word.encode())
+                out.append(code)
+        return np.array(out, np.uint32)
+
+    def stored(self) -> tuple[bytes, bytes]:
+        return zlib.compress("\n".join(self.texts).encode()), zlib.compress(self.codes.tobytes(), 1)
+
+    @classmethod
+    def of(cls, texts: bytes, codes: bytes) -> _Texts:
+        return cls(zlib.decompress(texts).decode().split("\n"), np.frombuffer(zlib.decompress(codes), np.uint32))
+
+    def ordered(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ranks, rising within each text, and whether each is one of its text's leading words."""
+        ranks = ranks[np.lexsort((ranks, self.rows))]
+        place = np.arange(len(ranks)) - np.repeat(self.starts, self.sizes)
+        return ranks, place < np.repeat(self.sizes - _least(self.sizes) + FEW, self.sizes)
+
+
+#: Bytes of the rows of bits of one shard.
+BITS_BYTES = 1 << 26
+#: Numbers of 64 bits that are summed up at once.
+_BATCH = 1 << 17
+_FEW_BITS = FEW.bit_length() - 1
+
+
+def _as_bits(rows: np.ndarray, size: int) -> np.ndarray:
+    """So many bytes with the bits of the rows set."""
+    flags = np.zeros(size * 8, bool)
+    flags[rows] = True
+    return np.packbits(flags, bitorder="little")
+
+
+def _added(rows: np.ndarray) -> list[np.ndarray]:
+    """The bits of the number of rows that have each bit, the lowest first: three rows make one of their sums and one of their carries. Rows are overwritten."""
+    planes = []
+    spare = np.empty_like(rows[: max(1, len(rows) // 3)])
+    while len(rows):
+        carries = []
+        while len(rows) > 1:
+            k = max(1, len(rows) // 3)
+            a, b, c, either = rows[:k], rows[k : 2 * k], rows[2 * k : 3 * k], spare[:k]
+            np.bitwise_xor(a, b, out=either)
+            a &= b
+            if len(c):
+                np.bitwise_and(either, c, out=b)
+                a |= b
+                c ^= either
+                rows = rows[2 * k :]
+            else:
+                b[:] = either
+                rows = rows[k:]
+            carries.append(a)
+        planes.append(rows[0])
+        rows = np.concatenate(carries) if carries else rows[:0]
+    return planes
+
 
-    @staticmethod
-    def _places(words: np.ndarray, rows: np.ndarray) -> dict[int, np.ndarray]:
+class _Shard:
+    """Evaluation texts, their words by rank from the rarest on, and which texts each word leads."""
+
+    def __init__(self, texts: list[str] | _Texts) -> None:
+        held = texts if isinstance(texts, _Texts) else _Texts(texts)
+        self.texts = texts = held.texts
+        self.sizes, self.starts = held.sizes, held.starts
+        self.least = _least(self.sizes)
+        self.codes, which, n = np.unique(held.codes, return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(n), np.int64)
+        self.rank[np.argsort(n, kind="stable")] = np.arange(len(n))
+        ordered, leads = held.ordered(self.rank[which])
+        self.words = ordered.astype(np.int32)
+        words, rows = ordered[leads], held.rows[leads]
         order = np.argsort(words, kind="stable")
-        words, rows = words[order], rows[order]
-        cuts = np.flatnonzero(np.diff(words)) + 1
-        return dict(zip(words[np.r_[0, cuts]].tolist(), np.split(rows, cuts))) if len(words) else {}
-
-    def _hit(self, text: str) -> list[np.ndarray]:
-        """The texts that lead with a word the automaton finds, as lists that may overlap."""
-        times = Counter(word for _, word in self.automaton.iter(f" {text} ")) if len(self.automaton) else {}
-        out = []
-        for word, n in times.items():
-            for i in range(n):
-                number = self.numbers.get(f"{i} {word}" if i else word)
-                if number is None:
-                    break
-                if number in self.leading:
-                    out.append(self.leading[number])
+        self.led = rows[order]
+        self.ends = np.searchsorted(words[order], np.arange(len(n) + 1))
+        # Words that lead many of the texts have a row of bits, a bit a text, all others the list of their texts.
+        leading = np.diff(self.ends)
+        often = np.argsort(-leading, kind="stable")[: BITS_BYTES // (-(-len(texts) // 64) * 8) if len(texts) else 0]
+        often = np.sort(often[leading[often] > 0])
+        self.place = np.full(len(n), -1)
+        self.place[often] = np.arange(len(often))
+        self.bits = np.zeros((len(often) + 1, -(-len(texts) // 64) * 8), np.uint8)  # the last row is of no word
+        for place, word in enumerate(often.tolist()):
+            self.bits[place] = _as_bits(self.led[self.ends[word] : self.ends[word + 1]], self.bits.shape[1])
+        self.bits = self.bits.view(np.uint64)
+        self.present = np.zeros(len(n), bool)
+        self.records: dict[int, _Record] = {}
+
+    def _sharing(self, lead: np.ndarray, planes: list[np.ndarray], least: int) -> np.ndarray:
+        """The texts that share as many leading words with these as they must with a text that needs so many common words; planes count those of bits."""
+        listed = [self.led[self.ends[word] : self.ends[word + 1]] for word in lead[self.place[lead] < 0].tolist()]
+        if least < FEW:
+            shared = np.zeros(len(self.texts), np.int64)
+            for k, plane in enumerate(planes):
+                shared += np.unpackbits(plane.view(np.uint8), count=len(shared), bitorder="little").astype(np.int64) << k
+            for rows in listed:
+                shared[rows] += 1
+            return np.flatnonzero(shared >= np.minimum(np.maximum(self.least, least), FEW))
+        # FEW is a power of two: what has reached it has one of the higher bits of its count.
+        out = np.zeros(0, np.int64)
+        if len(planes) > _FEW_BITS and (high := np.bitwise_or.reduce(planes[_FEW_BITS:], axis=0)).any():
+            words = np.flatnonzero(high)
+            at = np.flatnonzero(np.unpackbits(high[words].view(np.uint8), bitorder="little"))
+            out = words[at >> 6] * 64 + (at & 63)
+        if listed:
+            rows = np.concatenate(listed)
+            bit = (rows & 63).astype(np.uint64)
+            if len(listed) <= FEW // 2:
+                # Half of FEW must come from the bits then.
+                if len(planes) < _FEW_BITS:
+                    return out
+                half = np.bitwise_or.reduce(planes[_FEW_BITS - 1 :], axis=0)[rows >> 6] >> bit & np.uint64(1)
+                rows = rows[half.astype(bool)]
+            if len(rows):
+                rows, shared = np.unique(rows, return_counts=True)
+                for k, plane in enumerate(planes):
+                    shared = shared + ((plane[rows >> 6] >> (rows & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64) << k)
+                out = np.union1d(out, rows[shared >= FEW])
         return out
 
-    def near(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """(text, covered words, common words) of the other texts that are nearly equal to this one."""
-        hit = self._hit(text)
-        if not hit:
+    def near_all(self, training: _Texts) -> Iterator[tuple[int, int, int, int]]:
+        """(text, row of training, covered words, common words) of the texts that are nearly equal to one of training, but not equal."""
+        if not len(self.codes) or not len(training.texts):
             return
-        words = text.split(" ")
-        known = [n for w in _numbered(words) if (n := self.numbers.get(w)) is not None]
-        # Counting word by word over all texts takes a fixed time, counting over the texts hit one by their number.
-        if 4 * sum(map(len, hit)) > len(self.texts):
-            shared = np.zeros(len(self.texts), self.kind)
-            for n in known:
-                flags = self.flags.get(n)
-                if flags is not None:
-                    shared += flags
-                else:
-                    shared[self.held_by[n]] += 1
-            near = np.flatnonzero(shared)
-            shared = shared[near].astype(np.int64)
-        else:
-            near = np.unique(np.concatenate(hit))
-            near = near[np.minimum(self.sizes[near], len(words)) * SHARE[1] >= np.maximum(self.sizes[near], len(words)) * SHARE[0]]
-            if not len(near):
-                return
-            self.present[known] = 1
-            sizes = self.sizes[near]
-            offsets = np.cumsum(sizes) - sizes
-            at = np.repeat(self.starts[near] - offsets, sizes) + np.arange(sizes.sum())
-            shared = np.add.reduceat(self.present[self.words[at]], offsets)
-            self.present[known] = 0
-        longer = np.maximum(self.sizes[near], len(words))
+        at = np.minimum(np.searchsorted(self.codes, training.codes), len(self.codes) - 1)
+        # Words that no text here holds are the rarest.
+        ranks, leads = training.ordered(np.where(self.codes[at] == training.codes, self.rank[at], -1))
+        leads &= ranks >= 0
+        led, counts = ranks[leads], np.bincount(training.rows[leads], minlength=len(training.texts))
+        ends = np.cumsum(counts)
+        # Texts of about as many leading words are counted together, as many as fit the cache.
+        order = np.argsort(counts, kind="stable")
+        order = order[counts[order] > 0]
+        first = 0
+        while first < len(order):
+            together = order[first : first + max(1, _BATCH // (self.bits.shape[1] * max(1, int(counts[order[first]]))))]
+            first += len(together)
+            most = int(counts[together].max())
+            held = np.arange(most) < counts[together, None]
+            place = np.full(held.shape, -1)
+            place[held] = self.place[led[((ends - counts)[together, None] + np.arange(most))[held]]]
+            planes = _added(self.bits[place.T])
+            live = (_least(training.sizes[together]) < FEW) | ((place < 0) & held).any(axis=1)
+            for plane in planes[_FEW_BITS:]:
+                live |= plane.any(axis=1)
+            for i in np.flatnonzero(live).tolist():
+                row = int(together[i])
+                start, size = int(training.starts[row]), int(training.sizes[row])
+                lead = led[ends[row] - counts[row] : ends[row]]
+                near = self._sharing(lead, [p[i] for p in planes], int(_least(size)))
+                if len(near):
+                    yield from self._exact(near, training.texts[row], ranks[start : start + size], row)
+
+    def _exact(self, near: np.ndarray, text: str, words: np.ndarray, row: int) -> Iterator[tuple[int, int, int, int]]:
+        """What near_all gives, of one text with these ranks of words and the texts that may be nearly equal to it."""
+        size = len(words)
+        longer = np.maximum(self.sizes[near], size)
+        alike = np.minimum(self.sizes[near], size) * SHARE[1] >= longer * SHARE[0]
+        near, longer = near[alike], longer[alike]
+        if not len(near):
+            return
+        known = words[words >= 0]
+        self.present[known] = True
+        sizes = self.sizes[near]
+        offsets = np.cumsum(sizes) - sizes
+        places = np.repeat(self.starts[near] - offsets, sizes) + np.arange(sizes.sum())
+        shared = np.add.reduceat(self.present[self.words[places]], offsets, dtype=np.int64)
+        self.present[known] = False
         enough = shared * SHARE[1] >= longer * SHARE[0]
         for k, most in zip(near[enough].tolist(), longer[enough].tolist()):
             if self.texts[k] == text:
                 continue
             other = self.texts[k].split(" ")
-            common = lcs_length(other, words)
+            common = lcs_length(other, text.split(" "))
             if common * SHARE[1] >= SHARE[0] * most:
                 if len(self.records) > 10_000:
                     self.records.clear()
                 if k not in self.records:
                     self.records[k] = _Record(other)
-                yield k, self.records[k].covered(text), common
-
-
-def _scan_block(evaluation: pd.DataFrame, training: pd.DataFrame) -> pd.DataFrame:
-    out: list[tuple] = []
-    if len(evaluation) and len(training):
-        shard = _Shard(evaluation["plain"].tolist())
-        out = [(k, row, covered, common) for row, text in enumerate(training["t_plain"]) for k, covered, common in shard.near(text)]
-    e, t = evaluation.iloc[[x[0] for x in out]], training.iloc[[x[1] for x in out]]
-    return pd.DataFrame(
-        {
-            "e1": e["k1"].to_numpy(), "e2": e["k2"].to_numpy(), "t1": t["t_k1"].to_numpy(), "t2": t["t_k2"].to_numpy(),
-            "covered": np.array([x[2] for x in out], np.int64), "common": np.array([x[3] for x in out], np.int64),
-            "eval_words": e["n"].to_numpy(), "train_words": t["t_n"].to_numpy(),
-        }
-    )
-
+                yield k, row, self.records[k].covered(text), common
 
-_PAIR = "e1 long, e2 long, t1 long, t2 long, covered long, common long, eval_words long, train_words long"
+    def near(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(text, covered words, common words) of the other texts that are nearly equal to this one."""
+        for k, _, covered, common in self.near_all(_Texts([text])):
+            yield k, covered, common
 
 
-def _word_order(evaluation: DataFrame) -> np.ndarray:
-    """How many evaluation texts hold the words of each counter."""
+def _packed(texts: DataFrame, partitions: int, words: int) -> DataFrame:
+    """k1, k2 (raw), texts and codes (compressed) of so many words or one text, a row each."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for text in batch.column("plain").to_pylist():
-                np.add.at(total, [zlib.crc32(w.encode()) % COUNTERS for w in _numbered(text.split(" "))], 1)
-        which = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"counter": pa.array(which), "n": pa.array(total[which])})
-
-    found = evaluation.select("plain").mapInArrow(partial, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
-    out = np.zeros(COUNTERS, np.int64)
-    out[found["counter"]] = found["n"]
-    return out
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, lines, size = ([], []), [], 0
 
+        def out() -> pa.RecordBatch:
+            k1, k2 = (np.array(k, np.int64).tobytes() for k in keys)
+            return pa.RecordBatch.from_pydict({"k1": pa.array([k1], pa.binary()), "k2": pa.array([k2], pa.binary()), **{c: pa.array([x], pa.binary()) for c, x in zip(("texts", "codes"), _Texts(lines).stored())}})
 
-def _leading_codes(plain: Column, order: np.ndarray, df: DataFrame) -> Column:
-    """The codes of each text's leading words, in the one order of words that both sides use."""
-    broadcast = df.sparkSession.sparkContext.broadcast(order)
+        for batch in batches:
+            for k1, k2, plain, n in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "plain", "n"))):
+                if lines and size + n > words:
+                    yield out()
+                    keys, lines, size = ([], []), [], 0
+                keys[0].append(k1)
+                keys[1].append(k2)
+                lines.append(plain)
+                size += n
+        if lines:
+            yield out()
+
+    return cut(texts.select("k1", "k2", "plain", "n").coalesce(partitions).mapInArrow(pack, "k1 binary, k2 binary, texts binary, codes binary"))
+
+
+#: The shard that this worker met last, by its stored form: several tasks of a worker meet the same.
+_shards: dict[bytes, _Shard] = {}
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of the shard and the slice of each row."""
+    slices: dict[bytes, _Texts] = {}
+    for batch in batches:
+        for row in range(batch.num_rows):
+            e1, e2, stored, codes, t1, t2, training, t_codes = (batch.column(c)[row].as_py() for c in ("k1", "k2", "texts", "codes", "t_k1", "t_k2", "t_texts", "t_codes"))
+            if stored not in _shards:
+                _shards.clear()
+                _shards[stored] = _Shard(_Texts.of(stored, codes))
+            if training not in slices:
+                if len(slices) >= 2 * SLICES:
+                    slices.clear()
+                slices[training] = _Texts.of(training, t_codes)
+            shard, texts = _shards[stored], slices[training]
+            out = np.array(list(shard.near_all(texts)), np.int64).reshape(-1, 4)
+            k, t = out[:, 0], out[:, 1]
+            columns = [np.frombuffer(e1, np.int64)[k], np.frombuffer(e2, np.int64)[k], np.frombuffer(t1, np.int64)[t], np.frombuffer(t2, np.int64)[t], out[:, 2], out[:, 3], shard.sizes[k], texts.sizes[t]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in _PAIR.split(", ")])
 
-    @arrow_udf(T.ArrayType(T.LongType()))
-    def codes(texts: pa.Array) -> pa.Array:
-        held = broadcast.value
-        out = []
-        for text in texts.to_pylist():
-            words = [(zlib.crc32(w.encode()), w) for w in _numbered(text.split(" "))]
-            words.sort(key=lambda x: (held[x[0] % COUNTERS], x))
-            out.append(sorted({code for code, _ in words[: _leading(len(words))]}))
-        return pa.array(out, pa.list_(pa.int64()))
 
-    return codes(plain)
+_PAIR = "e1 long, e2 long, t1 long, t2 long, covered long, common long, eval_words long, train_words long"
 
 
 def near_texts(evaluation: DataFrame, training: DataFrame, bucket_words: int = BUCKET_WORDS, shard_words: int = SHARD_WORDS, slice_words: int = SLICE_WORDS) -> DataFrame:
     """Pairs of different texts (k1, k2, plain, n each) of which SHARE of the longer one's words are common in order, each once.
 
-    Both sides of a task are of bounded size in words. A bucket with more is split into shards and slices, of which each two meet.
+    Every shard meets every slice; both are of bounded size in words, and a task has a bucket of shards and SLICES slices.
     """
-    total = evaluation.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    names = ("k1", "k2", "plain", "n")
-    # New names on the right: both sides may come from one table, whose columns Spark would take for the same.
-    left, right = evaluation.select(*names), training.select(*[F.col(c).alias(f"t_{c}") for c in names])
-    if total <= bucket_words:
-        left, right = left.withColumn("bucket", F.lit(0).cast("long")), right.withColumn("t_bucket", F.lit(0).cast("long"))
-    else:
-        # A text of n words lies in the buckets of some 0.3 n words.
-        buckets = -(-total * 25 // bucket_words)
-        order = _word_order(evaluation)
-        led = cut(left.select("k1", "k2", F.explode(_leading_codes(F.col("plain"), order, left)).alias("code")))
-        asked = right.select("t_k1", "t_k2", F.explode(_leading_codes(F.col("t_plain"), order, right)).alias("code")).join(led.select("code").distinct(), "code", "left_semi")
-        left = left.join(led.select("k1", "k2", F.pmod("code", F.lit(buckets)).alias("bucket")).distinct(), ["k1", "k2"])
-        right = right.join(asked.select("t_k1", "t_k2", F.pmod("code", F.lit(buckets)).alias("t_bucket")).distinct(), ["t_k1", "t_k2"])
-    parts = lambda n, size: F.greatest(F.ceil(n / F.lit(size)), F.lit(1)).cast("long")
-    if total <= bucket_words:
-        scanned = training.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        left = left.withColumns({"shards": parts(F.lit(total), shard_words), "slices": parts(F.lit(scanned), slice_words)})
-        right = right.withColumns({"t_shards": parts(F.lit(total), shard_words), "t_slices": parts(F.lit(scanned), slice_words)})
-    else:
-        sizes = left.groupBy("bucket").agg(parts(F.sum("n"), shard_words).alias("shards")).join(right.groupBy(F.col("t_bucket").alias("bucket")).agg(parts(F.sum("t_n"), slice_words).alias("slices")), "bucket")
-        sizes = cut(sizes)
-        left = left.join(sizes, "bucket")
-        right = right.join(sizes.select(F.col("bucket").alias("t_bucket"), F.col("shards").alias("t_shards"), F.col("slices").alias("t_slices")), "t_bucket")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = left.select(*names, "bucket", F.pmod("k1", F.col("shards")).alias("shard"), every("slices").alias("slice"))
-    right = right.select(*[f"t_{c}" for c in names], "t_bucket", every("t_shards").alias("t_shard"), F.pmod("t_k2", F.col("t_slices")).alias("t_slice"))
-    pairs = left.groupBy("bucket", "shard", "slice").cogroup(right.groupBy("t_bucket", "t_shard", "t_slice")).applyInPandas(_scan_block, _PAIR)
-    return pairs if total <= bucket_words else pairs.distinct()
+    words = lambda df: df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = lambda n, size: max(1, -(-n // size))
+    cores = evaluation.sparkSession.sparkContext.defaultParallelism
+    total, scanned = words(evaluation), words(training)
+    buckets = parts(total, bucket_words)
+    left = _packed(evaluation, buckets, shard_words)
+    right = _packed(training, max(parts(scanned, SLICES * slice_words), parts(2 * cores, buckets)), slice_words)
+    right = right.select(*[F.col(c).alias(f"t_{c}") for c in right.columns])
+    # The pairing of stored partitions, without a shuffle or a broadcast; the shard is the outer loop. Rows are large, so few go to Python at once.
+    return left.crossJoin(right.hint("shuffle_replicate_nl")).mapInArrow(_scanned, _PAIR)
 
 
 def overlapping_texts(manifest: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -303,14 +387,17 @@ def overlapping_texts(manifest: DataFrame, contents: DataFrame) -> tuple[DataFra
     t2, covered, common, eval_words, train_words, one row a pair of an evaluation and a training text, equal texts included.
     """
     roles = manifest.where("unique_post_id IS NOT NULL AND model_role IN ('train', 'validation', 'test')").select("unique_post_id", "model_role").distinct()
-    rows = contents.select("unique_post_id", plain_text_of(F.col("content")).alias("plain"), F.trim("content_hash").alias("content_hash"), "label_source").distinct()
-    records = roles.join(rows, "unique_post_id").withColumns({n: F.when(F.col("plain").isNotNull(), h) for n, h in zip(("k1", "k2"), key_of(F.col("plain")))})
-    records = cut(records.withColumn("trains", F.col("model_role") == "train"))
-    texts = records.where("plain IS NOT NULL").groupBy("k1", "k2").agg(F.first("plain").alias("plain"), F.max("trains").alias("in_train"), F.max(~F.col("trains")).alias("in_eval"))
-    texts = cut(texts.withColumn("n", F.size(F.split("plain", " ")).cast("long")))
+    coded = contents.where("unique_post_id IS NOT NULL").select("unique_post_id", plain_text_of(F.col("content")).alias("plain"), F.trim("content_hash").alias("content_hash"), "label_source")
+    coded = spill(coded.withColumns({n: F.when(F.col("plain").isNotNull(), h) for n, h in zip(("k1", "k2"), key_of(F.col("plain")))}), "zstd")
+    # One shuffle by the id serves both the repeats and the join; the texts take no part in it.
+    rows = coded.drop("plain").repartition("unique_post_id").distinct()
+    records = spill(roles.join(rows, "unique_post_id").withColumn("trains", F.col("model_role") == "train"), "zstd")
+    sides = records.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.max("trains").alias("in_train"), F.max(~F.col("trains")).alias("in_eval"))
+    plains = coded.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.first("plain").alias("plain"))
+    texts = spill(plains.join(sides, ["k1", "k2"]).withColumn("n", F.size(F.split("plain", " ")).cast("long")), "zstd")
     near = near_texts(texts.where("in_eval"), texts.where("in_train"))
     equal = texts.where("in_eval AND in_train").select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("k1").alias("t1"), F.col("k2").alias("t2"), *[F.col("n").alias(c) for c in ("covered", "common", "eval_words", "train_words")])
-    return records.drop("plain"), cut(near.unionByName(equal))
+    return records, cut(near.unionByName(equal))
 
 
 def cross_split_overlaps(manifest: DataFrame, contents: DataFrame) -> DataFrame:

@@ -71,8 +71,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def spill(df: DataFrame) -> DataFrame:
+def spill(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df written as a compressed table in the shared checkpoint folder and read back; removed when the session ends."""
     path = f"{shared_folder(df.sparkSession, 'table')}/rows"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.parquet(path)

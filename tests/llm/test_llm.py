@@ -147,6 +147,32 @@ def test_equal_repetitive_texts_overlap(spark):
     assert report == {"test": (3, 3, 3), "validation": (1, 1, 1)}
 
 
+def test_near_texts_are_paired_without_copies(spark):
+    rng = random.Random(52)
+    texts = [" ".join(rng.choices("abcdefghij", k=12)) for _ in range(60)]
+    frame = lambda rows: spark.createDataFrame([(i, i + 1, t, 12) for i, t in enumerate(sorted(set(rows)))], "k1 long, k2 long, plain string, n long")
+    # Twenty shards and more meet as many slices, in one bucket and in many; a shuffle would hold each text as often.
+    for bucket in (10**6, 60):
+        found = overlap.near_texts(frame(texts[:30]), frame(texts), bucket, 20, 20)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        left, right = sorted(set(texts[:30])), sorted(set(texts))
+        want = {(a, b) for a in left for b in right if a != b and 10 * slow_lcs(a.split(), b.split()) >= 7 * 12}
+        assert {(left[r.e1], right[r.t1]) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("bits", [0, 64, 1 << 26])
+def test_near_texts_by_bits_or_lists_of_leading_words(monkeypatch, bits):
+    monkeypatch.setattr(overlap, "BITS_BYTES", bits)
+    rng = random.Random(53)
+    base = [[f"w{int(300 * rng.random() ** 2)}" for _ in range(rng.choice([1, 4, 9, 20, 25, 40, 70, 400]))] for _ in range(40)]
+    texts = [" ".join(w if rng.random() > change else f"w{rng.randrange(300)}" for w in words) for words in base for change in (0, 0.1, 0.2, 0.27, 0.33)]
+    evaluation, training = texts[::2], texts[1::2] + ["no word of these", *texts[:20]]
+    got = {(k, row): common for k, row, _, common in overlap._Shard(evaluation).near_all(overlap._Texts(training))}
+    lcs = {(i, j): overlap.lcs_length(a.split(), b.split()) for i, a in enumerate(evaluation) for j, b in enumerate(training) if a != b}
+    assert got == {(i, j): c for (i, j), c in lcs.items() if 10 * c >= 7 * max(len(evaluation[i].split()), len(training[j].split()))} and len(got) > 100
+    assert not list(overlap._Shard([]).near_all(overlap._Texts(training))) and not list(overlap._Shard(evaluation).near_all(overlap._Texts([])))
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------------
 
 
