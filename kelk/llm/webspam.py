@@ -10,7 +10,8 @@ anew by that, and so on. A page whose words' mean information, its own counts ta
 
 The counts are document frequencies of all words and pairs of all pages, grouped by a 52-bit key. Only the pairs that have lost information
 are needed to judge a page: as long as these are BROADCAST_ROWS at most they are sent to every task, else joined to the pages.
-The commonest words, of which the order is judged, are COMMON at most, and so a table of all their pairs has a fixed size.
+The pairs of the COMMON commonest words have a table of fixed size; all other pairs that are expected often enough are looked up by their key,
+sent or joined in the same way.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ ROUNDS = 2
 SEGMENT, LOSS, LEAST_LOSS = 6, float(np.log(2)), float(np.log(1.25))
 #: Pairs that are sent to every task; more are joined to the pages.
 BROADCAST_ROWS = 2_000_000
-#: Word salad: mean information below this over at least so many pairs of the COMMON commonest words that are expected together so often.
+#: Word salad: mean information below this over at least so many pairs of words that are expected together so often. COMMON words have a table of all their pairs.
 COMMON, SALAD, SALAD_PAIRS, EXPECTED = 1024, -2.0, 20, 3.0
 
 _LINK = r"(?:(?:https?|hxxps?|ftp)://|www\.)[^\s\"'<>()\[\]،]+|(?<![\w@.])[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)*\.[a-zA-Z]{2,}/[^\s\"'<>()\[\]،]*"
@@ -100,12 +101,12 @@ class Losses:
         order = np.argsort(keys, kind="stable")
         self.keys, self.losses, self.by_page = keys[order], losses[order].astype(np.float32), by_page
 
-    def of(self, keys: np.ndarray, page: np.ndarray) -> np.ndarray:
+    def of(self, keys: np.ndarray, page: np.ndarray, missing: float = 0) -> np.ndarray:
         if not len(self.keys):
-            return np.zeros(len(keys), np.float32)
+            return np.full(len(keys), missing, np.float32)
         keys = (page << _BITS) | keys if self.by_page else keys
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.losses[at], np.float32(0))
+        return np.where(self.keys[at] == keys, self.losses[at], np.float32(missing))
 
 
 class Common:
@@ -216,8 +217,11 @@ class Pages:
             return (self.sizes > 0) & (self.share(self.formed | self.repeated()) >= SUSPECT)
         return (self.sizes > 0) & (self.judge(losses)[0] >= SPAM)
 
-    def information(self, common: Common) -> np.ndarray:
-        """Mean pointwise mutual information of the common words that are neighbours, the page's own count taken out; NaN where too few can tell."""
+    def information(self, common: Common, rest: Losses | None = None) -> np.ndarray:
+        """Mean pointwise mutual information of neighbours that are expected often enough, the page's own count taken out; NaN where too few can tell.
+
+        rest has the information of the pairs of which a word is none of the commonest.
+        """
         out = np.full(self.n, np.nan)
         at, pair = common.of(self.codes, self.at)
         expected = common.pages_with[pair // COMMON] * common.pages_with[pair % COMMON] / max(common.pages, 1) if len(pair) else np.zeros(0)
@@ -225,10 +229,32 @@ class Pages:
         page = self.page[self.at[at[enough]]]
         n = np.bincount(page, minlength=self.n)
         total = np.bincount(page, np.log((np.maximum(common.pairs[pair[enough]] - 1, 0) + 0.1) / expected[enough]), self.n)
+        if rest is not None:
+            other = np.ones(len(self.at), bool)
+            other[at] = False
+            page = self.page[self.at[other]]
+            value = rest.of(self.pairs[other], page, np.nan)
+            told = ~np.isnan(value)
+            n = n + np.bincount(page[told], minlength=self.n)
+            total = total + np.bincount(page[told], value[told], self.n)
         told = n >= SALAD_PAIRS
         out[told] = total[told] / n[told]
         return out
 
+    def beyond(self, common: Common, words: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        """(places among at, expected pages) of the pairs of which a word is none of the commonest. words: codes, rising, and pages of all words
+        that can be expected often enough; only pairs that are come out then, else all do and their expectation is NaN."""
+        other = np.ones(len(self.at), bool)
+        other[common.of(self.codes, self.at)[0]] = False
+        if words is None:
+            return np.flatnonzero(other), np.full(int(other.sum()), np.nan)
+        codes, pages_with = words
+        place = np.minimum(np.searchsorted(codes, self.codes), len(codes) - 1)
+        n = np.where(codes[place] == self.codes, pages_with[place], 0.0)
+        expected = n[self.at] * n[self.at + 1] / max(common.pages, 1)
+        other &= expected >= EXPECTED
+        return np.flatnonzero(other), expected[other]
+
     def distinct_pairs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(key, page) of the distinct pairs of the pages marked."""
         pairs = which[self.page[self.at]]
@@ -315,12 +341,13 @@ def _corpus_counts(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(partial, _SUMS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _page_losses(batch: pa.RecordBatch, sent: Losses | None) -> Losses:
+def _page_losses(batch: pa.RecordBatch, sent: Losses | None, name: str = "lost") -> Losses:
     """The losses that count for the pages of a batch: those sent to all tasks, else those joined to the pages."""
     if sent is not None:
         return sent
-    page = np.repeat(np.arange(batch.num_rows), [len(x or ()) for x in batch.column("lost").to_pylist()])
-    lost = [y for x in batch.column("lost").to_pylist() for y in x or ()]
+    lists = batch.column(name).to_pylist()
+    page = np.repeat(np.arange(batch.num_rows), [len(x or ()) for x in lists])
+    lost = [y for x in lists for y in x or ()]
     return Losses((page << _BITS) | np.array([y["key"] for y in lost], np.int64), np.array([y["loss"] for y in lost], float), True)
 
 
@@ -359,18 +386,76 @@ def _commonest(counts: DataFrame) -> Common:
     return common
 
 
-def _with_losses(tokens: DataFrame, lost: DataFrame) -> DataFrame:
-    """tokens with the lost pairs of each page as a column of their own; pages of the same words are one."""
+def _with_losses(tokens: DataFrame, lost: DataFrame, name: str = "lost", beyond: tuple | None = None) -> DataFrame:
+    """tokens with the lost pairs of each page as a column of their own; pages of the same words are one. beyond: common words and
+    others as in Pages.beyond, which tells the pairs that are asked for then."""
+    broadcast = tokens.sparkSession.sparkContext.broadcast(beyond)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _steps(whole):
-                keys, page = Pages.of(batch).distinct_pairs(np.ones(batch.num_rows, bool))
+                found = Pages.of(batch)
+                if broadcast.value is None:
+                    keys, page = found.distinct_pairs(np.ones(batch.num_rows, bool))
+                else:
+                    at = found.beyond(*broadcast.value)[0]
+                    both = np.unique((found.page[found.at[at]] << _BITS) | found.pairs[at])
+                    keys, page = both & ((1 << _BITS) - 1), both >> _BITS
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(page)) for c in ("h1", "h2")] + [pa.array(keys)], names=["h1", "h2", "key"])
 
     coded = tokens.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(7), "words")})
     pairs = coded.mapInArrow(held, "h1 long, h2 long, key long").distinct().join(lost, "key")
-    return coded.join(pairs.groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "loss")).alias("lost")), ["h1", "h2"], "left").drop("h1", "h2")
+    return coded.join(pairs.groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "loss")).alias(name)), ["h1", "h2"], "left").drop("h1", "h2")
+
+
+def _beyond_common(tokens: DataFrame, counts: DataFrame, common: Common, broadcast_rows: int) -> tuple[DataFrame | None, tuple[np.ndarray, np.ndarray] | None]:
+    """(key and information, as loss, of every pair of which a word is none of the commonest and that is expected often enough; the words
+    that were sent to find them). The first is None if there is no such word, the second if the words are joined instead."""
+    if len(common.codes) < COMMON:
+        return None, None
+    # With any word, even the commonest, a rarer one is never expected often enough.
+    words = counts.where("kind = 'word'").where(F.col("n") >= EXPECTED * common.pages / common.pages_with.max() * (1 - 1e-9)).select("key", F.col("n").cast("double").alias("n"))
+    n = words.count()
+    if n <= (common.pages_with >= EXPECTED * common.pages / common.pages_with.max() * (1 - 1e-9)).sum():
+        return None, None
+    sent = None
+    if n <= broadcast_rows:
+        rows = words.toPandas().sort_values("key")
+        sent = rows["key"].to_numpy(np.int64), rows["n"].to_numpy(float)
+    few = Common(common.codes, common.pages_with, common.pages)  # without the table of pairs
+    broadcast = tokens.sparkSession.sparkContext.broadcast((few, sent))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            whole = np.concatenate(held) if held else np.zeros((0, 4))
+            whole = whole[np.unique(whole[:, 0].astype(np.int64), return_index=True)[1]]
+            return pa.RecordBatch.from_arrays([*(pa.array(whole[:, i].astype(np.int64)) for i in range(3)), pa.array(whole[:, 3])], names=["key", "first", "second", "expected"])
+
+        for whole in batches:
+            for batch in _steps(whole):
+                found = Pages.of(batch)
+                at, expected = found.beyond(*broadcast.value)
+                keys, first = np.unique(found.pairs[at], return_index=True)
+                place = found.at[at[first]]
+                # Keys and codes have 52 bits at most, as a double holds.
+                held.append(np.column_stack([keys, found.codes[place], found.codes[place + 1], expected[first]]))
+                if sum(map(len, held)) > 1_000_000:
+                    yield out()
+                    held.clear()
+        yield out()
+
+    found = tokens.mapInArrow(pairs, "key long, first long, second long, expected double")
+    if sent is None:
+        found = found.select("key", "first", "second").distinct()
+        for side in ("first", "second"):
+            found = found.join(words.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}")), side)
+        found = found.withColumn("expected", F.col("n_first") * F.col("n_second") / F.lit(float(max(common.pages, 1)))).where(F.col("expected") >= EXPECTED)
+    # Two pairs of one key are counted as one, as everywhere.
+    found = found.groupBy("key").agg(F.max("expected").alias("expected"))
+    loss = F.log((F.greatest(F.col("n") - 1, F.lit(0)) + 0.1) / F.col("expected"))
+    return spill(counts.where("kind = 'pair'").select("key", "n").join(found, "key").select("key", loss.alias("loss"))), sent
 
 
 def spam_scores(pages: DataFrame, id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -378,7 +463,7 @@ def spam_scores(pages: DataFrame, id: str = "doc_id", text: str = "text", rounds
 
     is_spam: SPAM of the page's words are links with titles, tags, goods (form_share), words of segments that have lost their
     information (loss_share) or long repeats, or its information is below SALAD. information is the mean pointwise mutual information of
-    the common words that are neighbours, without the page's own count, where enough of them can tell it. A page with null or
+    the neighbours that are expected together often enough, without the page's own count, where enough of them can tell it. A page with null or
     empty text has no words and is no spam; repeated pages each count; an empty table gives no rows; extra columns are ignored.
     """
     spark = pages.sparkSession
@@ -396,15 +481,24 @@ def spam_scores(pages: DataFrame, id: str = "doc_id", text: str = "text", rounds
             sent, judged = Losses(rows["key"].to_numpy(np.int64), rows["loss"].to_numpy(float)), tokens
         else:
             sent, judged = None, spill(_with_losses(tokens, lost))
-    broadcast = spark.sparkContext.broadcast((sent, common))
+    # The information of pairs beyond the table of the commonest words goes the same ways.
+    rest, words = _beyond_common(tokens, counts, common, broadcast_rows)
+    others = Losses(np.zeros(0, np.int64), np.zeros(0))
+    if rest is not None:
+        if rest.count() <= broadcast_rows:
+            rows = rest.toPandas()
+            others = Losses(rows["key"].to_numpy(np.int64), rows["loss"].to_numpy(float))
+        else:
+            others, judged = None, spill(_with_losses(judged, rest, "rest", (Common(common.codes, common.pages_with, common.pages), words)))
+    broadcast = spark.sparkContext.broadcast((sent, others, common))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent, common = broadcast.value
+        sent, others, common = broadcast.value
         for whole in batches:
             for batch in _steps(whole):
                 found = Pages.of(batch)
                 shares, formed, lossy = found.judge(_page_losses(batch, sent))
-                information = found.information(common)
+                information = found.information(common, _page_losses(batch, others, "rest"))
                 salad = information < SALAD
                 shares[salad] = 1.0
                 yield pa.RecordBatch.from_arrays(

@@ -3,6 +3,7 @@
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -561,3 +562,24 @@ def test_spam_of_many_pairs_sent_or_joined(spark):
     joined = sorted(tuple(r) for r in webspam.spam_scores(df, broadcast_rows=0).select("doc_id", "n_words", "spam_share", "form_share", "loss_share", "is_spam").collect())
     assert sent == joined and len(sent) == len(rows)
     assert {r[0] for r in sent if r[-1]} == {*range(5000, 5090), 7000, 7001, 7003}
+
+
+def test_word_salad_of_words_beyond_the_commonest(spark):
+    rng = random.Random(61)
+    # 1,024 words fill all pages in one order; 40 others are a little rarer, so they aren't among the commonest.
+    rare = [f"r{i}" for i in range(40)]
+    rows = [(i, " ".join(f"c{(140 * i + j) % webspam.COMMON}" for j in range(140)) + (" " + " ".join(rare) if i < 90 else "")) for i in range(1000)]
+    rows += [(5000 + i, " ".join(rng.sample(rare, 40))) for i in range(40)]
+    rows += [(6000, rows[1000][1]), (6001, "r1 r2"), (6002, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # All is sent; the words are sent and their pairs joined; all is joined.
+    every = [sorted(((r.doc_id, r.is_spam, round(r.information, 5) if r.information is not None else None) for r in webspam.spam_scores(df, broadcast_rows=n).collect())) for n in (2_000_000, 1_100, 0)]
+    assert every[0] == every[1] == every[2]
+    assert {i for i, spam, _ in every[0] if spam} == {*range(5000, 5040), 6000}
+    # By brute force over all pairs.
+    words = {i: (t or "").split() for i, t in rows}
+    held = Counter(w for x in words.values() for w in set(x))
+    pairs = Counter(p for x in words.values() for p in set(zip(x, x[1:])))
+    for i, _, information in every[0]:
+        told = [np.log((pairs[p] - 1 + 0.1) / e) for p in zip(words[i], words[i][1:]) if (e := held[p[0]] * held[p[1]] / len(rows)) >= webspam.EXPECTED]
+        assert (information is None) == (len(told) < webspam.SALAD_PAIRS) and (information is None or abs(information - np.mean(told)) < 1e-4)
