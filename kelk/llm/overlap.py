@@ -34,7 +34,7 @@ PASSAGE = ((10, 1), (20, 2), (10**9, 3))
 #: Leading words that two texts must share, a power of two; with more, more words are counted but fewer texts are left.
 FEW = 16
 #: Words of the evaluation texts that one task meets, of one shard, and of one slice of training texts; and the slices of one task.
-BUCKET_WORDS, SHARD_WORDS, SLICE_WORDS, SLICES = 16_000_000, 4_000_000, 500_000, 8
+BUCKET_WORDS, SHARD_WORDS, SLICE_WORDS, SLICES = 4_000_000, 4_000_000, 500_000, 8
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -376,7 +376,7 @@ def near_texts(evaluation: DataFrame, training: DataFrame, bucket_words: int = B
     left = _packed(evaluation, buckets, shard_words)
     right = _packed(training, max(parts(scanned, SLICES * slice_words), parts(2 * cores, buckets)), slice_words)
     right = right.select(*[F.col(c).alias(f"t_{c}") for c in right.columns])
-    # The pairing of stored partitions, without a shuffle or a broadcast; the shard is the outer loop. Rows are large, so few go to Python at once.
+    # The pairing of stored partitions, without a shuffle or a broadcast; the shard is the outer loop. Rows are large: a batch for Python has a shard once a slice.
     return left.crossJoin(right.hint("shuffle_replicate_nl")).mapInArrow(_scanned, _PAIR)
 
 
